@@ -20,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from maskwright.llm.common import BoundedCache, in_arrow, texts
+from maskwright.llm.common import BoundedCache, extended, in_arrow, texts
 from maskwright.llm.pretokens import PATTERN, PIECES, pieces
 
 #: Distinct pre-tokens that a worker remembers in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 NO_RANK = 1 << 30
 
 
@@ -148,11 +149,27 @@ class Codec:
             for (piece, _), ids in zip(some, self.merge([raw for _, raw in some]), strict=True):
                 self.known[piece] = ids.tobytes()
 
+    def ids(self, some: list[str]) -> np.ndarray:
+        """The ids of pre-tokens that are remembered."""
+        return np.frombuffer(b"".join(map(self.known.__getitem__, some)), dtype="<u4")
+
     def runs(self, text: str) -> Iterator[np.ndarray]:
         """The ids of a text, some at a time."""
         for some in pieces(text, self.pattern):
             self.learn(set(some))
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, some)), dtype="<u4")
+            yield self.ids(some)
+
+    def all_runs(self, whole: list[str]) -> Iterator[Iterator[np.ndarray]]:
+        """``runs`` of each text; the pre-tokens of all that are not very long go through one queue."""
+        short = [next(pieces(t, self.pattern)) if len(t) <= PIECES else None for t in whole]
+        new = {p for some in short if some for p in some}
+        self.learn(new)
+        for text, some in zip(whole, short, strict=True):
+            if some is None:
+                yield self.runs(text)
+                self.learn(new)  # a very long text may have pushed them out
+            else:
+                yield iter((self.ids(some),))
 
     def encode(self, text: str) -> np.ndarray:
         """All ids of a text."""
@@ -169,34 +186,32 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def warm(own: Codec, whole: list[str]) -> None:
-    """Learns the pre-tokens of many short texts in one queue."""
-    own.learn({p for t in whole if len(t) <= PIECES for some in pieces(t, own.pattern) for p in some})
-
-
-def encode_rows(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
+def encode_rows(df: DataFrame, path: str, text: str = "text", into: str = "ids", checked: str | None = None) -> DataFrame:
     """``df`` with the token ids of the whole text as array<int> in ``into``.
 
-    Null counts as empty and gives an empty array. A column already named ``into`` is replaced.
-    One pass without a shuffle; the other columns pass through untouched.
+    Null counts as empty and gives an empty array. ``checked`` names a further boolean column that
+    says whether the ids decode to the text's bytes. Columns already so named are replaced. One pass
+    without a shuffle; the other columns pass through untouched.
     """
-    df = df.drop(into) if into != text else df
-    schema = df.schema.add(into, "array<int>")
+    df = df.drop(*({into, checked} - {None, text}))
+    schema = extended(df.schema, **{into: T.ArrayType(T.IntegerType())}, **({checked: T.BooleanType()} if checked else {}))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = codec(path)
-        ids = [own.encode(t).astype(np.int32) for t in texts(batch.column(text))]
+        own, whole = codec(path), texts(batch.column(text))
+        ids = [np.concatenate([*runs, np.empty(0, "<u4")]).astype(np.int32) for runs in own.all_runs(whole)]
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-        column = pa.ListArray.from_arrays(offsets, np.concatenate([*ids, np.empty(0, np.int32)]))
-        return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, into])
+        new = [pa.ListArray.from_arrays(offsets, np.concatenate([*ids, np.empty(0, np.int32)]))]
+        if checked:
+            new.append(pa.array([own.decode(x.tolist()) == t.encode() for x, t in zip(ids, whole, strict=True)], pa.bool_()))
+        return pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
-    return in_arrow(df, work, schema, rows=64)
+    return in_arrow(df, work, schema, rows=256)
 
 
 def decode_rows(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``df`` with the bytes of the ids in ``ids`` as binary in ``into``; null ids count as none."""
     df = df.drop(into)
-    schema = df.schema.add(into, "binary")
+    schema = extended(df.schema, **{into: T.BinaryType()})
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = codec(path)
@@ -214,9 +229,9 @@ def digests(df: DataFrame, path: str) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, out = codec(path), []
-        for text in texts(batch.column("text")):
+        for runs in own.all_runs(texts(batch.column("text"))):
             n, ids_sha, text_sha, gap = 0, hashlib.sha256(), hashlib.sha256(), ""
-            for ids in own.runs(text):
+            for ids in runs:
                 plain = ids.tolist()
                 if plain:
                     ids_sha.update((gap + " ".join(map(own.decimal_of.__getitem__, plain))).encode())
@@ -227,9 +242,5 @@ def digests(df: DataFrame, path: str) -> DataFrame:
         n, a, b = zip(*out, strict=True) if out else ((), (), ())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    def warmed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        warm(codec(path), texts(batch.column("text")))
-        return work(batch)
-
     own = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return in_arrow(own, warmed, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(own, work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -10,6 +11,7 @@ from tempfile import gettempdir
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Rows a Python operator handles at a time; a batch of very long texts stays small.
 SLICE_ROWS = 512
@@ -49,7 +51,12 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
-def in_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
+def extended(schema: StructType, **new: DataType) -> StructType:
+    """A schema with further columns; the given one stays as it is."""
+    return StructType([*schema.fields, *(StructField(n, t) for n, t in new.items())])
+
+
+def in_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = SLICE_ROWS) -> DataFrame:
     """``work`` on each short run of rows of ``df``: one pass, no shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,6 +71,34 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def word_runs(text: str, run: int = 1 << 16) -> Iterator[list[str]]:
+    """Words between white space: all at once, or some at a time if the text is very long."""
+    if len(text) <= run * 16:
+        yield text.split()
+    else:
+        some = []
+        for m in re.finditer(r"\S+", text):
+            some.append(m.group())
+            if len(some) == run:
+                yield some
+                some = []
+        yield some
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """doc_id, text, label of at most ``rows`` labelled training rows, those of the smallest id hashes.
+
+    Only ids and labels are sorted; what is broadcast to the texts has at most ``rows`` rows. A
+    doc_id with several labels counts with the smallest; null labels and ids teach nothing. Rows of
+    ``docs`` that share a doc_id are all taken.
+    """
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    known = labels.select(doc_id, F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull() & training_row(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
+    there = docs.select(doc_id)
+    chosen = known.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select(doc_id, F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+
+
 def training_row(doc_id: Column) -> Column:
     """Labels may be learned only where crc32 of the id's text is no multiple of 5 (null: never)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))

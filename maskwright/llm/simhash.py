@@ -24,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from maskwright.llm.common import in_arrow, texts, written
+from maskwright.llm.common import extended, in_arrow, texts, written
 
 #: Differing bits up to which fingerprints link.
 BITS = 3
@@ -63,7 +64,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
         kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
         return pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(fp)], names=[*(n for n, _ in kept), "fp"])
 
-    schema = docs.drop("text").schema.add("fp", "long")
+    schema = extended(docs.drop("text").schema, fp=T.LongType())
     return in_arrow(docs, work, schema)
 
 
