@@ -22,11 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.llm.common import BoundedCache, extended, in_arrow, texts
-from maskwright.llm.pretokens import PATTERN, PIECES, pieces
+from maskwright.llm.common import extended, in_arrow, texts
+from maskwright.llm.pretokens import PATTERN, Memory
 
-#: Distinct pre-tokens that a worker remembers in each of two generations.
-REMEMBERED = 700_000
 NO_RANK = 1 << 30
 
 
@@ -70,7 +68,7 @@ class RankQueue:
 class Codec:
     """Encoder and decoder of one rank file."""
 
-    def __init__(self, path: str, pattern: str = PATTERN, remembered: int = REMEMBERED) -> None:
+    def __init__(self, path: str, pattern: str = PATTERN) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.size = max(self.ranks.values()) + 1
@@ -81,8 +79,7 @@ class Codec:
         singles = [self.ranks[bytes([i])] for i in range(256)]
         self.single = np.array(singles, dtype=np.int64)
         self.pair = np.array([[self.ranks.get(bytes((a, b)), NO_RANK) for b in range(256)] for a in range(256)], dtype=np.int64)
-        self.pattern = pattern
-        self.known = BoundedCache(remembered)
+        self.memory = Memory(self.encode_pieces, pattern)
 
     def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of each non-empty pre-token, all run through one queue."""
@@ -134,46 +131,22 @@ class Codec:
         ids = ids[ids >= 0].astype("<u4")
         return [ids[kept[a] : kept[b]] for a, b in zip(starts, ends, strict=True)]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encodes those pre-tokens that the worker doesn't remember."""
-        absent = self.known.missing(pieces)
-        hard = []
-        for piece in absent:
-            raw = piece.encode()
-            if (whole := self.ranks.get(raw)) is not None:
-                self.known[piece] = whole.to_bytes(4, "little")
-            else:
-                hard.append((piece, raw))
-        for at in range(0, len(hard), PIECES):
-            some = hard[at : at + PIECES]
-            for (piece, _), ids in zip(some, self.merge([raw for _, raw in some]), strict=True):
-                self.known[piece] = ids.tobytes()
-
-    def ids(self, some: list[str]) -> np.ndarray:
-        """The ids of pre-tokens that are remembered."""
-        return np.frombuffer(b"".join(map(self.known.__getitem__, some)), dtype="<u4")
-
-    def runs(self, text: str) -> Iterator[np.ndarray]:
-        """The ids of a text, some at a time."""
-        for some in pieces(text, self.pattern):
-            self.learn(set(some))
-            yield self.ids(some)
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pre-tokens, as little-endian 32-bit words: one queue for all that are no token."""
+        raw = [p.encode() for p in pieces]
+        out = [b"" if (whole := self.ranks.get(r)) is None else whole.to_bytes(4, "little") for r in raw]
+        hard = [i for i, x in enumerate(out) if not x]
+        for i, ids in zip(hard, self.merge([raw[i] for i in hard]), strict=True) if hard else ():
+            out[i] = ids.tobytes()
+        return out
 
     def all_runs(self, whole: list[str]) -> Iterator[Iterator[np.ndarray]]:
-        """``runs`` of each text; the pre-tokens of all that are not very long go through one queue."""
-        short = [next(pieces(t, self.pattern)) if len(t) <= PIECES else None for t in whole]
-        new = {p for some in short if some for p in some}
-        self.learn(new)
-        for text, some in zip(whole, short, strict=True):
-            if some is None:
-                yield self.runs(text)
-                self.learn(new)  # a very long text may have pushed them out
-            else:
-                yield iter((self.ids(some),))
+        """The ids of each text, of a very long one some at a time."""
+        return self.memory.all_runs(whole)
 
     def encode(self, text: str) -> np.ndarray:
         """All ids of a text."""
-        return np.concatenate([*self.runs(text), np.empty(0, "<u4")]).astype("<u4")
+        return np.concatenate([*next(self.all_runs([text])), np.empty(0, "<u4")]).astype("<u4")
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes of ids; an id outside the vocabulary raises IndexError."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import filterfalse
 from pathlib import Path
 from tempfile import gettempdir
 
@@ -120,16 +121,15 @@ class BoundedCache(dict):
         super().__init__()
         self.limit, self.old = limit, {}
 
-    def missing(self, keys: set) -> list:
-        """The keys not held. Those of the old generation move to the young one."""
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """The distinct keys not held. Those of the old generation move to the young one."""
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
         absent = []
-        for k in keys:
-            if k not in self:
-                if (v := self.old.get(k)) is None:
-                    absent.append(k)
-                else:
-                    self[k] = v
+        for k in set(filterfalse(self.__contains__, keys)):
+            if (v := self.old.get(k)) is None:
+                absent.append(k)
+            else:
+                self[k] = v
         return absent
