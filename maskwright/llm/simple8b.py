@@ -49,35 +49,39 @@ def encode(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     grid[inside] = ids
     width = np.zeros((total, BLOCK), dtype=np.int8)
     width[inside] = bit_widths(ids)
-    # for each cell, the selector that takes most ids from there on; ids past the end are zeros
+    # for each cell, the selector that takes most ids from there on; ids past the end are zeros.
+    # where no window of k ids is narrow enough, none of more ids is
     best = np.full((total, BLOCK), ESCAPE, dtype=np.int8)
     reach = {1: width}
     for s in reversed(SELECTORS):
         k = int(COUNTS[s])
         reach[k] = widest(reach, k)
-        best[reach[k] <= WIDTHS[s]] = s
-    at, words, owners = np.zeros(total, dtype=np.int64), [], []
-    open_ = np.arange(total)
-    padded = np.concatenate((grid, np.zeros((total, 120), dtype=np.uint64)), axis=1)
+        fits = reach[k] <= WIDTHS[s]
+        if not fits.any():
+            break
+        best[fits] = s
+    # one step a word, in all blocks at once
+    at, open_ = np.zeros(total, dtype=np.int64), np.arange(total)
+    owners, cells = [], []
     while len(open_):
-        chosen = best[open_, at[open_]]
-        made = np.empty(len(open_), dtype=np.uint64)
-        for s in np.unique(chosen):
-            here = np.flatnonzero(chosen == s)
-            k, bits = int(COUNTS[s]), np.uint64(WIDTHS[s])
-            word = np.full(len(here), np.uint64(int(s) << 60))
-            if bits:
-                taken = padded[open_[here, None], at[open_[here], None] + np.arange(k)]
-                word |= np.bitwise_or.reduce(taken << (np.arange(k, dtype=np.uint64) * bits), axis=1)
-            made[here] = word
-        words.append(made)
+        here = at[open_]
         owners.append(open_)
-        at[open_] += COUNTS[chosen]
+        cells.append(here)
+        at[open_] = here + COUNTS[best[open_, here]]
         open_ = open_[at[open_] < length[open_]]
-    owner = np.concatenate(owners)
+    owner, here = np.concatenate(owners), np.concatenate(cells)
     order = np.argsort(owner, kind="stable")
+    owner, here = owner[order], here[order]
+    chosen = best[owner, here]
+    padded = np.concatenate((grid, np.zeros((total, 120), dtype=np.uint64)), axis=1).ravel()
+    first = owner * (BLOCK + 120) + here
+    words = chosen.astype(np.uint64) << np.uint64(60)
+    for s in np.unique(chosen).tolist():
+        mine = np.flatnonzero(chosen == s)
+        for i in range(int(COUNTS[s]) if WIDTHS[s] else 0):
+            words[mine] |= padded[first[mine] + i] << np.uint64(i * WIDTHS[s])
     per_block = np.bincount(owner, minlength=total)
-    return np.concatenate(words)[order], np.cumsum(per_block) - per_block, blocks
+    return words, np.cumsum(per_block) - per_block, blocks
 
 
 def widest(reach: dict[int, np.ndarray], k: int) -> np.ndarray:
@@ -95,30 +99,32 @@ def ahead(wide: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
+def decode_lists(words: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The ids of lists that stand one after another: their words, the first word of every block, ids in each list."""
+    words, begins, sizes = (np.asarray(x, dtype=t) for x, t in ((words, np.uint64), (begins, np.int64), (sizes, np.int64)))
+    n = int(sizes.sum())
+    out = np.zeros(n, dtype=np.uint64)
+    if n:
+        selector = (words >> np.uint64(60)).astype(np.int64)
+        counts = COUNTS[selector]
+        # the last word of a block may stand for fewer ids
+        blocks = -(-sizes // BLOCK)
+        length = np.full(len(begins), BLOCK)
+        length[np.cumsum(blocks)[sizes > 0] - 1] = (sizes - BLOCK * (blocks - 1))[sizes > 0]
+        last = np.concatenate((begins[1:], [len(words)])) - 1
+        counts[last] -= np.add.reduceat(counts, begins) - length
+        position = np.cumsum(counts) - counts
+        for s in np.unique(selector).tolist():
+            here, bits = np.flatnonzero(selector == s), int(WIDTHS[s])
+            for i in range(int(COUNTS[s]) if bits else 0):
+                here = here[counts[here] > i]
+                out[position[here] + i] = words[here] >> np.uint64(i * bits) & np.uint64((1 << bits) - 1)
+    return np.split(out, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+
 def decode(words: np.ndarray, blocks: np.ndarray, n: int) -> np.ndarray:
     """The n ids of a list from its words and the offsets of its blocks' first words."""
-    words = np.asarray(words, dtype=np.uint64)
-    if not n:
-        return np.empty(0, np.uint64)
-    selector = (words >> np.uint64(60)).astype(np.int64)
-    counts = COUNTS[selector]
-    # the last word of a block may stand for fewer ids
-    begins = np.asarray(blocks, dtype=np.int64)
-    length = np.full(len(begins), BLOCK)
-    length[-1] = n - BLOCK * (len(begins) - 1)
-    last = np.concatenate((begins[1:], [len(words)])) - 1
-    counts[last] -= np.add.reduceat(counts, begins) - length
-    position = np.cumsum(counts) - counts
-    out = np.zeros(n, dtype=np.uint64)
-    for s in np.unique(selector):
-        here = np.flatnonzero(selector == s)
-        k, bits = int(COUNTS[s]), int(WIDTHS[s])
-        if not bits:
-            continue
-        ids = (words[here, None] >> (np.arange(k, dtype=np.uint64) * np.uint64(bits))) & np.uint64((1 << bits) - 1)
-        kept = np.arange(k) < counts[here, None]
-        out[(position[here, None] + np.arange(k))[kept]] = ids[kept]
-    return out
+    return decode_lists(words, blocks, np.array([n]))[0]
 
 
 def decode_block(words: np.ndarray, blocks: np.ndarray, n: int, block: int) -> np.ndarray:

@@ -21,12 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm import simple8b
-from maskwright.llm.common import BoundedCache, in_arrow, slices, texts
-from maskwright.llm.pretokens import PIECES, pieces
+from maskwright.llm.common import in_arrow, slices, texts
+from maskwright.llm.pretokens import PIECES, Memory
 
 FILE_SCHEMA = "part int, at long, doc_id long, n_tokens long, blocks array<int>, words binary"
-#: Distinct pre-tokens that a worker remembers in each of two generations.
-REMEMBERED = 400_000
 
 
 class Encoder:
@@ -37,7 +35,7 @@ class Encoder:
     an added token, goes through the library whole.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,37 +46,31 @@ class Encoder:
         model = spec["model"]
         self.by_piece = model["type"] == "BPE" and not model.get("dropout") and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding") and split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split.get("use_regex", True)
         self.added = [x["content"] for x in spec.get("added_tokens") or ()]
-        self.known = BoundedCache(remembered)
-
-    def learn(self, keys: set[str]) -> None:
-        absent = self.known.missing(keys)
-        for at in range(0, len(absent), PIECES):
-            some = absent[at : at + PIECES]
-            found = self.own.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4").tobytes()
-            ends = np.cumsum(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(some))) * 4
-            for piece, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                self.known[piece] = ids[a:b]
-
-    def run(self, some: list[str]) -> bytes:
-        self.learn(set(some))
-        return b"".join(map(self.known.__getitem__, some))
-
-    def encode(self, whole: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        out: list[np.ndarray | None] = [None] * len(whole)
-        for i, text in enumerate(whole):
-            if not self.by_piece or any(x in text for x in self.added):
-                out[i] = np.array(self.own.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        short = {i: next(pieces(t), []) for i, t in enumerate(whole) if out[i] is None and len(t) <= PIECES}
-        self.learn({p for some in short.values() for p in some})
-        for i, some in short.items():
-            out[i] = np.frombuffer(b"".join(map(self.known.__getitem__, some)), dtype="<u4")
-        for i, text in enumerate(whole):
-            if out[i] is None:
-                out[i] = np.frombuffer(b"".join(self.run(some) for some in pieces(text)), dtype="<u4")
+        # the library splits a stretch like a text, so stretches go to it whole
+        self.memory = Memory(self.encode_pieces, by_stretch=self.encode_pieces)
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces of text, as little-endian 32-bit words."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), PIECES):
+            out += self.encode_some(pieces[at : at + PIECES])
         return out
 
+    def encode_some(self, pieces: list[str]) -> list[bytes]:
+        found = self.own.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4").tobytes()
+        ends = (np.cumsum(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(pieces))) * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        apart = [not self.by_piece or any(x in t for x in self.added) for t in texts]
+        runs = self.memory.all_runs([t for t, a in zip(texts, apart, strict=True) if not a])
+        return [self.whole(t) if a else np.concatenate([*next(runs), np.empty(0, np.uint32)]) for t, a in zip(texts, apart, strict=True)]
+
 
 @cache
 def encoder(path: str) -> Encoder:
@@ -127,11 +119,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, to: str, end_id: int) -> None:
     encoded(docs, tokenizer, end_id).write.parquet(to)
 
 
-def ids_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    """The ids of each row of a token file."""
-    columns = (batch.column(c).to_pylist() for c in ("words", "blocks", "n_tokens"))
-    for words, blocks, n in zip(*columns, strict=True):
-        yield simple8b.decode(np.frombuffer(words, dtype="<u8"), np.array(blocks, dtype=np.int64), n)
+def ids_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The ids of each row of a token file, decoded together."""
+    words, blocks = batch.column("words").to_pylist(), batch.column("blocks")
+    sizes = np.array([len(w) // 8 for w in words], dtype=np.int64)
+    per = np.diff(blocks.offsets.to_numpy())
+    begins = blocks.flatten().to_numpy().astype(np.int64) + np.repeat(np.cumsum(sizes) - sizes, per)
+    return simple8b.decode_lists(np.frombuffer(b"".join(words), dtype="<u8"), begins, batch.column("n_tokens").to_numpy())
 
 
 def read_tokens(tokens: DataFrame) -> DataFrame:
@@ -148,7 +142,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
     """part, at, doc_id, n_tokens, ids_crc32 of a token file's rows, from their decoded ids."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = list(ids_of(batch))
+        ids = ids_of(batch)
         crc = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())
         n = pa.array([len(x) for x in ids], pa.int64())
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "at", "doc_id")), n, crc], names=["part", "at", "doc_id", "n_tokens", "ids_crc32"])
