@@ -68,7 +68,7 @@ def counted(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
         own = own.join(F.broadcast(mix), same)
     else:
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-        many = mix.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        many = mix.withColumn("mix_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         own = own.withColumn("own_salt", salt).join(many, same & (F.col("own_salt") == F.col("mix_salt"))).drop("own_salt", "mix_salt")
     whole = F.floor("rate")
     copies = whole + (uniform(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")
