@@ -71,7 +71,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     """
     y = np.asarray(labels, dtype=np.float64)
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return np.zeros(BUCKETS), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS

@@ -3,11 +3,12 @@
 The features of a whole text are densities of lexicon words, their closeness to second-person
 words, capitals, punctuation and obfuscation rates. Besides a short fixed list, the lexicon is
 learned: hashed words and word beginnings that toxic training rows hold far oftener than others.
-The bounded sample of labelled rows is cut in three by text hash, so that what is learned from one
-part is weighed on another: lexicon, trees, calibration. Copies of one text count once.
+The bounded sample of labelled rows is cut in ``FOLDS`` by text hash, copies counting once. A row's
+features come from a lexicon of the other folds, and calibration is learned from margins of trees
+of the other folds, so that nothing is weighed on what it was learned from.
 
-Texts are featurised on the executors. The driver gets at most ``LEXICON`` hashed terms and
-``ROWS`` rows of features.
+Texts are featurised on the executors. The driver gets at most ``LEXICON`` hashed terms for each
+fold's complement and for the whole, and ``ROWS`` rows of features.
 """
 
 from __future__ import annotations
@@ -34,11 +35,12 @@ TERMS = 1 << 20
 BEGINNINGS = (4, 5, 6, 7)
 #: Learned terms at most, the labelled rows (documents of distinct text) learned from at most.
 LEXICON, ROWS = 2000, 12_000
+FOLDS = 4
 #: Documents in which a term must occur, and least log-odds, to be learned.
 LEAST, ODDS = 4, 2.5
 #: Words around a second-person word in which a lexicon word is near it.
 NEAR = 5
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 FEATURES = ("listed", "whole", "begins", "whole_log", "begins_log", "weight", "heaviest", "second", "near", "capitals", "shouted", "exclaims", "asks", "symbols", "digits", "disguised", "mixed", "words_log")
 TREES, DEPTH, SHRINK, BINS, LEAST_LEAF = 80, 3, 0.15, 32, 12
 
@@ -205,11 +207,18 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Lexicon, trees and calibration. Without both labels, a text's score is the share of ones (0 without rows)."""
 
-    def __init__(self, lexicon: dict[int, float], x: np.ndarray, y: np.ndarray, parts: np.ndarray) -> None:
+    def __init__(self, lexicon: dict[int, float], x: np.ndarray, y: np.ndarray, folds: np.ndarray) -> None:
         self.lexicon, self.share = lexicon, float(y.mean()) if len(y) else 0.0
-        grown, rest = parts == 1, parts == 2
-        self.trees = Trees(x[grown], y[grown].astype(float)) if 0 < y[grown].sum() < grown.sum() else None
-        self.knots = isotonic(self.trees.margins(x[rest]), y[rest].astype(float)) if self.trees and 0 < y[rest].sum() < rest.sum() else None
+        self.trees, self.knots = None, None
+        if 0 < y.sum() < len(y):
+            self.trees = Trees(x, y.astype(float))
+            margins, known = np.zeros(len(y)), np.zeros(len(y), dtype=bool)
+            for fold in np.unique(folds):
+                out = folds == fold
+                if 0 < y[~out].sum() < (~out).sum():
+                    margins[out], known[out] = Trees(x[~out], y[~out].astype(float)).margins(x[out]), True
+            if 0 < y[known].sum() < known.sum():
+                self.knots = isotonic(margins[known], y[known].astype(float))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None:
@@ -224,38 +233,55 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = RO
     # one row for a text, however often it occurs
     key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     first = sample.select("doc_id", "label", key.alias("key")).groupBy("key").agg(F.min(F.struct("doc_id", "label")).alias("first")).select("key", "first.doc_id")
-    sample = sample.withColumn("key", key).join(first, ["key", "doc_id"], "left_semi").select("doc_id", "label", "text", F.pmod(F.xxhash64("key"), F.lit(5)).alias("fifth"))
-    sample = written(sample.select("doc_id", "label", "text", F.when(F.col("fifth") < 2, 0).when(F.col("fifth") < 4, 1).otherwise(2).alias("part")), "toxic-sample")
+    sample = sample.withColumn("key", key).join(first, ["key", "doc_id"], "left_semi")
+    sample = written(sample.select("doc_id", "label", "text", F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int").alias("fold")), "toxic-sample")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tally = np.zeros((2, TERMS), dtype=np.int32)
-        for text, y in zip(texts(batch.column("text")), batch.column("label").to_pylist(), strict=True):
+        tally = np.zeros((FOLDS, 2, TERMS), dtype=np.int16)
+        for text, y, fold in zip(texts(batch.column("text")), batch.column("label").to_pylist(), batch.column("fold").to_pylist(), strict=True):
             cores = {core(w) for run in word_runs(text) for w in run} - {""}
-            tally[int(y == 1), list({t for c in cores for t in terms(c)})] += 1
-        seen = np.flatnonzero(tally.any(axis=0))
-        return pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(tally[1, seen]), pa.array(tally[0, seen])], names=["term", "ones", "others"])
-
-    part = sample.filter("part = 0")
-    sizes = {r["label"] == 1: r["count"] for r in part.groupBy((F.col("label") == 1).cast("int").alias("label")).count().collect()}
-    ones, others = sizes.get(True, 0), sizes.get(False, 0)
-    odds = F.log((F.col("ones") + 0.5) / (ones + 1)) - F.log((F.col("others") + 0.5) / (others + 1))
-    counted = in_arrow(part, count, "term int, ones int, others int", rows=256).groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("others").alias("others"))
-    best = counted.filter(F.col("ones") >= LEAST).select("term", odds.alias("odds")).filter(F.col("odds") >= ODDS).orderBy(F.desc("odds"), "term").limit(LEXICON)
-    lexicon = {r["term"]: r["odds"] for r in best.collect()}
-    data = featurised(sample.filter("part > 0"), lexicon).select("doc_id", "label", "part", "features").toArrow()
+            tally[fold, int(y == 1), list({t for c in cores for t in terms(c)})] += 1
+        fold, seen = np.nonzero(tally.any(axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (fold, seen, tally[fold, 1, seen], tally[fold, 0, seen])], names=["fold", "term", "ones", "others"])
+
+    counted = in_arrow(sample, count, "fold int, term int, ones int, others int", rows=256)
+    wide = written(counted.groupBy("term").agg(*(F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in range(FOLDS) for c in ("ones", "others"))), "toxic-terms")
+    sizes = {(r["fold"], r["one"]): r["count"] for r in sample.groupBy("fold", (F.col("label") == 1).alias("one")).count().collect()}
+
+    def learned(folds: list[int]) -> dict[int, float]:
+        """The lexicon of some folds: log-odds of the terms that toxic rows hold far oftener."""
+        ones, others = (sum(F.col(f"{c}{k}") for k in folds) for c in ("ones", "others"))
+        n, m = (sum(sizes.get((k, one), 0) for k in folds) for one in (True, False))
+        odds = F.log((ones + 0.5) / (n + 1)) - F.log((others + 0.5) / (m + 1))
+        best = wide.filter(ones >= LEAST).select("term", odds.alias("odds")).filter(F.col("odds") >= ODDS).orderBy(F.desc("odds"), "term").limit(LEXICON)
+        return {r["term"]: r["odds"] for r in best.collect()}
+
+    lexicons = [learned([k for k in range(FOLDS) if k != fold]) for fold in range(FOLDS)]
+    data = featurised(sample, lexicons, "fold").select("doc_id", "label", "fold", "features").toArrow()
     order = np.argsort(data.column("doc_id").to_numpy(), kind="stable")
     x = data.column("features").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))[order]
-    return Model(lexicon, x, (data.column("label").to_numpy()[order] == 1).astype(int), data.column("part").to_numpy()[order])
+    return Model(learned(list(range(FOLDS))), x, (data.column("label").to_numpy()[order] == 1).astype(int), data.column("fold").to_numpy()[order])
 
 
-def featurised(docs: DataFrame, lexicon: dict[int, float]) -> DataFrame:
-    """``docs`` with the dense ``features`` (array<double>, named in ``FEATURES``) in place of ``text``."""
+def featurised(docs: DataFrame, lexicons: list[dict[int, float]], which: str | None = None) -> DataFrame:
+    """``docs`` with the dense ``features`` (array<double>, named in ``FEATURES``) in place of ``text``.
+
+    ``which`` names a column that says which of the lexicons a row is read with; without, the first.
+    """
     held: list[Featuriser] = []
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not held:
-            held.append(Featuriser(lexicon))
-        x = held[0].many(texts(batch.column("text")))
+            held.extend(map(Featuriser, lexicons))
+        whole = texts(batch.column("text"))
+        if which:
+            chosen = batch.column(which).to_numpy()
+            x = np.zeros((len(whole), len(FEATURES)))
+            for k in np.unique(chosen):
+                mine = np.flatnonzero(chosen == k)
+                x[mine] = held[k].many([whole[i] for i in mine])
+        else:
+            x = held[0].many(whole)
         column = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
         kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("text", "features")]
         return pa.RecordBatch.from_arrays([*(c for _, c in kept), column], names=[*(n for n, _ in kept), "features"])
