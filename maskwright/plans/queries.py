@@ -17,7 +17,7 @@ from maskwright.operators.resolve import resolve_overlaps
 from maskwright.plans import analytics
 from maskwright.plans.options import TYPES, AnalyzeOptions, BlockedWord, CustomPattern, analyze_options
 from maskwright.plans.pipeline import analyze, gate, sanitize
-from maskwright.sources import assembly, docx, formats
+from maskwright.sources import assembly, docx, files, formats
 from maskwright.sources.arrow import with_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -409,8 +409,8 @@ def csv_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'json' WHEN 3 THEN 'csv' WHEN 4 THEN 'txt' END AS format, CASE WHEN c_custkey % 6 = 5 THEN 'UNSUPPORTED_FORMAT' END AS error_code FROM customer")
 def sniff_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.create_map(*(x for i, v in enumerate(["%PDF-1.7 x", "PK\x03\x04 word/document.xml", ' {"a": [1, 2]}', "a,b\n1,2\n", "plain words", "PK\x03\x04 other"]) for x in (F.lit(i), F.lit(v))))
-    files = table(spark, sf_dir, "customer").select("c_custkey", kinds[(F.col("c_custkey") % 6).cast("int")].cast("binary").alias("content"))
-    return formats.sniffed(files, extension=None).select("c_custkey", "format", "error_code")
+    made = table(spark, sf_dir, "customer").select("c_custkey", kinds[(F.col("c_custkey") % 6).cast("int")].cast("binary").alias("content"))
+    return formats.sniffed(made, extension=None).select("c_custkey", "format", "error_code")
 
 
 CARD_DIGITS = "concat(CASE o_orderkey % 9 WHEN 0 THEN '4' WHEN 1 THEN '51' WHEN 2 THEN '2300' WHEN 3 THEN '37' WHEN 4 THEN '6011' WHEN 5 THEN '3530' WHEN 6 THEN '301' WHEN 7 THEN '62' ELSE '9' END, {pad})"
@@ -480,12 +480,34 @@ def docx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         body = f'<w:p><w:r><w:t>Mail s{key}@ex</w:t></w:r><w:r><w:t>ample.org now</w:t></w:r></w:p>'
         return docx.write_zip({"word/document.xml": f"<w:document><w:body>{body}</w:body></w:document>".encode()})
 
-    files = with_columns(table(spark, sf_dir, "supplier").select("s_suppkey"), lambda key: (document(key),), ("s_suppkey",), content=T.BinaryType())
-    done = sanitize(analyze(docx.extracted(files).select("s_suppkey", "content", "text"), EMAIL_ONLY))
+    made = with_columns(table(spark, sf_dir, "supplier").select("s_suppkey"), lambda key: (document(key),), ("s_suppkey",), content=T.BinaryType())
+    done = sanitize(analyze(docx.extracted(made).select("s_suppkey", "content", "text"), EMAIL_ONLY))
     again = docx.extracted(docx.rewritten(done).select("s_suppkey", "bytes", "status"), "bytes")
     return again.select("s_suppkey", "text", "status")
 
 
+FILES_SQL = """SELECT s_suppkey, CASE k WHEN 0 THEN 'txt' WHEN 1 THEN 'csv' WHEN 2 THEN 'json' WHEN 3 THEN 'docx' WHEN 4 THEN 'pdf' END AS format,
+  CASE WHEN k < 4 THEN 'sanitized-f' || s_suppkey || CASE k WHEN 0 THEN '.txt' WHEN 1 THEN '.csv' WHEN 2 THEN '.json' ELSE '.docx' END END AS sanitized_name,
+  CASE k WHEN 0 THEN 'to [EMAIL_001] and [EMAIL_001]' WHEN 1 THEN 'name,mail' || chr(10) || 'x,[EMAIL_001]' || chr(10) WHEN 2 THEN '{"mail": "[EMAIL_001]"}' END AS said,
+  CASE k WHEN 4 THEN 'NOT_IMPLEMENTED' WHEN 5 THEN 'UNSUPPORTED_FORMAT' END AS error_code FROM (SELECT s_suppkey, s_suppkey % 6 AS k FROM supplier)"""
+
+
+@query(FILES_SQL)
+def process_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of every format, made from keys, through reading, rewriting, writing, reading back and the gate."""
+
+    def made(key: int) -> tuple[str, bytes]:
+        mail = f"s{key}@example.org"
+        word = docx.write_zip({"word/document.xml": f"<w:document><w:p><w:t>s{key}@exa</w:t><w:t>mple.org</w:t></w:p></w:document>".encode()})
+        kinds = (f"to {mail} and {mail.upper()}".encode(), f"name,mail\nx,{mail}\n".encode(), f'{{"mail": "{mail}"}}'.encode(), word, b"%PDF-1.7", b"\xff\xfe")
+        return f"f{key}.{('txt', 'csv', 'json', 'docx', 'pdf', 'bin')[key % 6]}", kinds[key % 6]
+
+    keys = table(spark, sf_dir, "supplier").select("s_suppkey")
+    done = files.process(with_columns(keys, made, ("s_suppkey",), file_name=T.StringType(), content=T.BinaryType()), EMAIL_ONLY)
+    said = F.when(F.col("format") != "docx", F.col("bytes").cast("string"))
+    return done.select("s_suppkey", "format", "sanitized_name", said.alias("said"), "error_code")
+
+
 @query()
 def resolve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of all checksummed detectors before and after resolution."""

@@ -10,6 +10,7 @@ from maskwright.functions.strings import encodable, safe_file_name, sanitized_fi
 from maskwright.plans.options import AnalyzeOptions
 from maskwright.plans.pipeline import analyze, sanitize
 from maskwright.sources import assembly, docx, formats
+from maskwright.sources.files import process
 from maskwright.streaming.stream import read_documents, sanitize_stream, write_gated
 
 
@@ -146,3 +147,18 @@ def test_streams(spark, tmp_path):
     query.awaitTermination(120)
     assert [(r.doc_id, r.sanitized) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, "mail [EMAIL_001]")]
     assert [(r.doc_id, r.error_code) for r in spark.read.parquet(str(tmp_path / "held")).collect()] == [(2, "MALFORMED_DOCUMENT")]
+
+
+def test_files_end_to_end(spark):
+    word = package(**{"word__document.xml": "<w:document><w:p><w:t>Mail a@b</w:t><w:t>.co now</w:t></w:p></w:document>"})
+    media_only = docx.write_zip({"word/document.xml": b"<w:document/>", "word/media/i.png": b"x"})
+    cases = [("a.txt", b"mail a@b.co"), ("b.json", b'{"m":"a@b.co"}'), ("c.docx", word), ("d.docx", media_only), ("e.pdf", b"%PDF-1"), ("f.pdf", b"junk%PDF-1"), ("g.csv", b"a,b\na@b.co,2"), ("h.zip", b"PK\x03\x04"), ("i.txt", b"")]
+    df = spark.createDataFrame([(n, bytearray(c)) for n, c in cases], "file_name string, content binary")
+    rows = {r.file_name: r for r in process(df, AnalyzeOptions(("EMAIL",))).collect()}
+    assert bytes(rows["a.txt"].bytes) == b"mail [EMAIL_001]" and rows["a.txt"].sanitized_name == "sanitized-a.txt"
+    assert bytes(rows["b.json"].bytes) == b'{"m":"[EMAIL_001]"}' and bytes(rows["g.csv"].bytes) == b"a,b\n[EMAIL_001],2"
+    assert docx.read_docx(bytes(rows["c.docx"].bytes)).text == "Mail [EMAIL_001] now" and rows["c.docx"].replaced_occurrences == 1
+    held = rows["d.docx"]
+    assert (held.status, held.error_code, held.bytes) == ("inconclusive", "VERIFICATION_FAILED", None)
+    assert [c.id for c in held.checks if c.status != "pass"] == ["unreadable-content"]
+    assert [rows[n].error_code for n in ("e.pdf", "f.pdf", "h.zip", "i.txt")] == ["NOT_IMPLEMENTED", None, "UNSUPPORTED_FORMAT", "INVALID_INPUT"] and rows["f.pdf"].format == "txt"
