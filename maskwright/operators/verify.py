@@ -91,6 +91,14 @@ def checks(text: Column, hay: Column, applied: Column, forms: Column, unreadable
     return F.concat(both, F.when(F.coalesce(F.size(unreadable), F.lit(0)) > 0, unread).otherwise(F.slice(unread, 1, 0)))
 
 
+def pdf_checks(inside: Column, hay: Column, leftovers: Column, applied: Column, forms: Column) -> Column:
+    """Two more for PDF files: no residue in any object or stream, and nothing but pages left."""
+    nothing = F.array().cast("array<string>")
+    deep = let(residual(hay, applied, forms), lambda x: check("deep-streams", F.when(F.size(x) > 0, F.lit("fail")).otherwise(F.lit("pass")), x))
+    shallow = check("structural-channels", F.when(F.size(leftovers) > 0, F.lit("fail")).otherwise(F.lit("pass")), nothing)
+    return F.when(inside.isNull(), F.array(check("deep-streams", F.lit("inconclusive"), nothing))).otherwise(F.array(deep, shallow))
+
+
 def visual_only() -> Column:
     """The one check of a document that was only covered up: its text is all there."""
     return F.array(check("residual-values", F.lit("fail"), F.array().cast("array<string>")))

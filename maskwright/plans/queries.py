@@ -17,7 +17,7 @@ from maskwright.operators.resolve import resolve_overlaps
 from maskwright.plans import analytics
 from maskwright.plans.options import TYPES, AnalyzeOptions, BlockedWord, CustomPattern, analyze_options
 from maskwright.plans.pipeline import analyze, gate, sanitize
-from maskwright.sources import assembly, docx, files, formats
+from maskwright.sources import assembly, docx, files, formats, pdf
 from maskwright.sources.arrow import with_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -487,9 +487,9 @@ def docx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FILES_SQL = """SELECT s_suppkey, CASE k WHEN 0 THEN 'txt' WHEN 1 THEN 'csv' WHEN 2 THEN 'json' WHEN 3 THEN 'docx' WHEN 4 THEN 'pdf' END AS format,
-  CASE WHEN k < 4 THEN 'sanitized-f' || s_suppkey || CASE k WHEN 0 THEN '.txt' WHEN 1 THEN '.csv' WHEN 2 THEN '.json' ELSE '.docx' END END AS sanitized_name,
+  CASE WHEN k < 5 THEN 'sanitized-f' || s_suppkey || CASE k WHEN 0 THEN '.txt' WHEN 1 THEN '.csv' WHEN 2 THEN '.json' WHEN 3 THEN '.docx' ELSE '.pdf' END END AS sanitized_name,
   CASE k WHEN 0 THEN 'to [EMAIL_001] and [EMAIL_001]' WHEN 1 THEN 'name,mail' || chr(10) || 'x,[EMAIL_001]' || chr(10) WHEN 2 THEN '{"mail": "[EMAIL_001]"}' END AS said,
-  CASE k WHEN 4 THEN 'NOT_IMPLEMENTED' WHEN 5 THEN 'UNSUPPORTED_FORMAT' END AS error_code FROM (SELECT s_suppkey, s_suppkey % 6 AS k FROM supplier)"""
+  CASE k WHEN 5 THEN 'UNSUPPORTED_FORMAT' END AS error_code FROM (SELECT s_suppkey, s_suppkey % 6 AS k FROM supplier)"""
 
 
 @query(FILES_SQL)
@@ -499,12 +499,12 @@ def process_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     def made(key: int) -> tuple[str, bytes]:
         mail = f"s{key}@example.org"
         word = docx.write_zip({"word/document.xml": f"<w:document><w:p><w:t>s{key}@exa</w:t><w:t>mple.org</w:t></w:p></w:document>".encode()})
-        kinds = (f"to {mail} and {mail.upper()}".encode(), f"name,mail\nx,{mail}\n".encode(), f'{{"mail": "{mail}"}}'.encode(), word, b"%PDF-1.7", b"\xff\xfe")
+        kinds = (f"to {mail} and {mail.upper()}".encode(), f"name,mail\nx,{mail}\n".encode(), f'{{"mail": "{mail}"}}'.encode(), word, pdf.write_pdf(f"Mail {mail}\n\nagain {mail}\x0cpage")[0], b"\xff\xfe")
         return f"f{key}.{('txt', 'csv', 'json', 'docx', 'pdf', 'bin')[key % 6]}", kinds[key % 6]
 
     keys = table(spark, sf_dir, "supplier").select("s_suppkey")
     done = files.process(with_columns(keys, made, ("s_suppkey",), file_name=T.StringType(), content=T.BinaryType()), EMAIL_ONLY)
-    said = F.when(F.col("format") != "docx", F.col("bytes").cast("string"))
+    said = F.when(~F.col("format").isin("docx", "pdf"), F.col("bytes").cast("string"))
     return done.select("s_suppkey", "format", "sanitized_name", said.alias("said"), "error_code")
 
 

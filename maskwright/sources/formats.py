@@ -140,7 +140,7 @@ def generated(text: Column, original: Column, format_: Column) -> Column:
 
 
 def format_capabilities(spark: SparkSession) -> DataFrame:
-    """What each format's handling promises. PDF files are recognised and refused, never passed through."""
+    """What each format's handling promises. PDF files come out as new documents of their text."""
     rows = [
         ("txt", True, True, True, False, False, ["text-replacement"]),
         ("csv", True, True, True, False, False, ["text-replacement"]),
@@ -150,4 +150,4 @@ def format_capabilities(spark: SparkSession) -> DataFrame:
     ]
     own = spark.createDataFrame(rows, "format string, true_text_replacement boolean, preserves_layout boolean, supports_verification boolean, may_contain_hidden_text boolean, may_contain_embedded_files boolean, supported_modes array<string>")
     media = F.create_map(*(F.lit(x) for f, (m, _) in FORMATS.items() for x in (f, m)))
-    return own.withColumns({"media_type": media[F.col("format")], "implemented": F.col("format") != "pdf"})
+    return own.withColumn("media_type", media[F.col("format")])

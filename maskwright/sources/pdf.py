@@ -1,0 +1,481 @@
+"""PDF files: a guarded reader of their text, a writer of new ones, and a sweep of everything inside.
+
+No PDF library is at hand, so this reads the common core of the format: objects in the file or in object
+streams, Flate streams, simple fonts and fonts with a ToUnicode map. A document is never edited in place;
+the rewritten text is set into a new file that has nothing else, the same bytes every time. What can't be
+read (encryption, other filters on text, pages that are only pictures) is refused or reported, not guessed.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from dataclasses import dataclass, field
+
+from maskwright.sources.docx import BadDocument
+
+#: Limits of a file, distances in points, and what stands between columns and blocks.
+MAX_PAGES, MAX_OBJECTS, MAX_SWEEP, HEADER_REACH = 500, 100_000, 64 * 1024 * 1024, 1024
+SAME_LINE, COLUMN_GAP, SOFT_WRAP, STRUCTURAL = 2.0, 16.0, 1.65, 12.0
+COLUMN_BREAK, BLOCK_BREAK = "\x1f", "\f"
+#: Page size, margins, type size and leading of the files written; mean width of a character in ems.
+WIDTH, HEIGHT, MARGIN, SIZE, LEADING, EM = 612, 792, 54, 10, 12, 0.5
+#: How deep arrays, dictionaries and form objects may nest.
+DEEPEST = 24
+
+TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|[\[\]{}]|/[^\s()<>\[\]{}/%]*|\(|<[0-9A-Fa-f\s]*>|[+-]?(?:\d+\.?\d*|\.\d+)|[^\s()<>\[\]{}/%]+")
+OBJECT = re.compile(rb"(?<!\d)(\d{1,10})\s+(\d{1,5})\s+obj\b")
+ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+class Name(str):
+    """A PDF name."""
+
+
+class Word(str):
+    """A keyword or operator."""
+
+
+@dataclass(frozen=True)
+class Ref:
+    number: int
+
+
+@dataclass
+class Stream:
+    info: dict
+    raw: bytes
+
+
+class Scanner:
+    """Values of PDF syntax, one after another."""
+
+    def __init__(self, raw: bytes, at: int = 0) -> None:
+        self.raw, self.at = raw, at
+
+    def literal(self) -> bytes:
+        """The rest of a string in parentheses."""
+        out, depth, raw, n = bytearray(), 1, self.raw, len(self.raw)
+        while self.at < n:
+            c = raw[self.at : self.at + 1]
+            self.at += 1
+            if c == b"\\":
+                e = raw[self.at : self.at + 1]
+                if m := re.compile(rb"[0-7]{1,3}").match(raw, self.at):
+                    out.append(int(m[0], 8) & 255)
+                    self.at = m.end()
+                    continue
+                self.at += 2 if raw[self.at : self.at + 2] == b"\r\n" else 1
+                out += b"" if e in b"\r\n" else ESCAPES.get(e, e)
+                continue
+            depth += {b"(": 1, b")": -1}.get(c, 0)
+            if not depth:
+                break
+            out += c
+        return bytes(out)
+
+    def token(self):
+        while m := TOKEN.search(self.raw, self.at):
+            self.at = m.end()
+            if m[0][:1] != b"%":
+                return m[0]
+        self.at = len(self.raw)
+        return None
+
+    def value(self, depth: int = 0):
+        """The next value, or None at the end. Closing brackets come as words."""
+        t = self.token()
+        if t is None or depth > DEEPEST:
+            return None
+        if t == b"<<":
+            out = {}
+            while (k := self.value(depth + 1)) is not None and k != ">>":
+                v = self.value(depth + 1)
+                if isinstance(k, Name) and not (isinstance(v, Word) and v == ">>"):
+                    out[k] = v
+                elif isinstance(v, Word) and v == ">>":
+                    break
+            return out
+        if t == b"[":
+            some = []
+            while (v := self.value(depth + 1)) is not None and not (isinstance(v, Word) and v == "]"):
+                some.append(v)
+            return some
+        if t == b"(":
+            return self.literal()
+        if t[:1] == b"<" and t != b"<<":
+            digits = re.sub(rb"\s", b"", t[1:-1])
+            return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+        if t[:1] == b"/":
+            return Name(re.sub(r"#([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), t[1:].decode("latin-1")))
+        if re.fullmatch(rb"[+-]?\d+", t):
+            if m := re.compile(rb"\s+\d{1,5}\s+R\b").match(self.raw, self.at):
+                self.at = m.end()
+                return Ref(int(t))
+            return int(t)
+        if re.fullmatch(rb"[+-]?(?:\d+\.\d*|\.\d+)", t):
+            return float(t)
+        return Word(t.decode("latin-1"))
+
+
+class Document:
+    """The objects of a file. Later objects of a number replace earlier ones."""
+
+    def __init__(self, raw: bytes) -> None:
+        plausible(raw)
+        self.raw, self.objects, self.inflated = raw, {}, 0
+        if re.search(rb"/Encrypt\b", raw):
+            raise BadDocument("MALFORMED_DOCUMENT")
+        for m in OBJECT.finditer(raw):
+            scan = Scanner(raw, m.end())
+            value = scan.value()
+            if isinstance(value, dict) and (s := re.compile(rb"\s*stream\r?\n").match(raw, scan.at)):
+                size = value.get("Length")
+                end = s.end() + size if isinstance(size, int) and raw[s.end() + size : s.end() + size + 20].lstrip().startswith(b"endstream") else raw.find(b"endstream", s.end())
+                value = Stream(value, raw[s.end() : end if end >= 0 else len(raw)])
+            self.objects[int(m[1])] = value
+            if len(self.objects) > MAX_OBJECTS:
+                raise BadDocument("SUSPICIOUS_DOCUMENT")
+        for stream in [v for v in self.objects.values() if isinstance(v, Stream) and v.info.get("Type") == "ObjStm"]:
+            self.unpack(stream)
+
+    def unpack(self, stream: Stream) -> None:
+        """Adds the objects of an object stream."""
+        data, first = self.decoded(stream), stream.info.get("First", 0)
+        head = Scanner(data[:first])
+        for _ in range(min(stream.info.get("N", 0), MAX_OBJECTS)):
+            number, at = head.value(), head.value()
+            if not isinstance(number, int) or not isinstance(at, int):
+                break
+            self.objects.setdefault(number, Scanner(data, first + at).value())
+
+    def get(self, value, depth: int = 0):
+        """What a reference leads to."""
+        while isinstance(value, Ref) and depth < DEEPEST:
+            value, depth = self.objects.get(value.number), depth + 1
+        return value
+
+    def decoded(self, stream: Stream) -> bytes:
+        """A stream's data, if it is plain or Flate; all streams together inflate to a bound."""
+        filters = self.get(stream.info.get("Filter")) or []
+        filters = [filters] if isinstance(filters, Name) else filters
+        data = stream.raw
+        for f in filters:
+            if self.get(f) != "FlateDecode":
+                return b""
+            inflate = zlib.decompressobj()
+            try:
+                data = inflate.decompress(data, MAX_SWEEP - self.inflated + 1)
+            except zlib.error:
+                return b""
+            self.inflated += len(data)
+            if self.inflated > MAX_SWEEP:
+                raise BadDocument("SUSPICIOUS_DOCUMENT")
+        return data
+
+    def pages(self) -> list[dict]:
+        """Pages in reading order, with what they inherit."""
+        root = next((v for v in self.objects.values() if isinstance(v, dict) and v.get("Type") == "Catalog"), None)
+        out, seen = [], set()
+        todo = [(root.get("Pages"), {})] if root else []
+        while todo:
+            ref, above = todo.pop()
+            node = self.get(ref)
+            if not isinstance(node, dict) or isinstance(ref, Ref) and ref.number in seen:
+                continue
+            seen.add(ref.number if isinstance(ref, Ref) else None)
+            own = above | node
+            if node.get("Type") == "Page" or "Kids" not in node:
+                out.append(own)
+                if len(out) > MAX_PAGES:
+                    raise BadDocument("SUSPICIOUS_DOCUMENT")
+            else:
+                kept = {k: own[k] for k in ("Resources",) if k in own}
+                todo += [(k, kept) for k in reversed(self.get(node["Kids"]) or [])]
+        if not out:
+            raise BadDocument("MALFORMED_DOCUMENT")
+        return out
+
+
+def plausible(raw: bytes) -> None:
+    """A header at the very start; data before it lets readers disagree."""
+    at = raw[: HEADER_REACH + 5].find(b"%PDF-")
+    if at:
+        raise BadDocument("SUSPICIOUS_DOCUMENT" if at > 0 else "MALFORMED_DOCUMENT")
+
+
+def text_string(raw) -> str:
+    """A string outside of page contents."""
+    if not isinstance(raw, bytes):
+        return ""
+    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
+
+
+def to_unicode(cmap: bytes) -> tuple[dict[int, str], int]:
+    """Codes to text from a ToUnicode map, and bytes of a code."""
+    out: dict[int, str] = {}
+    width = 1
+    plain = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+    for body in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+        for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<((?:[0-9A-Fa-f]{2})+)>", body):
+            width = max(width, len(a) // 2)
+            out[int(a, 16)] = plain(b)
+    for body in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+        for a, z, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<((?:[0-9A-Fa-f]{2})+)>", body):
+            width, start = max(width, len(a) // 2), plain(b)
+            for k in range(min(int(z, 16) - int(a, 16) + 1, 65_536)):
+                out[int(a, 16) + k] = start[:-1] + chr(min(ord(start[-1]) + k, 0x10FFFF))
+    return out, width
+
+
+@dataclass
+class Piece:
+    """Text at a place of a page."""
+
+    text: str
+    x: float
+    y: float
+    size: float
+    width: float
+
+
+@dataclass
+class Page:
+    pieces: list[Piece] = field(default_factory=list)
+    pictures: int = 0
+
+
+class Interpreter:
+    """Runs a page's content for its text and counts its pictures."""
+
+    def __init__(self, document: Document) -> None:
+        self.document, self.page, self.fonts = document, Page(), {}
+
+    def font(self, resources: dict, name: str):
+        ref = (self.document.get(resources.get("Font")) or {}).get(name)
+        key = ref.number if isinstance(ref, Ref) else name
+        if key not in self.fonts:
+            info = self.document.get(ref) or {}
+            cmap = self.document.get(info.get("ToUnicode")) if isinstance(info, dict) else None
+            self.fonts[key] = to_unicode(self.document.decoded(cmap)) if isinstance(cmap, Stream) else None
+        return self.fonts[key]
+
+    def run(self, data: bytes, resources: dict, base: tuple = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), depth: int = 0) -> None:
+        scan, stack = Scanner(data), []
+        ctm, saved = base, []
+        line = tm = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+        font, size, leading = None, 10.0, 0.0
+        while (v := scan.value()) is not None:
+            if not isinstance(v, Word):
+                stack.append(v)
+                continue
+            n = [float(x) for x in stack if isinstance(x, (int, float))]
+            if v == "BT":
+                line = tm = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+            elif v == "q":
+                saved.append(ctm)
+            elif v == "Q":
+                ctm = saved.pop() if saved else base
+            elif v == "cm" and len(n) == 6:
+                ctm = product(n, ctm)
+            elif v == "Tf" and n and stack and isinstance(stack[0], Name):
+                font, size = self.font(resources, stack[0]), n[-1]
+            elif v == "TL" and n:
+                leading = n[-1]
+            elif v in ("Td", "TD") and len(n) >= 2:
+                leading = -n[1] if v == "TD" else leading
+                line = tm = product((1, 0, 0, 1, n[0], n[1]), line)
+            elif v == "Tm" and len(n) == 6:
+                line = tm = tuple(n)
+            elif v == "T*":
+                line = tm = product((1, 0, 0, 1, 0, -leading), line)
+            elif v in ("Tj", "'", '"', "TJ"):
+                if v in ("'", '"'):
+                    line = tm = product((1, 0, 0, 1, 0, -leading), line)
+                for part in stack[-1] if stack and isinstance(stack[-1], list) else stack[-1:]:
+                    if isinstance(part, bytes):
+                        tm = self.show(self.plain(part, font), product(tm, ctm), tm, size)
+                    elif isinstance(part, (int, float)):
+                        tm = product((1, 0, 0, 1, -part / 1000 * size, 0), tm)
+            elif v == "BI":
+                self.page.pictures += 1
+                scan.at = max(scan.at, data.find(b"EI", scan.at) + 2)
+            elif v == "Do" and stack and isinstance(stack[-1], Name):
+                thing = self.document.get((self.document.get(resources.get("XObject")) or {}).get(stack[-1]))
+                if isinstance(thing, Stream) and thing.info.get("Subtype") == "Image":
+                    self.page.pictures += 1
+                elif isinstance(thing, Stream) and depth < 5:
+                    own = self.document.get(thing.info.get("Resources")) or resources
+                    self.run(self.document.decoded(thing), own, ctm, depth + 1)
+            stack = []
+
+    def plain(self, raw: bytes, font) -> str:
+        if not font:
+            return raw.decode("cp1252", "replace")
+        codes, width = font
+        return "".join(codes.get(int.from_bytes(raw[i : i + width], "big"), "�") for i in range(0, len(raw), width))
+
+    def show(self, text: str, at: tuple, tm: tuple, size: float) -> tuple:
+        scale = abs(at[3]) or abs(at[1]) or 1.0
+        width = len(text) * EM * size
+        if text:
+            self.page.pieces.append(Piece(text, at[4], at[5], size * scale, width * (abs(at[0]) or 1.0)))
+        return product((1, 0, 0, 1, width, 0), tm)
+
+
+def product(a, b) -> tuple:
+    """Matrix a, then b."""
+    return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
+
+
+def assembled(pieces: list[Piece]) -> str:
+    """Lines, soft wraps and columns of one page, by the rules of ``assembly``."""
+    lines: list[list[Piece]] = []
+    for p in pieces:
+        if lines and abs(lines[-1][0].y - p.y) <= SAME_LINE:
+            lines[-1].append(p)
+        else:
+            lines.append([p])
+    paragraphs: list[str] = []
+    above: tuple[float, float] | None = None
+    for line in lines:
+        text, edge = "", None
+        for p in line:
+            if not p.text.strip():
+                text += COLUMN_BREAK if p.width >= COLUMN_GAP else p.text
+                continue
+            if edge is not None and not text.endswith(COLUMN_BREAK) and p.x - edge >= COLUMN_GAP:
+                text += COLUMN_BREAK
+            elif edge is not None and p.x - edge > 0.15 * p.size and not text.endswith((" ", COLUMN_BREAK)) and not p.text.startswith(" "):
+                text += " "
+            text += p.text
+            edge = p.x + p.width if p.width > 0 else None
+        text = text.strip()
+        if not text:
+            continue
+        height = max(p.size for p in line)
+        if above and max(above[1], height) < STRUCTURAL and 0 < above[0] - line[0].y <= above[1] * SOFT_WRAP:
+            paragraphs[-1] += ("" if paragraphs[-1].endswith("-") else " ") + text
+        else:
+            paragraphs.append(text)
+        above = line[0].y, height
+    return "\n\n".join(paragraphs)
+
+
+def read_pdf(raw: bytes) -> dict:
+    """text (blocks of pages, notes and form fields), locators, unreadable, warnings."""
+    document = Document(raw)
+    blocks: list[tuple[str, str]] = []
+    unreadable, removed = [], set()
+    for number, info in enumerate(document.pages(), 1):
+        own = Interpreter(document)
+        contents = document.get(info.get("Contents"))
+        streams = contents if isinstance(contents, list) else [contents]
+        data = b"\n".join(document.decoded(s) for s in map(document.get, streams) if isinstance(s, Stream))
+        own.run(data, document.get(info.get("Resources")) or {})
+        text = assembled(own.page.pieces)
+        if not text and own.page.pictures:
+            unreadable.append(f"page:{number}")
+        blocks.append((f"page:{number}", text))
+        for note in map(document.get, document.get(info.get("Annots")) or []):
+            if isinstance(note, dict):
+                removed.add("annotations")
+                for key in ("Contents", "V", "TU"):
+                    if said := text_string(document.get(note.get(key))):
+                        blocks.append((f"page:{number}:{key}", said))
+    warnings = [f"Removed: {x}." for x in sorted(removed | {c for c, n in channels(document).items() if n and c != "annotations"})]
+    return {"text": BLOCK_BREAK.join(t for _, t in blocks), "locators": [k for k, _ in blocks], "unreadable": unreadable, "warnings": warnings}
+
+
+def channels(document: Document) -> dict[str, int]:
+    """What a file holds besides its pages."""
+    found = dict.fromkeys(("annotations", "forms", "embedded files", "XMP metadata", "JavaScript", "bookmarks", "document properties"), 0)
+    marks = {"AcroForm": "forms", "EmbeddedFiles": "embedded files", "Metadata": "XMP metadata", "JavaScript": "JavaScript", "JS": "JavaScript", "Outlines": "bookmarks", "Annots": "annotations"}
+    for v in document.objects.values():
+        info = v.info if isinstance(v, Stream) else v
+        if not isinstance(info, dict):
+            continue
+        for key, channel in marks.items():
+            found[channel] += key in info and bool(document.get(info[key]))
+        found["embedded files"] += info.get("Type") == "EmbeddedFile"
+        found["document properties"] += any(isinstance(document.get(info.get(k)), bytes) for k in ("Author", "Title", "Subject", "Keywords", "Creator"))
+    return found
+
+
+def sweep(raw: bytes) -> tuple[str, list[str]]:
+    """All text that any object or stream holds, and the channels that a written file must not have."""
+    document, said = Document(raw), []
+
+    def strings(v, depth: int = 0) -> None:
+        if isinstance(v, bytes):
+            said.append(text_string(v))
+        elif depth < DEEPEST:
+            for x in v.values() if isinstance(v, dict) else v if isinstance(v, list) else ():
+                strings(x, depth + 1)
+
+    for v in document.objects.values():
+        if isinstance(v, Stream):
+            strings(v.info)
+            data = document.decoded(v)
+            if b"Tj" not in data and b"TJ" not in data:  # of page contents, the strings: coordinates are no text
+                said.append(data.decode("latin-1"))
+            scan = Scanner(data)
+            while (x := scan.value()) is not None:
+                strings(x)
+        else:
+            strings(v)
+    return "\n".join(said), [c for c, n in channels(document).items() if n]
+
+
+def wrapped(text: str, most: int) -> list[str]:
+    """A paragraph in lines, broken at spaces only, so that no placeholder is cut; a longer word stands alone."""
+    out, line = [], ""
+    for word in text.split(" "):
+        if line and len(line) + 1 + len(word) > most:
+            out.append(line)
+            line = word
+        else:
+            line = f"{line} {word}" if line else word
+    return [*out, line]
+
+
+def write_pdf(text: str) -> tuple[bytes, int]:
+    """A new file of a text, block by block, and the characters its font lacks (set as question marks)."""
+    pages: list[list[tuple[float, float, bytes]]] = []
+    lost = 0
+    most = int((WIDTH - 2 * MARGIN) / (SIZE * EM))
+    for block in text.split(BLOCK_BREAK):
+        y = HEIGHT - MARGIN
+        pages.append([])
+        for row in block.split("\n"):  # an empty row is the gap between paragraphs
+            for line in wrapped(row.replace("\t", "    "), most):
+                if y < MARGIN:
+                    pages.append([])
+                    y = HEIGHT - MARGIN
+                x = float(MARGIN)
+                for part in line.split(COLUMN_BREAK):
+                    clean = "".join(c for c in part if c.isprintable() or c == "\xa0")
+                    raw = clean.encode("cp1252", "replace")
+                    lost += sum(a != b for a, b in zip(clean, raw.decode("cp1252", "replace"), strict=True))
+                    if raw:
+                        pages[-1].append((x, y, raw))
+                    x += len(raw) * SIZE * EM + COLUMN_GAP + 4
+                y -= LEADING
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
+    kids = []
+    for page in pages:
+        quoted = ((x, y, re.sub(rb"([\\()])", rb"\\\1", raw)) for x, y, raw in page)
+        body = b"BT /F1 %d Tf\n" % SIZE + b"".join(b"1 0 0 1 %.1f %.1f Tm (%s) Tj\n" % q for q in quoted) + b"ET"
+        packed = zlib.compress(body, 9)
+        objects.append(b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(packed), packed))
+        kids.append(len(objects) + 1)
+        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %d %d] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (WIDTH, HEIGHT, len(objects)))
+    objects[1] = b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(kids), b" ".join(b"%d 0 R" % k for k in kids))
+    out, places = bytearray(b"%PDF-1.4\n"), []
+    for i, o in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (i, o)
+    table = len(out)
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
+    out += b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, table)
+    return bytes(out), lost

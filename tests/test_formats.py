@@ -2,6 +2,7 @@
 
 import io
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from maskwright.functions.strings import encodable, safe_file_name, sanitized_file_name
 from maskwright.plans.options import AnalyzeOptions
 from maskwright.plans.pipeline import analyze, sanitize
-from maskwright.sources import assembly, docx, formats
+from maskwright.sources import assembly, docx, formats, pdf
 from maskwright.sources.files import process
 from maskwright.streaming.stream import read_documents, sanitize_stream, write_gated
 
@@ -152,13 +153,70 @@ def test_streams(spark, tmp_path):
 def test_files_end_to_end(spark):
     word = package(**{"word__document.xml": "<w:document><w:p><w:t>Mail a@b</w:t><w:t>.co now</w:t></w:p></w:document>"})
     media_only = docx.write_zip({"word/document.xml": b"<w:document/>", "word/media/i.png": b"x"})
-    cases = [("a.txt", b"mail a@b.co"), ("b.json", b'{"m":"a@b.co"}'), ("c.docx", word), ("d.docx", media_only), ("e.pdf", b"%PDF-1"), ("f.pdf", b"junk%PDF-1"), ("g.csv", b"a,b\na@b.co,2"), ("h.zip", b"PK\x03\x04"), ("i.txt", b"")]
+    cases = [("a.txt", b"mail a@b.co"), ("b.json", b'{"m":"a@b.co"}'), ("c.docx", word), ("d.docx", media_only), ("e.pdf", b"%PDF-1"), ("f.pdf", b"junk%PDF-1"), ("p.pdf", HAND), ("q.pdf", pdf.write_pdf("Call a@b.co\n\nor A@B.co, a\x1fb\x0cCard 4111 1111\n1111 1111")[0]), ("g.csv", b"a,b\na@b.co,2"), ("h.zip", b"PK\x03\x04"), ("i.txt", b"")]
     df = spark.createDataFrame([(n, bytearray(c)) for n, c in cases], "file_name string, content binary")
-    rows = {r.file_name: r for r in process(df, AnalyzeOptions(("EMAIL",))).collect()}
+    rows = {r.file_name: r for r in process(df, AnalyzeOptions(("EMAIL", "CREDIT_CARD"))).collect()}
     assert bytes(rows["a.txt"].bytes) == b"mail [EMAIL_001]" and rows["a.txt"].sanitized_name == "sanitized-a.txt"
     assert bytes(rows["b.json"].bytes) == b'{"m":"[EMAIL_001]"}' and bytes(rows["g.csv"].bytes) == b"a,b\n[EMAIL_001],2"
     assert docx.read_docx(bytes(rows["c.docx"].bytes)).text == "Mail [EMAIL_001] now" and rows["c.docx"].replaced_occurrences == 1
     held = rows["d.docx"]
     assert (held.status, held.error_code, held.bytes) == ("inconclusive", "VERIFICATION_FAILED", None)
     assert [c.id for c in held.checks if c.status != "pass"] == ["unreadable-content"]
-    assert [rows[n].error_code for n in ("e.pdf", "f.pdf", "h.zip", "i.txt")] == ["NOT_IMPLEMENTED", None, "UNSUPPORTED_FORMAT", "INVALID_INPUT"] and rows["f.pdf"].format == "txt"
+    assert [rows[n].error_code for n in ("e.pdf", "f.pdf", "h.zip", "i.txt")] == ["MALFORMED_DOCUMENT", None, "UNSUPPORTED_FORMAT", "INVALID_INPUT"] and rows["f.pdf"].format == "txt"
+    assert rows["p.pdf"].status == "inconclusive" and rows["p.pdf"].bytes is None and len(rows["p.pdf"].extract_warnings) == 3
+    done = rows["q.pdf"]
+    assert (done.status, done.error_code, done.replaced_groups, done.replaced_occurrences) == ("pass", None, 2, 3)
+    assert [c.id for c in done.checks] == ["residual-values", "placeholders-present", "deep-streams", "structural-channels"]
+    assert pdf.read_pdf(bytes(done.bytes))["text"] == "Call [EMAIL_001]\n\nor [EMAIL_001], a\x1fb\x0cCard [CREDIT_CARD_001]"
+
+
+HAND = b"""%PDF-1.4
+1 0 obj << /Type /Catalog /Pages 2 0 R /Outlines 9 0 R /AcroForm << /Fields [] >> >> endobj
+2 0 obj << /Type /Pages /Kids [3 0 R 6 0 R] /Count 2 /Resources << /Font << /F1 5 0 R >> >> >> endobj
+3 0 obj << /Type /Page /Parent 2 0 R /Contents 4 0 R /Annots [7 0 R] >> endobj
+4 0 obj << /Length 95 >> stream
+BT /F1 10 Tf 50 700 Td (Hello \\(x\\)) Tj 0 -12 Td [(wor) -20 (ld)] TJ 100 0 Td <666172> Tj ET
+endstream endobj
+5 0 obj << /Type /Font >> endobj
+6 0 obj << /Type /Page /Parent 2 0 R /Contents 8 0 R /Resources << /XObject << /I 10 0 R >> >> >> endobj
+7 0 obj << /Contents (note a@b.co) >> endobj
+8 0 obj << /Length 5 >> stream
+/I Do
+endstream endobj
+9 0 obj << /Count 1 >> endobj
+10 0 obj << /Subtype /Image /Length 1 >> stream
+x
+endstream endobj
+"""
+
+
+def test_pdf_text_and_channels():
+    found = pdf.read_pdf(HAND)
+    assert found["text"] == "Hello (x) world\x1ffar\x0cnote a@b.co\x0c" and found["unreadable"] == ["page:2"]
+    assert found["locators"] == ["page:1", "page:1:Contents", "page:2"]
+    said, left = pdf.sweep(HAND)
+    assert left == ["annotations", "forms", "bookmarks"] and "note a@b.co" in said and "Hello (x)" in said
+
+
+def test_pdf_written_and_read():
+    text = "Title\n\n" + "many words " * 60 + "[EMAIL_001]\n\nleft\x1fright\x0c(paren) \\ \u00e9\x0c\x0cend"
+    raw, lost = pdf.write_pdf(text)
+    assert pdf.write_pdf(text)[0] == raw and lost == 0 and pdf.write_pdf("\u2603\u2603")[1] == 2
+    assert pdf.read_pdf(raw)["text"] == text and pdf.sweep(raw)[1] == []
+
+
+def test_pdf_object_streams_and_maps():
+    inner = b"11 0 12 2 5 << /T (in stream) >>"
+    packed = zlib.compress(inner)
+    raw = b"%PDF-1.5\n" + b"1 0 obj << /Type /ObjStm /N 2 /First 10 /Filter /FlateDecode /Length %d >> stream\n" % len(packed) + packed + b"\nendstream endobj"
+    document = pdf.Document(raw)
+    assert document.objects[11] == 5 and document.objects[12] == {"T": b"in stream"}
+    codes, width = pdf.to_unicode(b"1 beginbfchar <0041> <00480069> endbfchar 1 beginbfrange <0050> <0052> <0061> endbfrange")
+    assert width == 2 and codes == {0x41: "Hi", 0x50: "a", 0x51: "b", 0x52: "c"}
+
+
+@pytest.mark.parametrize(("raw", "code"), [(b"junk%PDF-1.4", "SUSPICIOUS_DOCUMENT"), (b"nothing", "MALFORMED_DOCUMENT"), (b"%PDF-1.4 /Encrypt 1 0 R", "MALFORMED_DOCUMENT"), (b"%PDF-1.4 1 0 obj << endobj", "MALFORMED_DOCUMENT"), (b"%PDF-1.4 1 0 obj " + b"[" * 5000, "MALFORMED_DOCUMENT")])
+def test_bad_pdf_files(raw, code):
+    with pytest.raises(docx.BadDocument) as e:
+        pdf.read_pdf(raw)
+    assert e.value.code == code
