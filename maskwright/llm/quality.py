@@ -8,13 +8,13 @@ descent over a bounded sample of labelled rows (``ROWS``); whole texts are featu
 executors, so the driver gets at most ``ROWS`` lists of at most ``BUCKETS`` counts.
 
 To score, the two class scores of an average differ by the average of the buckets' own differences,
-as both are linear; so a word costs a look-up of one number, and the result is the softmax's.
+as both are linear; so a word or
+n-gram costs a look-up of one number, in array operations, and the result is the softmax's.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.llm.common import extended, held_out, in_arrow, texts, training_sample, word_runs
+from maskwright.llm.common import extended, held_out, in_arrow, texts, training_sample
 
 BUCKETS = 1 << 16
 #: Bucket of a word that repeats its predecessor.
@@ -35,31 +35,91 @@ DIMENSIONS = 8
 ROWS = 6000
 EPOCHS = 12
 RATE = 0.5
-#: Distinct words that a worker remembers.
-REMEMBERED = 250_000
+#: Characters looked at together.
+RUN = 1 << 20
+WHITE = re.compile(r"\s")
+#: Odd multipliers of the hashes.
+STEP, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Characters that end words; above the last, none does.
+SPACES = np.zeros(0x3002, dtype=bool)
+SPACES[[i for i in range(len(SPACES) - 1) if chr(i).isspace()]] = True
 
 
-def buckets(word: str) -> list[int]:
-    """The buckets of a word: its own and those of its n-grams. Long words count their first and last 64 characters' n-grams."""
-    marked = f"<{word}>".encode()
-    found = [zlib.crc32(marked)]
-    marked = f"<{word}>" if len(word) <= 128 else f"<{word[:64]}\x00{word[-64:]}>"
+def bucket(hashed: np.ndarray, kind: int) -> np.ndarray:
+    """Buckets 1 to BUCKETS - 1 of hashes of words (kind 0) or n-grams (kind n)."""
+    mixed = (hashed + np.uint64(kind)) * SPREAD
+    mixed ^= mixed >> np.uint64(32)
+    return (mixed * STEP >> np.uint64(40)).astype(np.int64) % (BUCKETS - 1) + 1
+
+
+def features(whole: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of (index of the text, bucket) of every word, n-gram and repeated word.
+
+    Texts are run together and cut at white space by array operations; none is cut off.
+    """
+    codes = np.frombuffer(" ".join(["", *whole, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    # the text that a place belongs to; the space between two belongs to the first
+    owner = np.repeat(np.arange(len(whole) + 1), [1, *(len(t) + 1 for t in whole)]) - 1
+    space = SPACES[np.minimum(codes, len(SPACES) - 1)]
+    kept = ~space
+    kept[1:] |= ~space[:-1]
+    kept[0] = True
+    codes, owner, space = codes[kept].astype(np.uint64), owner[kept], space[kept]
+    codes[space] = 32
+    # from here, words stand between single spaces
+    edge = np.flatnonzero(space)
+    begins, ends = edge[:-1] + 1, edge[1:]
+    if not len(begins):
+        return
+    forward = np.cumprod(np.full(len(codes), STEP, dtype=np.uint64))
+    back = np.cumprod(np.full(len(codes), pow(int(STEP), -1, 1 << 64), dtype=np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * forward)))
+    words = (sums[ends] - sums[begins]) * back[begins]
+    of = owner[begins]
+    yield of, bucket(words, 0)
+    again = np.flatnonzero((words[1:] == words[:-1]) & (of[1:] == of[:-1])) + 1
+    yield of[again], np.full(len(again), REPEAT)
     for n in GRAMS:
-        found += [zlib.crc32(marked[i : i + n].encode()) for i in range(len(marked) - n + 1)]
-    return [x % (BUCKETS - 1) + 1 for x in found]
+        last = len(codes) - n + 1
+        if last <= 0:
+            continue
+        inner = ~space[1 : last + 1]
+        hashed = codes[:last].copy()
+        for k in range(1, n):
+            hashed = hashed * STEP + codes[k : last + k]
+            if 1 < k < n - 1:
+                inner &= ~space[k : last + k]
+        at = np.flatnonzero(inner)
+        # an n-gram belongs to the text of its second character, the first inside the word
+        yield owner[at + 1], bucket(hashed[at], n)
+
+
+def parts(text: str) -> list[str]:
+    """A text in parts of about RUN characters, cut at white space (a longer word is cut too)."""
+    out, at = [], 0
+    while len(text) - at > RUN:
+        m = WHITE.search(text, at + RUN, at + 2 * RUN)
+        end = m.end() if m else min(len(text), at + 2 * RUN)
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
+def repeats_between(some: list[str]) -> int:
+    """Words that begin a part and repeat the word that ended the one before."""
+    last = [x.rsplit(None, 1)[-1:] for x in some[:-1]]
+    first = [x.split(None, 1)[:1] for x in some[1:]]
+    return sum(bool(a) and a == b for a, b in zip(last, first, strict=True))
 
 
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The distinct buckets of a whole text and how often each occurs."""
     total = np.zeros(BUCKETS, dtype=np.int64)
-    last = None
-    for words in word_runs(text):
-        repeats = sum(map(str.__eq__, words[1:], words)) + (bool(words) and words[0] == last)
-        last = words[-1] if words else last
-        total[REPEAT] += repeats
-        for word, n in Counter(words).items():
-            for b in buckets(word):
-                total[b] += n
+    cut = parts(text)
+    total[REPEAT] = repeats_between(cut)
+    for part in cut:
+        for _, b in features([part]):
+            total += np.bincount(b, minlength=BUCKETS)
     found = np.flatnonzero(total)
     return found, total[found]
 
@@ -100,48 +160,38 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
 
 
 class Scorer:
-    """Scores of whole texts under a trained model, with the words' sums remembered."""
+    """Scores of whole texts under a trained model."""
 
     def __init__(self, difference: np.ndarray, bias: float) -> None:
         self.difference, self.bias = difference, bias
-        self.place: dict[str, int] = {}
-        self.sums, self.sizes = np.zeros(1024), np.zeros(1024)
-
-    def learn(self, words: set[str]) -> None:
-        absent = [w for w in words if w not in self.place]
-        if len(self.place) + len(absent) > REMEMBERED and self.place:
-            self.place.clear()
-            absent = list(words)
-        at = len(self.place)
-        if (need := at + len(absent)) > len(self.sums):
-            self.sums, self.sizes = (np.concatenate((x, np.zeros(need))) for x in (self.sums, self.sizes))
-        lists = [buckets(w) for w in absent]
-        if lists:
-            ends = np.cumsum([len(x) for x in lists])
-            every = self.difference[np.concatenate(lists)]
-            self.sums[at:need] = np.add.reduceat(every, np.concatenate(([0], ends[:-1])))
-            self.sizes[at:need] = np.diff(ends, prepend=0)
-        self.place.update(zip(absent, range(at, need), strict=True))
-
-    def add(self, words: list[str], last: str | None) -> tuple[float, float]:
-        place = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
-        repeats = int((place[1:] == place[:-1]).sum()) + (bool(words) and words[0] == last)
-        return float(self.sums[place].sum()) + repeats * self.difference[REPEAT], float(self.sizes[place].sum()) + repeats
-
-    def score(self, whole: list[str]) -> Iterator[float]:
-        split = [next(word_runs(t)) if len(t) <= 1 << 16 else None for t in whole]
-        self.learn({w for words in split if words for w in words})
-        for text, words in zip(whole, split, strict=True):
-            if words is not None:
-                total, n = self.add(words, None)
-            else:
-                total, n, last = 0.0, 0.0, None
-                for words_ in word_runs(text):
-                    self.learn(set(words_))
-                    more, size = self.add(words_, last)
-                    total, n, last = total + more, n + size, words_[-1] if words_ else last
-                self.learn({w for words in split if words for w in words})
-            yield 1 / (1 + np.exp(-np.clip(self.bias + (total / n if n else 0.0), -700, 700)))
+
+    def score(self, whole: list[str]) -> np.ndarray:
+        total, n = np.zeros(len(whole)), np.zeros(len(whole))
+        some: list[str] = []
+        owners: list[int] = []
+        size = 0
+        for i, text in enumerate(whole):
+            cut = parts(text)
+            if len(cut) > 1:
+                more = repeats_between(cut)
+                total[i] += more * self.difference[REPEAT]
+                n[i] += more
+            for part in cut:
+                some.append(part)
+                owners.append(i)
+                size += len(part)
+                if size >= RUN:
+                    self.add(some, owners, total, n)
+                    some, owners, size = [], [], 0
+        self.add(some, owners, total, n)
+        z = self.bias + total / np.maximum(n, 1)
+        return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+
+    def add(self, some: list[str], owners: list[int], total: np.ndarray, n: np.ndarray) -> None:
+        """Adds the buckets' differences, and their number, of parts of texts."""
+        for of, b in features(some) if some else ():
+            np.add.at(total, owners, np.bincount(of, self.difference[b], minlength=len(some)))
+            np.add.at(n, owners, np.bincount(of, minlength=len(some)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS) -> tuple[np.ndarray, float]:
@@ -166,13 +216,10 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float, s
     and gets the score of the bias alone.
     """
     docs = docs.drop(score, "predicted")
-    held: list[Scorer] = []
-    difference, bias = model[0].astype(np.float64), model[1]
+    scorer = Scorer(model[0].astype(np.float64), model[1])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not held:
-            held.append(Scorer(difference, bias))
-        p = np.fromiter(held[0].score(texts(batch.column("text"))), dtype=np.float64, count=batch.num_rows)
+        p = scorer.score(texts(batch.column("text")))
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names, score, "predicted"])
 
     return in_arrow(docs, work, extended(docs.schema, **{score: T.DoubleType()}, predicted=T.IntegerType()))
