@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.llm.common import extended, held_out, in_arrow, texts, training_sample, word_runs, written
+from maskwright.llm.stretches import Table
 
 #: Plain English insults, and second-person words of four languages.
 INSULTS = "idiot stupid moron loser trash scum pathetic worthless disgusting clown dumb fool jerk imbecile filth garbage creep freak coward liar".split()
@@ -40,7 +41,6 @@ FOLDS = 4
 LEAST, ODDS = 4, 2.5
 #: Words around a second-person word in which a lexicon word is near it.
 NEAR = 5
-REMEMBERED = 150_000
 FEATURES = ("listed", "whole", "begins", "whole_log", "begins_log", "weight", "heaviest", "second", "near", "capitals", "shouted", "exclaims", "asks", "symbols", "digits", "disguised", "mixed", "words_log")
 TREES, DEPTH, SHRINK, BINS, LEAST_LEAF = 80, 3, 0.15, 32, 12
 
@@ -70,9 +70,22 @@ class Featuriser:
 
     def __init__(self, lexicon: dict[int, float]) -> None:
         self.lexicon = lexicon
-        self.place: dict[str, int] = {}
-        self.held = np.zeros((1024, self.HELD), dtype=np.float32)
         self.listed, self.second = frozenset(INSULTS), frozenset(SECOND_PERSON)
+        # the table gives a word's row in ``held``
+        self.table = Table(self.register, most=1 << 20, emptied=self.forget)
+
+    def forget(self) -> None:
+        self.held, self.known = np.zeros((1024, self.HELD), dtype=np.float32), 0
+
+    def register(self, words: list[str]) -> list[bytes]:
+        """Rows of new words, as the table wants them."""
+        at, need = self.known, self.known + len(words)
+        if need > len(self.held):
+            self.held = np.concatenate((self.held[:at], np.zeros((need, self.HELD), dtype=np.float32)))
+        self.held[at:need] = [self.of_word(w.strip(" ")) for w in words]
+        self.known = need
+        raw = np.arange(at, need, dtype="<u4").tobytes()
+        return [raw[i : i + 4] for i in range(0, len(raw), 4)]
 
     def of_word(self, word: str) -> tuple[float, ...]:
         own = core(word)
@@ -91,33 +104,25 @@ class Featuriser:
         found = [self.lexicon.get(t, 0.0) for t in terms(own)]
         return found[0], max(found[1:], default=0.0)
 
-    def learn(self, words: set[str]) -> None:
-        absent = [w for w in words if w not in self.place]
-        if len(self.place) + len(absent) > REMEMBERED and self.place:
-            self.place.clear()
-            absent = list(words)
-        at = len(self.place)
-        if (need := at + len(absent)) > len(self.held):
-            self.held = np.concatenate((self.held, np.zeros((need, self.HELD), dtype=np.float32)))
-        if absent:
-            self.held[at:need] = [self.of_word(w) for w in absent]
-        self.place.update(zip(absent, range(at, need), strict=True))
-
-    def one(self, text: str) -> np.ndarray:
-        """The features of a text, run by run if it is very long."""
-        sums, heaviest, near, n = np.zeros(self.HELD + 2), 0.0, 0, 0
-        for words in word_runs(text):
-            self.learn(set(words))
-            held = self.held[np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))]
+    def rows(self, runs: list[list[str]]) -> list[np.ndarray]:
+        """What the words of each run hold."""
+        return [self.held[i] for i in self.table.ids([" ".join(r).encode("utf-8", "replace") for r in runs])]
+
+    def one(self, text: str, whole: np.ndarray | None = None) -> np.ndarray:
+        """The features of a text; run by run, if what its words hold is not at hand."""
+        sums, heaviest, near, n = np.zeros(self.HELD + 1), 0.0, 0, 0
+        for held in [whole] if whole is not None else (self.rows([r])[0] for r in word_runs(text)):
             marks = held > 0
             sums[: self.HELD] += marks.sum(axis=0)
-            sums[self.HELD] += held[:, 1].sum(dtype=np.float64) + held[:, 2].sum(dtype=np.float64)
-            if len(words):
+            sums[self.HELD] += held[:, 1:3].sum(dtype=np.float64)
+            if len(held):
                 heaviest = max(heaviest, float(held[:, 1:3].max()))
-            hits, others = np.flatnonzero(marks[:, :3].any(axis=1)), np.flatnonzero(marks[:, 3])
-            near += int((np.searchsorted(others, hits + NEAR, "right") > np.searchsorted(others, hits - NEAR)).sum())
-            n += len(words)
-        raw = np.bincount(np.frombuffer(text.encode(), dtype=np.uint8), minlength=256)
+            others = np.flatnonzero(marks[:, 3])
+            if len(others):
+                hits = np.flatnonzero(marks[:, :3].any(axis=1))
+                near += int((np.searchsorted(others, hits + NEAR, "right") > np.searchsorted(others, hits - NEAR)).sum())
+            n += len(held)
+        raw = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8), minlength=256)
         size, per = max(1, int(raw.sum())), max(1, n)
         capitals, small = raw[65:91].sum(), raw[97:123].sum()
         symbols = raw[33:48].sum() + raw[58:65].sum() + raw[91:97].sum() + raw[123:127].sum()
@@ -128,9 +133,13 @@ class Featuriser:
         ])
 
     def many(self, whole: list[str]) -> np.ndarray:
-        split = [t for t in whole if len(t) <= 1 << 16]
-        self.learn({w for t in split for w in t.split()})
-        return np.array([self.one(t) for t in whole]).reshape(len(whole), len(FEATURES))
+        """The features of each text."""
+        short = [i for i, t in enumerate(whole) if len(t) <= 1 << 16]
+        held = {}
+        for at in range(0, len(short), 256):
+            some = short[at : at + 256]
+            held |= zip(some, self.rows([whole[i].split() for i in some]), strict=True)
+        return np.array([self.one(t, held.pop(i, None)) for i, t in enumerate(whole)]).reshape(len(whole), len(FEATURES))
 
 
 class Trees:
