@@ -95,6 +95,33 @@ def test_scores_are_those_of_the_softmax():
         assert score == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-9)
 
 
+def test_features_do_not_depend_on_parts(monkeypatch):
+    texts = ["Was Was it  was\twas é\u3000x", "a" * 300 + " b b b", "", "one", " x x " * 60]
+    rng = np.random.default_rng(2)
+    scorer = quality.Scorer(rng.normal(size=quality.BUCKETS), 0.1)
+    whole, scores = [quality.counts(t) for t in texts], scorer.score(texts)
+    monkeypatch.setattr(quality, "RUN", 16)
+    for t, (b, n) in zip(texts, whole, strict=True):
+        again = quality.counts(t)
+        if len(max(t.split(), key=len, default="")) < 16:
+            assert again[0].tolist() == b.tolist() and again[1].tolist() == n.tolist()
+    assert np.allclose(scorer.score(texts)[[0, 2, 3, 4]], scores[[0, 2, 3, 4]])
+    words = [t.split() for t in texts]
+    for t, w, (b, n) in zip(texts, words, whole, strict=True):
+        grams = sum(max(0, len(x) + 3 - g) for x in w for g in quality.GRAMS)
+        assert n.sum() == len(w) + grams + sum(x == y for x, y in zip(w, w[1:], strict=False)), t
+
+
+def test_features_survive_a_full_table():
+    own = toxicity.Featuriser({})
+    own.table.most = 1 << 16
+    texts = [" ".join(f"w{i}x{j}" for i in range(400)) + " you idiot!!" for j in range(300)]
+    first = own.many(texts[:3])
+    for i in range(0, 300, 20):
+        own.many(texts[i : i + 20])
+    assert np.array_equal(own.many(texts[:3]), first) and own.known <= 5 << 13
+
+
 def test_isotonic_curve_rises():
     rng = np.random.default_rng(0)
     x = rng.normal(size=500)
