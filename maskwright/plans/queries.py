@@ -443,7 +443,17 @@ def capability_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capabilities(spark).withColumn("detectors", F.array_join("detectors", "|"))
 
 
-@query()
+THE_SQL = spans_sql("(SELECT conv_id, string_agg(coalesce(text, ''), chr(12) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)", chr(92) + "b(?i:the)" + chr(92) + "b", "conv_id")
+CONVERSATION_SQL = f"""
+WITH whole AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(12) ORDER BY turn) AS text, list(turn ORDER BY turn) AS turns FROM conversations GROUP BY conv_id),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY first) AS k FROM (SELECT *, min(start_at) OVER (PARTITION BY conv_id, value) AS first FROM ({THE_SQL}))),
+p AS (SELECT *, coalesce(lag(start_at + length(value)) OVER (PARTITION BY conv_id ORDER BY start_at), 0) AS since, max(start_at + length(value)) OVER (PARTITION BY conv_id) AS stop FROM n),
+r AS (SELECT conv_id, string_agg(text[since + 1:start_at] || '[REDACTED_' || CASE WHEN k < 1000 THEN lpad(CAST(k AS VARCHAR), 3, '0') ELSE CAST(k AS VARCHAR) END || ']', '' ORDER BY start_at) || any_value(text[stop + 1:]) AS sanitized FROM p GROUP BY conv_id),
+s AS (SELECT w.conv_id, w.turns, string_split(coalesce(r.sanitized, w.text), chr(12)) AS parts FROM whole w LEFT JOIN r ON w.conv_id = r.conv_id)
+SELECT conv_id, turns[i] AS turn, parts[i] AS sanitized, 'pass' AS status FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM s)"""
+
+
+@query(CONVERSATION_SQL)
 def conversation_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation share its placeholders: they are analysed as one text and cut again."""
     turns = table(spark, sf_dir, "conversations")
@@ -457,7 +467,18 @@ def conversation_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 LAYOUT = "SELECT CAST(l_orderkey AS BIGINT) AS page, CAST(l_linenumber AS INT) AS seq, concat('w', l_linenumber, CASE l_partkey % 5 WHEN 0 THEN '-' ELSE '' END) AS str, CAST(10 + (l_linenumber % 3) * 40 AS DOUBLE) AS x, CAST(700 - 12 * floor((l_linenumber - 1) / 3) - (l_partkey % 2) AS DOUBLE) AS y, CAST(CASE l_suppkey % 6 WHEN 0 THEN 14 ELSE 10 END AS DOUBLE) AS height, CAST(20 + l_partkey % 15 AS DOUBLE) AS width FROM lineitem"
 
 
-@query()
+ASSEMBLY_SQL = f"""
+WITH r AS ({LAYOUT}),
+p AS (SELECT *, (seq - 1) // 3 AS line, x - lag(x + width) OVER (PARTITION BY page, (seq - 1) // 3 ORDER BY seq, str, x, y, height, width) AS gap FROM r),
+l AS (SELECT page, line, first(y ORDER BY seq, str, x, y, height, width) AS y, max(height) AS height, string_agg(CASE WHEN gap >= 16 THEN chr(31) ELSE '' END || str, '' ORDER BY seq, str, x, y, height, width) AS text FROM p GROUP BY page, line),
+w AS (SELECT *, lag(y) OVER o - y AS step, lag(height) OVER o AS above FROM l WINDOW o AS (PARTITION BY page ORDER BY line)),
+g AS (SELECT *, sum(CASE WHEN above < 12 AND height < 12 AND step > 0 AND step <= above * 1.65 THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY line) AS paragraph FROM w),
+j AS (SELECT *, CASE WHEN line = max(line) OVER (PARTITION BY page, paragraph) OR text LIKE '%-' THEN '' ELSE ' ' END AS joiner FROM g),
+q AS (SELECT page, paragraph, string_agg(text || joiner, '' ORDER BY line) AS text FROM j GROUP BY page, paragraph)
+SELECT page, string_agg(text, chr(10) || chr(10) ORDER BY paragraph) AS text FROM q GROUP BY page"""
+
+
+@query(ASSEMBLY_SQL)
 def text_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs from positioned pieces, made from line items."""
     table(spark, sf_dir, "lineitem").createOrReplaceTempView("maskwright_lineitem")

@@ -25,18 +25,20 @@ def lines(runs: DataFrame, *page: str) -> DataFrame:
     column breaks. Windows run within a page, which is the unit of work however large a document is.
     """
     own = runs.filter(F.length("str") > 0)
+    piece = F.struct("seq", "str", "x", "y", "height", "width")
     # a line begins where a piece is far from the one that began the current line: a fold over the page's pieces
-    folded = own.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("seq", "str", "x", "y", "height", "width"))).alias("pieces"))
+    folded = own.groupBy(*page).agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
 
     def step(acc: Column, p: Column) -> Column:
         same = (acc["line"] >= 0) & (F.abs(acc["y"] - p["y"]) <= SAME_LINE)
         line = F.when(same, acc["line"]).otherwise(acc["line"] + 1)
         y = F.when(same, acc["y"]).otherwise(p["y"])
-        return F.struct(line.alias("line"), y.alias("y"), F.concat(acc["out"], F.array(F.struct(line.alias("line"), y.alias("line_y"), p["seq"].alias("seq")))).alias("out"))
+        return F.struct(line.alias("line"), y.alias("y"), F.concat(acc["out"], F.array(F.struct(line.alias("line"), y.alias("line_y")))).alias("out"))
 
-    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("y"), F.array().cast("array<struct<line:int,line_y:double,seq:int>>").alias("out"))
-    placed = folded.select(*page, F.explode(F.aggregate("pieces", start, step)["out"]).alias("p")).select(*page, "p.*")
-    own = own.withColumn("seq", F.col("seq").cast("int")).join(placed, [*page, "seq"])
+    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("y"), F.array().cast("array<struct<line:int,line_y:double>>").alias("out"))
+    lined = F.zip_with("pieces", F.aggregate("pieces", start, step)["out"], lambda p, o: F.struct(o["line"].alias("line"), o["line_y"].alias("line_y"), *(p[c].alias(c) for c in ("str", "x", "height", "width"))))
+    # pieces of equal seq stand in the order of their other fields
+    own = folded.select(*page, F.posexplode(lined).alias("seq", "p")).select(*page, "seq", "p.*")
     blank = js_trim(F.col("str")) == ""
     in_line = Window.partitionBy(*page, "line").orderBy("seq")
     before = in_line.rowsBetween(Window.unboundedPreceding, -1)
