@@ -507,6 +507,29 @@ def docx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.select("s_suppkey", "text", "status")
 
 
+CLAIMS = "SELECT DISTINCT l_orderkey, l_partkey % 40 AS start_at, l_partkey % 40 + 1 + l_suppkey % 9 AS end_at, CASE l_linenumber % 3 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'PHONE' ELSE 'PERSON' END AS kind, 0.5 + (l_suppkey % 2) * 0.25 AS confidence FROM lineitem"
+CLAIMS_SQL = f"""
+WITH RECURSIVE c AS ({CLAIMS}),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY end_at - start_at DESC, confidence DESC, CASE kind WHEN 'EMAIL' THEN 70 WHEN 'PHONE' THEN 65 ELSE 30 END DESC, start_at) AS k FROM c),
+s AS (
+  SELECT l_orderkey, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(a BIGINT, b BIGINT, t VARCHAR)[]) AS taken FROM (SELECT DISTINCT l_orderkey FROM c)
+  UNION ALL
+  SELECT s.l_orderkey, r.k, CASE WHEN len(list_filter(taken, lambda x: x.a < r.end_at AND r.start_at < x.b)) > 0 THEN taken ELSE list_append(taken, CAST({{'a': r.start_at, 'b': r.end_at, 't': r.kind}} AS STRUCT(a BIGINT, b BIGINT, t VARCHAR))) END
+  FROM s JOIN r ON s.l_orderkey = r.l_orderkey AND r.k = s.k + 1)
+SELECT l_orderkey, x.a AS start_at, x.b AS end_at, x.t AS kind FROM (SELECT l_orderkey, unnest(arg_max(taken, k)) AS x FROM s GROUP BY l_orderkey)"""
+
+
+@query(CLAIMS_SQL)
+def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims made from line items, resolved order by order."""
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("maskwright_claims")
+    claims = spark.sql(CLAIMS.replace("FROM lineitem", "FROM maskwright_claims"))
+    span = F.struct(F.col("kind").alias("type"), F.col("start_at").cast("int").alias("start"), F.col("end_at").cast("int").alias("end"), F.lit("").alias("value"), F.col("confidence").cast("double").alias("confidence"), F.lit("x").alias("detector"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    found = claims.groupBy("l_orderkey").agg(F.collect_list(span).alias("found"))
+    kept = found.select("l_orderkey", F.explode(resolve_overlaps(F.col("found"))).alias("d"))
+    return kept.select("l_orderkey", F.col("d.start").cast("long").alias("start_at"), F.col("d.end").cast("long").alias("end_at"), F.col("d.type").alias("kind"))
+
+
 FILES_SQL = """SELECT s_suppkey, CASE k WHEN 0 THEN 'txt' WHEN 1 THEN 'csv' WHEN 2 THEN 'json' WHEN 3 THEN 'docx' WHEN 4 THEN 'pdf' END AS format,
   CASE WHEN k < 5 THEN 'sanitized-f' || s_suppkey || CASE k WHEN 0 THEN '.txt' WHEN 1 THEN '.csv' WHEN 2 THEN '.json' WHEN 3 THEN '.docx' ELSE '.pdf' END END AS sanitized_name,
   CASE k WHEN 0 THEN 'to [EMAIL_001] and [EMAIL_001]' WHEN 1 THEN 'name,mail' || chr(10) || 'x,[EMAIL_001]' || chr(10) WHEN 2 THEN '{"mail": "[EMAIL_001]"}' END AS said,
