@@ -242,7 +242,30 @@ def detect_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_of(table(spark, sf_dir, "documents").select("doc_id", detectors.phone(F.col("text"), "US").alias("found")), "doc_id")
 
 
-@query()
+SPACE_SQL = JS_SPACE.replace(".-]", "]")
+PARTICLE_SQL = names.PARTICLE.replace("'", "''")
+QUOTED = lambda words: ", ".join(f"'{w}'" for w in words)
+HEADING_SQL = f"(x IN ({QUOTED(names.HEADINGS)}) OR x IN ({QUOTED(names.NAME_ENDS)}) OR (length(x) > 1 AND x = upper(x) AND x <> lower(x)))"
+NAMED_SQL = r"regexp_full_match(x, '\p{Lu}[\p{L}-]+(?:''[\p{L}-]+)?')"
+#: Names are cut out of their runs by list functions, then looked for in the whole text by splitting it at each.
+PERSON_SQL = f"""
+WITH m AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '\\b\\p{{Lu}}[\\p{{L}}-]+(?:{SPACE_SQL}+(?:{PARTICLE_SQL}{SPACE_SQL}+)?\\p{{Lu}}[\\p{{L}}-]+){{1,5}}\\b')) AS raw FROM documents),
+w AS (SELECT doc_id, text, raw, string_split_regex(raw, '{SPACE_SQL}+') AS ws FROM m),
+f AS (SELECT *, list_position(list_transform(ws, lambda x: NOT {HEADING_SQL} AND {NAMED_SQL}), true) AS k FROM w),
+g AS (SELECT *, ws[k:] AS rest FROM f WHERE k > 0),
+h AS (SELECT *, coalesce(list_position(list_transform(rest, lambda x: {HEADING_SQL} OR NOT (regexp_full_match(x, '{PARTICLE_SQL}') OR {NAMED_SQL})), true), 0) AS stop FROM g),
+i AS (SELECT *, CASE WHEN stop > 0 THEN rest[1:stop - 1] ELSE rest END AS kept FROM h),
+v AS (
+  SELECT DISTINCT doc_id, text, array_to_string(kept, ' ') AS value FROM i
+  WHERE len(kept) >= 2 AND contains(raw, array_to_string(kept, ' ')) AND len(list_filter(kept, lambda x: NOT regexp_full_match(x, '{PARTICLE_SQL}'))) > 0
+    AND len(list_filter(kept, lambda x: NOT ({HEADING_SQL} OR regexp_full_match(x, '{PARTICLE_SQL}')))) > 0),
+p AS (SELECT doc_id, text, value, parts, unnest(range(1, len(parts))) AS n FROM (SELECT *, string_split(text, value) AS parts FROM v)),
+o AS (SELECT *, CAST(list_sum(list_transform(parts[1:n], lambda x: length(x))) + (n - 1) * length(value) AS BIGINT) AS start_at FROM p)
+SELECT doc_id, start_at, CAST(start_at + length(value) AS BIGINT) AS end_at, value, CAST(0.58 AS DOUBLE) AS confidence FROM o
+WHERE NOT regexp_matches(text[start_at:start_at], '[\\p{{L}}\\p{{N}}_]') AND NOT regexp_matches(text[start_at + length(value) + 1:start_at + length(value) + 1], '[\\p{{L}}\\p{{N}}_]')"""
+
+
+@query(PERSON_SQL)
 def detect_person_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_of(table(spark, sf_dir, "documents").select("doc_id", names.person_sequences(F.col("text")).alias("found")), "doc_id")
 
