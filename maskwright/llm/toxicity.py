@@ -238,12 +238,12 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS) -> Model:
     """Learns from at most ``rows`` labelled rows of ``docs`` (doc_id, text)."""
-    sample = training_sample(docs, labels, label, rows)
-    # one row for a text, however often it occurs
     key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    first = sample.select("doc_id", "label", key.alias("key")).groupBy("key").agg(F.min(F.struct("doc_id", "label")).alias("first")).select("key", "first.doc_id")
-    sample = sample.withColumn("key", key).join(first, ["key", "doc_id"], "left_semi")
-    sample = written(sample.select("doc_id", "label", "text", F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int").alias("fold")), "toxic-sample")
+    drawn = written(training_sample(docs, labels, label, rows).withColumn("key", key), "toxic-drawn")
+    # one row for a text, however often it occurs
+    first = drawn.groupBy("key").agg(F.min(F.struct("doc_id", "label")).alias("first")).select("key", "first.doc_id")
+    fold = F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int").alias("fold")
+    sample = written(drawn.join(first, ["key", "doc_id"], "left_semi").dropDuplicates(["key"]).select("doc_id", "label", "text", fold), "toxic-sample")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         tally = np.zeros((FOLDS, 2, TERMS), dtype=np.int16)
