@@ -47,14 +47,15 @@ def place(run: Column, base: Column) -> Column:
 
 
 def placed(pairs: Column) -> Column:
-    """All matches with offsets; many of them run by run."""
+    """All matches with offsets, run by run."""
 
     def by_runs(runs: Column) -> Column:
-        sizes = F.transform(runs, total)
-        return let(sizes, lambda t: F.flatten(F.transform(runs, lambda r, i: let(F.aggregate(F.slice(t, F.lit(1), i), F.lit(0), lambda a, x: a + x), lambda base: place(r, base)))))
+        def with_base(sizes: Column) -> Column:
+            return F.flatten(F.transform(runs, lambda r, i: let(F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x), lambda base: place(r, base))))
 
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / RUN).cast("int")), lambda r: F.slice(pairs, r * RUN + 1, F.lit(RUN)))
-    return F.when(F.size(pairs) <= RUN, place(pairs, F.lit(0))).otherwise(let(runs, by_runs))
+        return let(F.transform(runs, total), with_base)
+
+    return let(F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / RUN).cast("int")), lambda r: F.slice(pairs, r * RUN + 1, F.lit(RUN))), by_runs)
 
 
 def part(text: Column, start: Column, end: Column) -> Column:

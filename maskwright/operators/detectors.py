@@ -62,7 +62,8 @@ def ip_address(text: Column) -> Column:
     def kind(pattern: str, confidence: float, version: str) -> Column:
         return detections(spans(text, pattern), "IP_ADDRESS", confidence, "ip-address", lambda x: F.create_map(F.lit("version"), F.lit(version)))
 
-    return F.concat(F.when(text.contains("."), kind(IPV4, 0.85, "4")).otherwise(none()), F.when(text.contains(":"), kind(IPV6, 0.9, "6")).otherwise(none()))
+    four, six = text.rlike(r"[0-9]\.[0-9]{1,3}\."), text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:")
+    return F.concat(F.when(four, kind(IPV4, 0.85, "4")).otherwise(none()), F.when(six, kind(IPV6, 0.9, "6")).otherwise(none()))
 
 
 def card_windows(candidate: Column) -> Column:

@@ -40,7 +40,9 @@ York
 PARTICLE = r"(?:Ibn|Von|van|de|del|Van|Der|Di|Da|Mc|Mac|O'|Al-|Saint|St\.?)"
 COMPANY = "Bank Inc Corp Corporation LLC Ltd University Laboratories Holdings".split()
 NAME_WORD = r"\A\p{Lu}[\p{L}-]+(?:'[\p{L}-]+)?\z"
-SEQUENCE = rf"{WB}\p{{Lu}}[\p{{L}}-]+(?:{WS}+(?:{PARTICLE}{WS}+)?\p{{Lu}}[\p{{L}}-]+){{1,5}}{WB}"
+#: The boundary before the first letter is asked for after it, where few places are left.
+CAPITAL = r"(?:[A-Z](?<![A-Za-z0-9_].)|[\p{Lu}&&[^A-Z]](?<=[A-Za-z0-9_].))"
+SEQUENCE = rf"(?s){CAPITAL}[\p{{L}}-]+(?:{WS}+(?:{PARTICLE}{WS}+)?\p{{Lu}}[\p{{L}}-]+){{1,5}}{WB}"
 #: Given names and titles from which a person is read where no language model is at hand. Ours, and replaceable.
 GIVEN_NAMES = """
 Ada Adam Ahmed Alan Alice Amelia Ana Andrew Anna Anne Anthony Antoine Barbara Benjamin Brigitte Carlos Catherine Charles

@@ -65,7 +65,9 @@ def sanitize(analyzed: DataFrame, excluded: Column | None = None, text: str = "t
     if mode == "visual-redaction":
         own = own.withColumn("checks", verify.visual_only())
     else:
-        own = own.withColumns({"_masked": verify.masked(F.col("sanitized"), F.col("_applied"), F.col("_skipped")), "_forms": normal_forms(F.col("_applied"))})
+        # where nothing was replaced, nothing is looked for
+        searched = F.when(F.size("_applied") > 0, verify.masked(F.col("sanitized"), F.col("_applied"), F.col("_skipped"))).otherwise("")
+        own = own.withColumns({"_masked": searched, "_forms": normal_forms(F.col("_applied"))})
         own = own.withColumn("_masked", nfkc(F.col("_masked")))
         own = own.withColumn("_hay", verify.haystack(F.col("_masked")))
         own = own.withColumn("checks", verify.checks(F.col("sanitized"), F.col("_hay"), F.col("_applied"), F.col("_forms"), F.col(unreadable) if unreadable else None))
