@@ -152,6 +152,8 @@ DERIVED = {
     "account": "concat(CASE {k} % 3 WHEN 0 THEN 'Account Number ' WHEN 1 THEN 'acct. ' ELSE 'acct:' END, lpad({k}, cast(5 + {k} % 14 AS INT), '0'), CASE {k} % 5 WHEN 0 THEN '-1' ELSE ' ' END)",
     "address": "concat('at ', {k} % 99999, ' Old Mill Road', CASE {k} % 2 WHEN 0 THEN ', Suite 4B' ELSE '' END, ', Spring Field, ', CASE {k} % 3 WHEN 0 THEN 'or' ELSE 'OR' END, ' ', lpad({k} % 100000, 5, '0'), CASE {k} % 4 WHEN 0 THEN '-1234' ELSE '' END)",
     "ipv6": "concat('on ', lpad({k} % 10000, 4, '0'), ':db8:', {k} % 7, ':', lpad({k} % 100, CASE {k} % 4 WHEN 0 THEN 5 ELSE 3 END, '0'), ':ffff up')",
+    "phone": "concat('call ', CASE {k} % 5 WHEN 0 THEN '+44 20 7946 ' WHEN 1 THEN '+1 (415) 555-' WHEN 2 THEN '(415) 555-' WHEN 3 THEN '115 555 ' ELSE '415555' END, lpad({k} % 10000, 4, '0'), ' now')",
+    "names": "CASE {k} % 4 WHEN 0 THEN 'met Mary Von Stone Quality Assurance' WHEN 1 THEN 'paid Acme Widgets Inc today' WHEN 2 THEN 'the file of Dr. Smith now' ELSE 'met nobody at all' END",
     "vanity": "concat('call 1-8', lpad({k} % 100, 2, '0'), '-', lpad({k} % 1000, 3, '0'), '-', CASE {k} % 2 WHEN 0 THEN 'DATA' ELSE 'DATAS' END, ' now')",
 }
 
@@ -236,10 +238,11 @@ def detect_vanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "vanity", detectors.phone)
 
 
-@query()
+@query(f"""SELECT o_orderkey, CAST(5 AS BIGINT) AS start_at, CAST(5 + length(value) AS BIGINT) AS end_at, value, CAST(CASE o_orderkey % 5 WHEN 0 THEN 0.7 WHEN 3 THEN 0.8 ELSE 0.95 END AS DOUBLE) AS confidence
+FROM (SELECT o_orderkey, text[6:length(text) - 4] AS value FROM {derived_sql("phone")})""")
 def detect_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All phone rules together, with a region; no library is there to compare with."""
-    return rows_of(table(spark, sf_dir, "documents").select("doc_id", detectors.phone(F.col("text"), "US").alias("found")), "doc_id")
+    """International, national and formatted numbers, with a region."""
+    return derived(spark, sf_dir, "phone", lambda text: detectors.phone(text, "US"))
 
 
 SPACE_SQL = JS_SPACE.replace(".-]", "]")
@@ -270,10 +273,10 @@ def detect_person_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_of(table(spark, sf_dir, "documents").select("doc_id", names.person_sequences(F.col("text")).alias("found")), "doc_id")
 
 
-@query()
+@query("SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 5 ELSE 12 END AS BIGINT) AS start_at, CAST(CASE o_orderkey % 4 WHEN 0 THEN 18 ELSE 21 END AS BIGINT) AS end_at, CASE o_orderkey % 4 WHEN 0 THEN 'Mary Von Stone' WHEN 1 THEN 'Acme Widgets Inc' ELSE 'Dr. Smith' END AS value, CAST(CASE o_orderkey % 4 WHEN 1 THEN 0.55 ELSE 0.6 END AS DOUBLE) AS confidence FROM orders WHERE o_orderkey % 4 < 3")
 def detect_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexicon people and organisations."""
-    return rows_of(table(spark, sf_dir, "documents").select("doc_id", names.lexicon_names(F.col("text")).alias("found")), "doc_id")
+    """Lexicon people and organisations, in texts made from keys."""
+    return derived(spark, sf_dir, "names", names.lexicon_names)
 
 
 WORDS = AnalyzeOptions(("CUSTOM",), (CustomPattern("ARTICLE", r"\bthe\s+of\b", True), CustomPattern("NUMBER", r"\b\d{3,5}\b")))
