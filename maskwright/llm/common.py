@@ -52,6 +52,28 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+class Scratch:
+    """Tables of one computation in the shared folder, which go together when it is over.
+
+    What is read after that must have been written elsewhere, or a lost executor could not be made up for.
+    """
+
+    def __init__(self, spark: SparkSession, what: str) -> None:
+        self.spark, self.root, self.tables = spark, f"{shared_dir(spark)}/{unique(what)}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table."""
+        self.tables += 1
+        path = f"{self.root}/{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Deletes all tables, by Spark's own access to the folder's file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def extended(schema: StructType, **new: DataType) -> StructType:
     """A schema with further columns; the given one stays as it is."""
     return StructType([*schema.fields, *(StructField(n, t) for n, t in new.items())])

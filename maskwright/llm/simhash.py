@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.llm.common import extended, in_arrow, texts, written
+from maskwright.llm.common import Scratch, extended, in_arrow, texts, written
 
 #: Differing bits up to which fingerprints link.
 BITS = 3
@@ -108,14 +108,15 @@ def first_shared(fp: Column, other: Column, families: list[tuple[int, ...]]) ->
     return F.coalesce(*(F.when(shares(fp, other, p), F.lit(i)) for i, p in enumerate(families)))
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """a < b (as signed longs) for all distinct fingerprints of ``fps`` (fp) that link, each pair once."""
-    own = written(entries(fps), "simhash-entries")
+    keep = (scratch or Scratch(fps.sparkSession, "simhash-links")).keep
+    own = keep(entries(fps))
     long = own.groupBy("kind", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= LONG).select("kind", "key")
     a, b = F.col("a.fp"), F.col("b.fp")
     near = (a < b) & (matches(a, b) >= SHARED) & (F.bit_count(a.bitwiseXOR(b)) <= BITS)
     once = first_shared(a, b, ENTRIES) == F.col("a.kind")
-    long = written(long, "simhash-long")
+    long = keep(long)
     if long.isEmpty():
         left = right = own
     else:
@@ -129,22 +130,23 @@ def links(fps: DataFrame) -> DataFrame:
     return found
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node, label (smallest node reachable) for the nodes of ``edges`` (a, b).
 
     Each round takes the smallest label of the neighbours and then the label's own label, so the
     rounds grow with the logarithm of a component's length. Every round is written to the shared
     folder. Labels meet by joins and partial minima; no node's neighbours are gathered anywhere.
     """
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cc-edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "cc-labels")
+    keep = (scratch or Scratch(edges.sparkSession, "components")).keep
+    both = keep(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = keep(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
     while True:
         nearby = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("least"))
         lower = labels.join(nearby, F.col("node") == F.col("a")).select("node", F.least("label", "least").alias("label"), F.col("label").alias("was"))
-        lower = written(lower, "cc-lower")
+        lower = keep(lower)
         up = lower.select(F.col("node").alias("up"), F.col("label").alias("top"))
         jumped = lower.join(up, F.col("label") == F.col("up")).select("node", F.least("label", "top").alias("label"), "was")
-        jumped = written(jumped, "cc-labels")
+        jumped = keep(jumped)
         labels = jumped.select("node", "label")
         if jumped.filter("label <> was").isEmpty():
             return labels
@@ -158,7 +160,9 @@ def with_components(fps: DataFrame) -> DataFrame:
     """
     fps = fps.drop("component_id")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    labels = components(links(distinct.select("fp")))
+    scratch = Scratch(fps.sparkSession, "simhash")
+    labels = written(components(links(distinct.select("fp"), scratch), scratch), "simhash-labels")
+    scratch.drop()
     labelled = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     return fps.join(labelled.join(ids, "label").select("fp", "component_id"), "fp")
