@@ -27,7 +27,7 @@ SAMPLE = 16_384
 TREES, LEAF = 16, 64
 #: A query looks into leaves until they hold this share of all classes (a class counts in every
 #: leaf looked into) and at least ``LEAST``. Vectors without structure need this much for the recall.
-SHARE, LEAST = 0.75, 4000
+SHARE, LEAST = 1.0, 4000
 QUERY_BLOCK, ROW_BLOCK = 1024, 8192
 #: Ways in which the copies of a vector are split while their smallest ids are found.
 SALTS = 64
