@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -68,6 +69,8 @@ def test_components_of_documents(spark):
     found = [tuple(r) for r in simhash.near_duplicates(df).collect()]
     assert sorted(found, key=str) == wanted
     assert simhash.near_duplicates(df.limit(0)).collect() == []
+    left = {p.name.rsplit("-", 1)[0] for p in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).iterdir()}
+    assert "simhash-labels" in left and "simhash" not in left
 
 
 @pytest.mark.parametrize("long", [2, 512])
