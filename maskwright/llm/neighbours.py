@@ -12,8 +12,6 @@ taken in double precision and the best kept, so what leaves a block is a short l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -141,10 +139,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
             for q, v, looks in zip(asks.column("id").to_numpy(), vectors(asks), asks.column("looks").to_pylist(), strict=True):
                 seen = np.unpackbits(np.frombuffer(looks, dtype=np.uint8)).view(bool)
                 some = np.flatnonzero(seen[leaves].any(axis=1))
-                score = x[some] @ v
-                if len(some) > 2 * k:  # all that tie with the last one kept stay
-                    best = np.flatnonzero(score >= np.partition(score, -(k + 1))[-(k + 1)] - 1e-9)
-                    some, score = some[best], score[best]
+                # as a share of the largest product possible; what rounding alone could part counts as tied
+                score = np.round(x[some] @ v / np.sqrt(longest * (v @ v)), 11)
+                if len(some) > k + 1:
+                    some, score = best_of(some, score, ids, k + 1)
                 found.append((np.full(len(some), q), ids[some], score))
         q, c, s = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         return pa.table({"query_id": pa.array(q, pa.int64()), "class_id": pa.array(c, pa.int64()), "near": pa.array(s, pa.float64())})
@@ -159,6 +157,17 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
     return scored.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def best_of(some: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of some rows by score, then smaller id; however many tie, no more are kept."""
+    least = np.partition(score, -k)[-k]
+    over, tied = np.flatnonzero(score > least), np.flatnonzero(score == least)
+    left = k - len(over)
+    if len(tied) > left:
+        tied = tied[np.argpartition(ids[some[tied]], left - 1)[:left]]
+    kept = np.concatenate((over, tied))
+    return some[kept], score[kept]
+
+
 def histogram(forest: Forest):
     """Counts of each (tree, leaf) in a batch, by cell."""
     trees, leaves = forest.trees, forest.leaves
