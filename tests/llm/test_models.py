@@ -188,6 +188,19 @@ def test_neighbours_with_ties_copies_and_odd_rows(spark, monkeypatch):
     assert neighbours.nearest(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_very_many_ties_keep_the_smallest_ids(spark, monkeypatch):
+    """One-hot vectors: nearly all products are zero."""
+    monkeypatch.setattr(neighbours, "ROW_BLOCK", 100)
+    rows = [(1000 - i, [1000.0 * (i % 50 == d) for d in range(50)]) for i in range(600)]
+    df = spark.createDataFrame([(i, [x + 0.001 * (i % 7 == 3) * (x > 0) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    table = [(r.vec_id, r.embedding) for r in df.collect()]
+    found = neighbours.nearest(df, df.filter("vec_id % 100 = 0"), k=20).collect()
+    wanted = nearest_plain(table, [x for x in table if x[0] % 100 == 0], 20)
+    for q, w in wanted.items():
+        own = sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)
+        assert [r.vec_id for r in own] == [i for i, _ in w]
+
+
 def test_forest_finds_near_vectors():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16))
