@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from maskwright.llm.common import extended, in_arrow, texts
 from maskwright.llm.pretokens import PATTERN, Memory
 
+#: Distinct pre-tokens, and slots for stretches of text, that a worker remembers; a pipeline's workers hold other things too.
+REMEMBERED, SLOTS = 60_000, 1 << 20
 NO_RANK = 1 << 30
 
 
@@ -79,7 +81,7 @@ class Codec:
         singles = [self.ranks[bytes([i])] for i in range(256)]
         self.single = np.array(singles, dtype=np.int64)
         self.pair = np.array([[self.ranks.get(bytes((a, b)), NO_RANK) for b in range(256)] for a in range(256)], dtype=np.int64)
-        self.memory = Memory(self.encode_pieces, pattern)
+        self.memory = Memory(self.encode_pieces, pattern, REMEMBERED, slots=SLOTS)
 
     def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of each non-empty pre-token, all run through one queue."""

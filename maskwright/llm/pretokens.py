@@ -10,16 +10,16 @@ import numpy as np
 import regex
 
 from maskwright.llm.common import BoundedCache
-from maskwright.llm.stretches import Table
+from maskwright.llm.stretches import MOST_SLOTS, Table
 
 #: Fixed value: the public pre-tokenisation pattern that belongs to the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens taken from a text at a time, so that a very long text needs bounded memory.
 PIECES = 1 << 16
 #: Distinct pre-tokens that a worker remembers in each of two generations.
-REMEMBERED_PIECES = 150_000
+REMEMBERED_PIECES = 80_000
 #: Characters of texts that go through the table together, about.
-RUN = 1 << 21
+RUN = 1 << 19
 #: White space that may join other white space into one pre-token.
 JOINING = ("  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0")
 #: Outside these long-settled blocks, Unicode versions may differ on what is a letter or number.
@@ -77,10 +77,10 @@ class Memory:
     ``by_stretch``, where given, encodes whole stretches of text instead (see ``stretches``).
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str = PATTERN, of_pieces: int = REMEMBERED_PIECES, by_stretch: Callable[[list[str]], list[bytes]] | None = None) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str = PATTERN, of_pieces: int = REMEMBERED_PIECES, by_stretch: Callable[[list[str]], list[bytes]] | None = None, slots: int = MOST_SLOTS) -> None:
         self.encode, self.pattern = encode, pattern
         self.known = BoundedCache(of_pieces)
-        self.table = Table(by_stretch or self.encode_stretches)
+        self.table = Table(by_stretch or self.encode_stretches, slots)
 
     def learn(self, lists: list[list[str]]) -> None:
         """Makes the pre-tokens of ``lists`` known."""

@@ -32,11 +32,11 @@ REPEAT = 0
 GRAMS = (3, 4)
 DIMENSIONS = 8
 #: Labelled rows that are learned from, at most.
-ROWS = 6000
+ROWS = 4000
 EPOCHS = 12
 RATE = 0.5
 #: Characters looked at together.
-RUN = 1 << 20
+RUN = 1 << 18
 WHITE = re.compile(r"\s")
 #: Odd multipliers of the hashes.
 STEP, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)

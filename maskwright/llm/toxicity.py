@@ -72,7 +72,7 @@ class Featuriser:
         self.lexicon = lexicon
         self.listed, self.second = frozenset(INSULTS), frozenset(SECOND_PERSON)
         # the table gives a word's row in ``held``
-        self.table = Table(self.register, most=1 << 20, emptied=self.forget)
+        self.table = Table(self.register, most=1 << 18, emptied=self.forget)
 
     def forget(self) -> None:
         self.held, self.known = np.zeros((1024, self.HELD), dtype=np.float32), 0
