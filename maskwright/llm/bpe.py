@@ -26,7 +26,7 @@ from maskwright.llm.common import extended, in_arrow, texts
 from maskwright.llm.pretokens import PATTERN, Memory
 
 #: Distinct pre-tokens, and slots for stretches of text, that a worker remembers; a pipeline's workers hold other things too.
-REMEMBERED, SLOTS = 60_000, 1 << 20
+REMEMBERED, SLOTS = 80_000, 1 << 21
 NO_RANK = 1 << 30
 
 

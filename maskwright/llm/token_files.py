@@ -24,6 +24,8 @@ from maskwright.llm import simple8b
 from maskwright.llm.common import in_arrow, slices, texts
 from maskwright.llm.pretokens import PIECES, Memory
 
+#: Slots for stretches of text that a worker remembers.
+SLOTS = 1 << 22
 FILE_SCHEMA = "part int, at long, doc_id long, n_tokens long, blocks array<int>, words binary"
 
 
@@ -47,7 +49,7 @@ class Encoder:
         self.by_piece = model["type"] == "BPE" and not model.get("dropout") and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding") and split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split.get("use_regex", True)
         self.added = [x["content"] for x in spec.get("added_tokens") or ()]
         # the library splits a stretch like a text, so stretches go to it whole
-        self.memory = Memory(self.encode_pieces, by_stretch=self.encode_pieces)
+        self.memory = Memory(self.encode_pieces, by_stretch=self.encode_pieces, slots=SLOTS)
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces of text, as little-endian 32-bit words."""
