@@ -12,10 +12,15 @@ Copies share a fingerprint and are one class before any pair is made. Near copie
 in the few bits whose vote is close, so distinct fingerprints of a large group stay few; entries
 that are still long (``LONG`` or more) are split exactly: of the other 5 bytes at least 2 are
 shared, so their pairs meet again under one of the 10 entries that add two more positions.
+
+``without_near_duplicates`` asks for another likeness: a Jaccard of 0.8 or more over the sets of five-word
+shingles. There fingerprints differ in about 10 of 64 bits, so no byte need be shared, and no index over
+bytes is sure. Its candidates share all minima of a band of a MinHash signature; exact sets decide.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -38,20 +43,32 @@ ENTRIES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 LONG = 512
 #: Shingles hashed at a time, for very long texts.
 RUN = 1 << 16
-
-
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    """The unsigned fingerprint of a whole text."""
+#: Words of a shingle, and Jaccard of shingle sets from which texts are near copies (as a fraction).
+WORDS, ALIKE = 5, (4, 5)
+#: Bands of a signature and minima in each: at a Jaccard of 0.8, one pair in 300,000 shares no band.
+BANDS, MINIMA = 24, 4
+#: Members of a band's bucket with which all others are compared first.
+HEADS = 3
+#: Odd multipliers, one for each minimum.
+MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 64, BANDS * MINIMA, dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_runs(text: str, words: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """Hashes of a whole text's shingles, some at a time; a shorter text is one shingle, one without words has none."""
     w = text.encode().lower().split()  # on bytes: A-Z, and the six ASCII white-space characters
-    if not w:
-        return 0
-    n = max(1, len(w) - words + 1)
-    tally = np.zeros(64, dtype=np.int64)
+    n = max(1, len(w) - words + 1) if w else 0
     for at in range(0, n, RUN):
         some = w[at : min(at + RUN, n) + words - 1]
         shingles = map(b" ".join, zip(*(some[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-        hashed = np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles], dtype="<u8")
+        yield np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles], dtype="<u8")
+
+
+def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
+    """The unsigned fingerprint of a whole text."""
+    tally, n = np.zeros(64, dtype=np.int64), 0
+    for hashed in shingle_runs(text, words, seed):
         tally += np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashed)
     return int(np.packbits(tally * 2 > n, bitorder="little").view("<u8")[0])
 
 
@@ -175,14 +192,110 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return with_components(fps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct hashes of a text's five-word shingles, ascending."""
+    runs = list(shingle_runs(text, WORDS))
+    return np.unique(np.concatenate(runs)) if runs else np.empty(0, dtype=np.uint64)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A number for each band of the signature of a shingle set; none for an empty set."""
+    if not len(hashes):
+        return np.empty(0, dtype=np.uint64)
+    least = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (MULTIPLIERS[:, None] * hashes[at : at + 1024]).min(axis=1), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for minima in least.reshape(BANDS, MINIMA).T:
+        keys = (keys ^ minima) * MULTIPLIERS[0]
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def as_longs(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``set_id`` (equal for equal shingle sets) and ``bands`` in place of ``text``."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t) for t in texts(batch.column("text"))]
+        ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+        kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
+        return pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(ids), as_longs([band_keys(s) for s in sets])], names=[*(n for n, _ in kept), "set_id", "bands"])
+
+    return in_arrow(docs, work, extended(docs.drop("text").schema, set_id=T.LongType(), bands=T.ArrayType(T.LongType())))
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """set_id, shingles (hashes) for ``docs`` (set_id, text)."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("set_id"), as_longs([shingle_set(t) for t in texts(batch.column("text"))])], names=["set_id", "shingles"])
+
+    return in_arrow(docs, work, "set_id long, shingles array<long>", rows=128)
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard of ``ALIKE`` or more, by the sets themselves."""
+    both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
+    part, whole = ALIKE
+    x, y = F.size("x"), F.size("y")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.filter((whole * F.least(x, y) >= part * F.greatest(x, y)) & (whole * shared >= part * (x + y - shared))).select("a", "b")
+
+
+def paired(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def near_sets(own: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, label (smallest set_id reachable) for the sets of ``own`` that have near copies.
+
+    ``own``: near_row, set_id, bands. ``rows``: near_row, text. All that share a bucket are first compared
+    with ``HEADS`` of its sets, the same in all buckets where possible, which joins large groups by
+    few pairs. Then each pair of a bucket that isn't in one group yet is compared, so none is passed over.
+    """
+    keep = scratch.keep
+    distinct = keep(own.groupBy("set_id").agg(F.min("near_row").alias("near_row"), F.first("bands").alias("bands")))
+    entries = distinct.select("set_id", F.explode("bands").alias("key"))
+    heads = [F.min(F.struct(F.xxhash64("set_id", F.lit(i)), "set_id"))["set_id"] for i in range(HEADS)]
+    buckets = keep(entries.groupBy("key").agg(F.count("*").alias("n"), F.array(*heads).alias("heads")).filter("n > 1").drop("n"))
+    members = keep(entries.join(buckets, "key"))
+    sets = keep(shingle_sets(rows.join(keep(distinct.join(members.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "near_row")), "near_row").select("set_id", "text")))
+    first = members.select("set_id", F.explode(F.array_distinct("heads")).alias("head")).filter("set_id <> head")
+    links = keep(alike(first.select(*paired(F.col("set_id"), F.col("head"))).distinct(), sets))
+    labels = keep(components(links, scratch))
+    # what is left: members of a bucket outside its largest group, with all that are in another group
+    grouped = keep(members.join(labels, F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("label", "set_id").alias("label")))
+    sizes = grouped.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("n", "label"))["label"].alias("most"))
+    open_ = keep(sizes.filter("groups > 1").select("key", "most"))
+    if open_.isEmpty():
+        return labels
+    inner = keep(grouped.join(open_, "key"))
+    a, b = inner.filter("label <> most").alias("a"), inner.alias("b")
+    other = (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.most")) | (F.col("a.set_id") < F.col("b.set_id")))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & other).select(*paired(F.col("a.set_id"), F.col("b.set_id"))).distinct()
+    more = keep(alike(pairs, sets))
+    return labels if more.isEmpty() else components(links.unionByName(more), scratch)
+
+
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component of ``docs``: the smallest doc_id, of equal ones the first read.
+    """One row of each group of near copies in ``docs``: the smallest doc_id, of equal ones the first read.
 
-    ``docs`` must be a table that reads alike twice (files), as rows are known by their place in it.
+    Near copies have five-word shingle sets with a Jaccard of 0.8 or more (case of A-Z and white space
+    aside); groups are what such pairs connect. Texts without words are one group. ``docs`` must be a table
+    that reads alike twice (files), as rows are known by their place in it.
     """
     placed = docs.withColumn("near_row", F.monotonically_increasing_id())
-    own = placed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "near_row")
-    fps = with_components(written(fingerprints(own), "simhash-fps"))
+    rows = placed.select("near_row", F.col("text").cast("string").alias("text"))
+    own = written(signed(placed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "near_row")), "near-signed")
+    scratch = Scratch(docs.sparkSession, "near-sets")
+    labels = written(near_sets(own, rows, scratch), "near-labels")
+    scratch.drop()
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "near_row")).alias("first")
-    kept = fps.groupBy(F.coalesce("component_id", F.lit(-(2**63))).alias("component_id")).agg(first).select(F.col("first.near_row").alias("near_row"))
-    return placed.join(written(kept, "simhash-kept").hint("shuffle_hash"), "near_row", "left_semi").drop("near_row")
+    least = own.groupBy("set_id").agg(first).join(labels, F.col("set_id") == F.col("node"), "left")
+    kept = least.groupBy(F.coalesce("label", "set_id")).agg(F.min("first").alias("first")).select(F.col("first.near_row").alias("near_row"))
+    return placed.join(written(kept, "near-kept").hint("shuffle_hash"), "near_row", "left_semi").drop("near_row")

@@ -238,3 +238,39 @@ def test_pages_in_a_table(spark):
 @pytest.mark.parametrize("html", ["<div>" * 50_000 + "x", "<ul><li>" * 20_000, "<table><tr><td>" * 2000 + "deep", "<" * 100_000, "<a b='" * 50_000, "</p>" * 20_000, "<p>" * 50_000 + "x", "<!--" * 50_000, "<script>" * 5000])
 def test_bad_pages_take_no_recursion_and_little_time(html):
     html_text.extract(html)
+
+
+def word_set(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_edited_copies_go_and_others_stay(spark, tmp_path):
+    """The stage's groups are those of an exact Jaccard of 0.8 over five-word shingles."""
+    rnd = random.Random(4)
+    texts = []
+    for family in range(12):
+        base = [f"w{rnd.randrange(4000)}" for _ in range(rnd.choice([6, 40, 181, 400]))]
+        texts.append(base)
+        for _ in range(25 if family else 60):  # most of the first family are like its base, not like each other
+            some = list(base)
+            for _ in range(rnd.randint(1, 6)):
+                some[rnd.randrange(len(some))] = f"new{rnd.randrange(10**6)}"
+            texts.append(some)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(9000, "  "), (9001, None), (9002, "a b"), (9003, "A\tB"), (9004, "a b c")]
+    rnd.shuffle(rows)
+    sets = {i: word_set(t) for i, t in rows}
+    label = {i: i for i in sets}
+    linked = 0
+    for i in sorted(sets):
+        for j in sorted(sets):
+            both = len(sets[i] | sets[j])
+            if j < i and (not both or len(sets[i] & sets[j]) * 5 >= both * 4):
+                linked += sets[i] != sets[j]
+                if label[i] != label[j]:
+                    low, high = sorted((label[i], label[j]))
+                    label = {k: low if v == high else v for k, v in label.items()}
+    path = str(tmp_path / "edited")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    kept = {r.doc_id for r in simhash.without_near_duplicates(spark.read.parquet(path)).collect()}
+    assert linked > 200 and kept == set(label.values())
