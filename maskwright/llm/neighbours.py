@@ -4,10 +4,13 @@ The forest is fitted on a bounded sample; every row is indexed. Equal vectors ar
 few smallest ids, so that a vector held by a third of all rows is one entry and one candidate: the
 ids beyond could never be among the nearest, as ties go to smaller ids. To make inner products
 distances, indexed vectors get a further component that brings all to one length, queries a zero.
+Vectors far longer than most would make that component drown the others, so the length is bounded by
+the median's, and what is longer still is a candidate of every query.
 
 Queries and classes meet in blocks of at most ``QUERY_BLOCK`` and about ``ROW_BLOCK``. In a block, a
 query's candidates are the rows in its leaves; their inner products with the original vectors are
-taken in double precision and the best kept, so what leaves a block is a short list for each query.
+taken in double precision, summed in the order of the components as in the result, and the best kept, so
+what leaves a block is a short list for each query.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ TREES, LEAF = 16, 64
 #: leaf looked into) and at least ``LEAST``. Vectors without structure need this much for the recall.
 SHARE, LEAST = 1.0, 4000
 QUERY_BLOCK, ROW_BLOCK = 1024, 8192
+#: Vectors of more than this times the median length are looked at by every query.
+FAR_LONGER = 16
 #: Ways in which the copies of a vector are split while their smallest ids are found.
 SALTS = 64
 
@@ -102,7 +107,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
     if not n or not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = vectors(index.orderBy(F.xxhash64("class_id"), "class_id").limit(SAMPLE).select("vec").toArrow())
-    forest = Forest(lifted(sample, longest), TREES, LEAF, seed=11)
+    squares = (sample * sample).sum(axis=1)
+    longest = min(longest, FAR_LONGER**2 * float(np.median(squares)))
+    forest = Forest(lifted(sample[squares <= longest], longest), TREES, LEAF, seed=11)
     row_blocks, query_blocks = -(-n // ROW_BLOCK), -(-n_asked // QUERY_BLOCK)
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -136,11 +143,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
         if asks.num_rows and there.num_rows:
             x, ids = vectors(there), there.column("class_id").to_numpy()
             leaves = np.frombuffer(b"".join(there.column("leaves").to_pylist()), dtype=np.int16).reshape(len(x), forest.trees) + np.arange(forest.trees) * forest.leaves
+            squares = (x * x).sum(axis=1)
+            always, lengths = squares > longest, np.sqrt(squares)
             for q, v, looks in zip(asks.column("id").to_numpy(), vectors(asks), asks.column("looks").to_pylist(), strict=True):
                 seen = np.unpackbits(np.frombuffer(looks, dtype=np.uint8)).view(bool)
-                some = np.flatnonzero(seen[leaves].any(axis=1))
-                # as a share of the largest product possible; what rounding alone could part counts as tied
-                score = np.round(x[some] @ v / np.sqrt(longest * (v @ v)), 11)
+                some = hopeful(x, v, np.flatnonzero(seen[leaves].any(axis=1) | always), lengths, k + 1)
+                score = products(x[some], v)
                 if len(some) > k + 1:
                     some, score = best_of(some, score, ids, k + 1)
                 found.append((np.full(len(some), q), ids[some], score))
@@ -157,6 +165,22 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
     return scored.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def products(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products, added from the first component to the last: the doubles that the result has."""
+    return np.cumsum(x * v, axis=1)[:, -1] + 0.0
+
+
+def hopeful(x: np.ndarray, v: np.ndarray, some: np.ndarray, lengths: np.ndarray, k: int) -> np.ndarray:
+    """Those of some rows that may be among the k best, however a sum is rounded: a pair's error is at most its slack."""
+    if len(some) <= k:
+        return some
+    rough = x[some] @ v
+    slack = 2 * len(v) * np.finfo(np.float64).eps * lengths[some] * np.sqrt(v @ v) + 1e-300
+    low = rough - slack
+    bar = np.partition(np.where(np.isnan(low), -np.inf, low), -k)[-k]
+    return some[~(rough + slack < bar)]
+
+
 def best_of(some: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of some rows by score, then smaller id; however many tie, no more are kept."""
     least = np.partition(score, -k)[-k]

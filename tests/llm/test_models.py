@@ -201,6 +201,20 @@ def test_very_many_ties_keep_the_smallest_ids(spark, monkeypatch):
         assert [r.vec_id for r in own] == [i for i, _ in w]
 
 
+@pytest.mark.parametrize("times", [1e9, 1e12, 1e160])
+def test_one_long_row_does_not_blur_the_others(spark, monkeypatch, times):
+    monkeypatch.setattr(neighbours, "ROW_BLOCK", 500)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 16))
+    x[1234] *= times
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(df, df.filter("vec_id % 50 = 0"), k=20).collect()
+    wanted = nearest_plain(list(enumerate(x)), [(i, x[i]) for i in range(0, 3000, 50)], 20)
+    assert recall_of(found, wanted) >= 0.95
+    for q, w in wanted.items():
+        assert (1234 in [r.vec_id for r in found if r.query_id == q]) == (1234 in [i for i, _ in w])
+
+
 def test_forest_finds_near_vectors():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16))
