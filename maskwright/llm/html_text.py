@@ -9,6 +9,7 @@ memory in proportion to the page.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html import unescape
 
 import pyarrow as pa
@@ -21,7 +22,18 @@ from maskwright.llm.common import extended, in_arrow, texts
 #: Element names by how HTML treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes object audio video canvas svg math".split())
+UNSEEN = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes object audio video canvas".split())
+#: Parts of drawings and formulas that are never shown where they stand.
+FOREIGN_UNSEEN = {
+    "svg": frozenset("title desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter script style".split()),
+    "math": frozenset("annotation annotation-xml".split()),
+}
+#: Elements of drawings and formulas whose content is HTML again.
+INTEGRATION = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext".split())}
+#: HTML start tags that end a drawing or formula.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Their elements that stand apart from what is beside them.
+APART = frozenset("text mfrac mtr mtd".split())
 #: Blocks with an empty line around, and without.
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl menu pre table figure fieldset xmp".split())
 PLAIN = frozenset("html body div section article aside header footer nav main address center form dir li dt dd details summary figcaption legend hgroup search dialog hr caption thead tbody tfoot tr td th option optgroup".split())
@@ -51,16 +63,24 @@ WIDEST = 60
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+UNQUOTED = re.compile(r"=\s*[^\s\"'][^\s]*/$")
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    """An element; its children are nodes and strings."""
+    """An element; its children are nodes and strings. ``foreign``: svg or math, of which it is a part."""
+
+    __slots__ = ("attributes", "children", "foreign", "tag")
 
-    __slots__ = ("attributes", "children", "tag")
+    def __init__(self, tag: str, attributes: dict[str, str], foreign: str = "") -> None:
+        self.tag, self.attributes, self.children, self.foreign = tag, attributes, [], foreign
 
-    def __init__(self, tag: str, attributes: dict[str, str]) -> None:
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def inside(self) -> str:
+        """svg or math, if its children are parts of that."""
+        kind = self.foreign
+        if kind and (self.tag in INTEGRATION[kind] or self.tag == "annotation-xml" and "html" in self.attributes.get("encoding", "").lower()):
+            return ""
+        return kind
 
 
 def attributes_of(raw: str) -> dict[str, str]:
@@ -72,8 +92,12 @@ def attributes_of(raw: str) -> dict[str, str]:
     return out
 
 
-def events(html: str):
-    """Text, ("", name, attributes) of start tags and ("/", name, {}) of end tags, in order."""
+def events(html: str, inside: Callable[[], str] = str):
+    """Text, ("", name, attributes, closed) of start tags and ("/", name, {}, False) of end tags, in order.
+
+    ``closed``: a start tag with a closing slash. ``inside`` says of what kind the element open then is: in
+    drawings and formulas no element is raw text, and there are CDATA sections.
+    """
     at, end = 0, len(html)
     while at < end:
         open_ = html.find("<", at)
@@ -85,6 +109,10 @@ def events(html: str):
         if html.startswith("<!--", open_):
             close = html.find("-->", open_ + 4)
             at = end if close < 0 else close + 3
+        elif html.startswith("<![CDATA[", open_) and inside():
+            close = html.find("]]>", open_ + 9)
+            yield html[open_ + 9 : end if close < 0 else close].replace("&", "&amp;")
+            at = end if close < 0 else close + 3
         elif html.startswith(("<!", "<?"), open_):
             close = html.find(">", open_)
             at = end if close < 0 else close + 1
@@ -92,14 +120,15 @@ def events(html: str):
             slash, name, rest = m.groups()
             name = name.lower()
             at = m.end()
-            yield slash, name, {} if slash else attributes_of(rest)
-            if not slash and name in RAW:
+            raw = not slash and name in RAW and not inside()
+            yield slash, name, {} if slash else attributes_of(rest), not slash and closing(rest)
+            if raw:
                 close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
                 stop = close.start() if close else end
                 yield html[at:stop]
                 after = html.find(">", stop)
                 at = end if after < 0 else after + 1
-                yield "/", name, {}
+                yield "/", name, {}, False
         elif html.startswith("</", open_) or open_ + 1 < end and html[open_ + 1].isascii() and html[open_ + 1].isalpha():
             close = html.find(">", open_)  # a broken tag
             at = end if close < 0 else close + 1
@@ -108,6 +137,11 @@ def events(html: str):
             at = open_ + 1
 
 
+def closing(rest: str) -> bool:
+    """Whether a tag ends with a slash that isn't the end of an unquoted value."""
+    return rest.endswith("/") and not UNQUOTED.search(rest)
+
+
 class Builder:
     """Open elements from the root down."""
 
@@ -116,12 +150,15 @@ class Builder:
         self.open = [self.root]
         self.body: Node | None = None
 
-    def push(self, tag: str, attributes: dict[str, str]) -> None:
-        node = Node(tag, attributes)
+    def push(self, tag: str, attributes: dict[str, str], foreign: str = "", closed: bool = False) -> None:
+        node = Node(tag, attributes, foreign)
         self.open[-1].children.append(node)
-        if tag not in VOID:
+        if not closed if foreign else tag not in VOID:
             self.open.append(node)
 
+    def inside(self) -> str:
+        return self.open[-1].inside()
+
     def close(self, tags: set[str] | frozenset[str], barrier: set[str] | frozenset[str]) -> bool:
         """Ends the innermost open element of those tags and all within, if no barrier is met first."""
         for i in range(len(self.open) - 1, 0, -1):
@@ -140,7 +177,18 @@ class Builder:
             self.push("body", {})
             self.body = self.open[-1]
 
-    def start(self, tag: str, attributes: dict[str, str]) -> None:
+    def start(self, tag: str, attributes: dict[str, str], closed: bool = False) -> None:
+        if kind := self.inside():
+            if tag not in BREAKOUT and not (tag == "font" and attributes.keys() & {"color", "face", "size"}):
+                self.push(tag, attributes, tag if tag in ("svg", "math") and self.open[-1].tag == "annotation-xml" else kind, closed)
+                return
+            while self.inside():
+                self.open.pop()
+        if tag in ("svg", "math"):
+            if self.body is None:
+                self.into_body()
+            self.push(tag, attributes, tag, closed)
+            return
         if tag == "html":
             return
         if tag == "head":
@@ -200,19 +248,19 @@ class Builder:
                 return
             self.into_body()
         own = self.open[-1]
-        own.children.append(raw if own.tag in ("script", "style") else unescape(raw))
+        own.children.append(raw if own.tag in ("script", "style") and not own.foreign else unescape(raw))
 
 
 def tree(html: str) -> Node:
     """The element tree of a page or a piece of one."""
     builder = Builder()
-    for event in events(html.replace("\r\n", "\n").replace("\r", "\n")):
+    for event in events(html.replace("\r\n", "\n").replace("\r", "\n"), builder.inside):
         if isinstance(event, str):
             builder.text(event)
         elif event[0]:
             builder.end(event[1])
         else:
-            builder.start(event[1], event[2])
+            builder.start(*event[1:])
     return builder.root
 
 
@@ -221,6 +269,8 @@ def hidden(node: Node, parent: Node | None) -> bool:
     a = node.attributes
     if node.tag in UNSEEN or "hidden" in a or node.tag == "dialog" and "open" not in a:
         return True
+    if node.foreign and (node.tag in FOREIGN_UNSEEN[node.foreign] or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")):
+        return True
     if "style" in a and HIDING.search(a["style"]):
         return True
     return parent is not None and parent.tag == "details" and "open" not in parent.attributes and node.tag != "summary"
@@ -344,6 +394,16 @@ def render(root: Node) -> str:
             (flow.verbatim if pre else flow.words)(node, indents[-1])
             continue
         tag = node.tag
+        if node.foreign:
+            if leaving or not hidden(node, parent):
+                if tag in APART or parent is not None and parent.tag == "mfrac":
+                    flow.space = bool(flow.line)
+                if tag == "foreignobject":
+                    flow.block(False)
+                if not leaving:
+                    todo.append((node, parent, True))
+                    todo.extend((c, node, False) for c in reversed(node.children))
+            continue
         if not leaving:
             if hidden(node, parent):
                 continue

@@ -224,6 +224,34 @@ PAGES = [
 ]
 
 
+DRAWN = [
+    ("a <svg viewBox='0 0 9 9'><title>no</title><desc>no</desc><defs><text>no</text></defs><metadata>no</metadata><text x=1>Sales</text><text>2024</text></svg> b", "a Sales 2024 b"),
+    ("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><mtext>&nbsp;kg</mtext></math> then", "if x=1 kg then"),
+    ("<math><semantics><mi>y</mi><annotation encoding='application/x-tex'>no</annotation></semantics></math>", "y"),
+    ("<math><mfrac><mn>1</mn><mn>2</mn></mfrac></math>", "1 2"),
+    ("<body><svg class=icon />all <p>the rest</p>of it", "all\n\nthe rest\n\nof it"),
+    ("<div><math/>kept</div>", "kept"),
+    ("<svg/>first", "first"),
+    ("<svg><title/><style/><path d='M0'/><g/><text>t<tspan>u</tspan></text></svg>v", "tu v"),
+    ("<svg><style>x{}</style><script>1</script><text><![CDATA[a<b &amp; c]]></text></svg>", "a<b &amp; c"),
+    ("<svg><foreignObject><div>in<br>side</div></foreignObject></svg>out", "in\nside\nout"),
+    ("<svg><path><p>left open</p>", "left open"),
+    ("<svg display=none><text>no</text></svg><svg style='display:none'><text>no</text></svg><svg><a href=u/><g visibility=hidden><text>no</text></g></a></svg>ok", "ok"),
+    ("<div/>not closed by the slash", "not closed by the slash"),
+    ("<head><title>no</title></head><svg><symbol><text>no</text></symbol></svg>yes", "yes"),
+]
+
+
+@pytest.mark.parametrize("html", ["<svg>" * 50_000 + "x", "<svg><g>" * 20_000, "<svg><foreignobject>" * 20_000, "<math><mi/>" * 20_000, "<svg><![CDATA[" * 20_000])
+def test_bad_drawings_take_no_recursion_and_little_time(html):
+    html_text.extract(html)
+
+
+@pytest.mark.parametrize(("html", "text"), DRAWN)
+def test_drawings_and_formulas(html, text):
+    assert html_text.extract(html) == text
+
+
 @pytest.mark.parametrize(("html", "text"), PAGES)
 def test_pages(html, text):
     assert html_text.extract(html or "") == text
