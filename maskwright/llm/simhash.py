@@ -289,13 +289,15 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     aside); groups are what such pairs connect. Texts without words are one group. ``docs`` must be a table
     that reads alike twice (files), as rows are known by their place in it.
     """
-    placed = docs.withColumn("near_row", F.monotonically_increasing_id())
-    rows = placed.select("near_row", F.col("text").cast("string").alias("text"))
-    own = written(signed(placed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "near_row")), "near-signed")
+    place = F.monotonically_increasing_id().alias("near_row")
+    text = F.col("text").cast("string").alias("text")
+    placed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), place)
+    rows = docs.select(place, text)
+    own = written(signed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, place)), "near-signed")
     scratch = Scratch(docs.sparkSession, "near-sets")
     labels = written(near_sets(own, rows, scratch), "near-labels")
     scratch.drop()
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "near_row")).alias("first")
     least = own.groupBy("set_id").agg(first).join(labels, F.col("set_id") == F.col("node"), "left")
     kept = least.groupBy(F.coalesce("label", "set_id")).agg(F.min("first").alias("first")).select(F.col("first.near_row").alias("near_row"))
-    return placed.join(written(kept, "near-kept").hint("shuffle_hash"), "near_row", "left_semi").drop("near_row")
+    return placed.join(written(kept, "near-kept").hint("shuffle_hash"), "near_row", "left_semi").select("row.*")

@@ -259,3 +259,15 @@ def test_pipeline_against_plain_steps(spark):
     rows = after.collect()
     assert len(rows) == before.count() and all(r.round_trip for r in rows)
     assert all(own.decode(r.ids).decode() == text[r.doc_id] for r in rows)
+
+
+def test_stages_keep_columns_named_like_their_own(spark, tmp_path):
+    path = str(tmp_path / "named")
+    names = ["predicted", "quality_score", "toxic_score", "near_row", "row", "fp"]
+    spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", *(f"concat('{n} ', doc_id) AS {n}" for n in names)).write.parquet(path)
+    docs = spark.read.parquet(path)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        found = stage(spark, docs, SF)
+        assert found.columns == docs.columns
+        rows = found.select("doc_id", *names).collect()
+        assert rows and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names)
