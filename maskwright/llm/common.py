@@ -111,15 +111,17 @@ def word_runs(text: str, run: int = 1 << 16) -> Iterator[list[str]]:
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """doc_id, text, label of at most ``rows`` labelled training rows, those of the smallest id hashes.
 
-    Only ids and labels are sorted; what is broadcast to the texts has at most ``rows`` rows. A
-    doc_id with several labels counts with the smallest; null labels and ids teach nothing. Rows of
-    ``docs`` that share a doc_id are all taken.
+    Rows with the same text teach once, with the smallest doc_id and its label, so the bound counts texts.
+    A doc_id with several labels counts with the smallest; null labels and ids teach nothing. Only
+    ids, digests and labels are sorted; what is broadcast to the texts has at most ``rows`` rows.
     """
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    text = F.col("text").cast("string")
     known = labels.select(doc_id, F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull() & training_row(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
-    there = docs.select(doc_id)
-    chosen = known.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select(doc_id, F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    own = docs.select(doc_id, text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("digest"))
+    single = own.select("doc_id", "digest").distinct().join(known, "doc_id").groupBy("digest").agg(F.min(F.struct("doc_id", "label")).alias("first"))
+    chosen = single.select("first.*", "digest").orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(rows)
+    return own.join(F.broadcast(chosen), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "text", "label")
 
 
 def training_row(doc_id: Column) -> Column:

@@ -271,3 +271,16 @@ def test_stages_keep_columns_named_like_their_own(spark, tmp_path):
         assert found.columns == docs.columns
         rows = found.select("doc_id", *names).collect()
         assert rows and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names)
+
+
+def test_training_samples_are_bounded_by_rows_and_by_distinct_texts(spark):
+    """One doc_id with very many rows, and one text in very many documents."""
+    taught = [i for i in range(1, 600) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(taught[0], f"text {i % 90}") for i in range(400)] + [(i, "the same") for i in taught[1:200]] + [(i, f"own {i}") for i in taught[200:260]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in taught], "doc_id long, quality int")
+    few = training_sample(docs, labels, "quality", 40).collect()
+    assert len(few) == 40 and len({r.text for r in few}) == 40
+    everything = training_sample(docs, labels, "quality", 1000).collect()
+    assert sorted(r.text for r in everything) == sorted({t for _, t in rows})
+    assert all(r.label == r.doc_id % 2 and (r.doc_id, r.text) in set(rows) for r in everything)
