@@ -32,7 +32,7 @@ REPEAT = 0
 GRAMS = (3, 4)
 DIMENSIONS = 8
 #: Labelled rows that are learned from, at most.
-ROWS = 4000
+ROWS = 6000
 EPOCHS = 12
 RATE = 0.5
 #: Characters looked at together.
@@ -137,11 +137,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     vectors = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS
     output = rng.normal(0, 1, (2, DIMENSIONS)) / DIMENSIONS
     bias = np.log([1 - share, share])
-    shares = [(b, (n / n.sum())[:, None]) if len(b) else (b, np.empty((0, 1))) for b, n in rows]
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            b, w = shares[i]
+            b, n = rows[i]
+            w = (n / max(1, n.sum()))[:, None]  # not kept: doubles of all rows take twice the room of the counts
             pace = rate * (1 - done / steps)
             done += 1
             own = vectors[b]
