@@ -25,7 +25,9 @@ from maskwright.llm.common import in_arrow, slices, texts
 from maskwright.llm.pretokens import PIECES, Memory
 
 #: Slots for stretches of text that a worker remembers.
-SLOTS = 1 << 22
+SLOTS = 1 << 20
+#: Where a null doc_id stands in the order.
+LOWEST = -(1 << 63)
 FILE_SCHEMA = "part int, at long, doc_id long, n_tokens long, blocks array<int>, words binary"
 
 
@@ -80,40 +82,64 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def limits_of(ids: DataFrame, parts: int) -> np.ndarray:
+    """Ascending ids that cut the rows of ``ids`` (doc_id) into ``parts`` about even ranges.
+
+    They come from a sketch of all ids, whose size depends on the number of parts alone. An id that
+    fills several ranges occurs several times.
+    """
+    shares = [i / parts for i in range(1, parts)]
+    found = ids.agg(F.percentile_approx("doc_id", shares, min(100 * parts, 1_000_000)).alias("limits")).first() if shares else None
+    return np.array(found["limits"] if found and found["limits"] else [], dtype=np.int64)
+
+
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Rows of a token file for ``docs`` (doc_id, text; others are dropped): each whole text's ids and ``end_id``.
 
-    A null text is empty and still gets its end id. Rows of one doc_id keep a fixed order, by text.
-    One range shuffle of the texts puts them in doc_id order; it is as even as the doc_ids are.
+    A null text is empty and still gets its end id; a null doc_id comes first. Texts are encoded where
+    they are read, and only packed words are shuffled, dealt into even ranges of doc_ids. Rows of one
+    doc_id stand in the order of their texts' hashes; a doc_id that fills several ranges is dealt over
+    them by turns, in that order within each. An empty table gives an empty file.
     """
-    whole = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole).repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("tie"))
+    limits = limits_of(own.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id")), parts)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, end = TaskContext.get().partitionId(), 0, np.array([end_id], dtype="<u4")
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, end = TaskContext.get().partitionId(), np.array([end_id], dtype="<u4")
         for batch in slices(batches):
             lists = [np.concatenate((x, end)) for x in encoder(path).encode(texts(batch.column("text")))]
             words, begins, blocks = simple8b.encode(lists)
             stops = np.append(begins, len(words))[np.cumsum(blocks)]
             starts = np.concatenate(([0], stops[:-1]))
             per = np.split(begins, np.cumsum(blocks)[:-1])
-            sizes = np.array([len(x) for x in lists], dtype=np.int64)
             raw = words.astype("<u8").tobytes()
+            ids = batch.column("doc_id").fill_null(LOWEST).to_numpy()
+            low, high = (np.searchsorted(limits, ids, side) for side in ("left", "right"))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(lists), part, dtype=np.int32)),
-                    pa.array(at + np.cumsum(sizes) - sizes),
+                    pa.array((low + (turn + np.arange(len(ids))) % (high - low + 1)).astype(np.int32)),
                     batch.column("doc_id"),
-                    pa.array(sizes),
+                    batch.column("tie"),
+                    pa.array([len(x) for x in lists], pa.int64()),
                     pa.array([(b - s).tolist() for b, s in zip(per, starts, strict=True)], pa.list_(pa.int32())),
                     pa.array([raw[a * 8 : b * 8] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], pa.binary()),
                 ],
-                names=["part", "at", "doc_id", "n_tokens", "blocks", "words"],
+                names=["part", "doc_id", "tie", "n_tokens", "blocks", "words"],
             )
+            turn += len(ids)
+
+    def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            sizes = batch.column("n_tokens").to_numpy()
+            ends = at + np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(ends - sizes), *(batch.column(c) for c in ("doc_id", "n_tokens", "blocks", "words"))], names=["part", "at", "doc_id", "n_tokens", "blocks", "words"])
             at += int(sizes.sum())
 
-    return ordered.mapInArrow(run, FILE_SCHEMA)
+    packed = own.mapInArrow(encode, "part int, doc_id long, tie long, n_tokens long, blocks array<int>, words binary")
+    return packed.repartitionById(parts, "part").sortWithinPartitions("doc_id", "tie").mapInArrow(placed, FILE_SCHEMA)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, to: str, end_id: int) -> None:
