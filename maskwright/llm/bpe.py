@@ -15,6 +15,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.llm.common import extended, in_arrow, texts
+from maskwright.llm.common import Shipped, extended, in_arrow, texts
 from maskwright.llm.pretokens import PATTERN, Memory
 
 #: Distinct pre-tokens, and slots for stretches of text, that a worker remembers; a pipeline's workers hold other things too.
@@ -70,9 +71,8 @@ class RankQueue:
 class Codec:
     """Encoder and decoder of one rank file."""
 
-    def __init__(self, path: str, pattern: str = PATTERN) -> None:
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    def __init__(self, lines: bytes, pattern: str = PATTERN) -> None:
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
         self.size = max(self.ranks.values()) + 1
         self.bytes_of = [b""] * self.size
         for token, rank in self.ranks.items():
@@ -155,10 +155,14 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def built(lines: bytes, suffix: str) -> Codec:
+    return Codec(lines)
+
+
 @cache
 def codec(path: str) -> Codec:
-    """One codec for each rank file and worker process."""
-    return Codec(path)
+    """The codec of a rank file of this machine."""
+    return Codec(Path(path).read_bytes())
 
 
 def encode_rows(df: DataFrame, path: str, text: str = "text", into: str = "ids", checked: str | None = None) -> DataFrame:
@@ -170,9 +174,10 @@ def encode_rows(df: DataFrame, path: str, text: str = "text", into: str = "ids",
     """
     df = df.drop(*({into, checked} - {None, text}))
     schema = extended(df.schema, **{into: T.ArrayType(T.IntegerType())}, **({checked: T.BooleanType()} if checked else {}))
+    file = Shipped(df.sparkSession, path)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, whole = codec(path), texts(batch.column(text))
+        own, whole = file.made(built), texts(batch.column(text))
         ids = [np.concatenate([*runs, np.empty(0, "<u4")]).astype(np.int32) for runs in own.all_runs(whole)]
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
         new = [pa.ListArray.from_arrays(offsets, np.concatenate([*ids, np.empty(0, np.int32)]))]
@@ -187,9 +192,10 @@ def decode_rows(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded
     """``df`` with the bytes of the ids in ``ids`` as binary in ``into``; null ids count as none."""
     df = df.drop(into)
     schema = extended(df.schema, **{into: T.BinaryType()})
+    file = Shipped(df.sparkSession, path)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = codec(path)
+        own = file.made(built)
         out = pa.array([own.decode(x or []) for x in batch.column(ids).to_pylist()], pa.binary())
         return pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, into])
 
@@ -199,11 +205,13 @@ def decode_rows(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded
 def digests(df: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encodes, decodes and digests in one pass.
 
-    A null text is empty; rows are kept one by one, repeated ones too, and other columns are dropped.
+    A null text is empty; rows are kept one by one, repeated ones too, and other columns are dropped;
+    an empty table gives none.
     """
+    file = Shipped(df.sparkSession, path)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, out = codec(path), []
+        own, out = file.made(built), []
         for runs in own.all_runs(texts(batch.column("text"))):
             n, ids_sha, text_sha, gap = 0, hashlib.sha256(), hashlib.sha256(), ""
             for ids in runs:

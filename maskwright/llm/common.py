@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -26,11 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``. Where that is unset (tests, local mode) a
-    folder of this machine is named, which is right only because everything runs in one JVM.
+    It is the cluster's ``spark.checkpoint.dir``. Where that is unset, a local session (one JVM) gets
+    a folder of this machine; any other is refused, as its executors would not see that folder.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
-    return there.rstrip("/") if there else f"file://{Path(gettempdir()) / 'maskwright-shared'}"
+    if there:
+        return there.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all machines share (master {master})")
+    return f"file://{Path(gettempdir()) / 'maskwright-shared'}"
 
 
 def unique(what: str) -> str:
@@ -45,6 +51,26 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What a worker has made of shipped files.
+MADE: dict[tuple[str, str], object] = {}
+
+
+class Shipped:
+    """A small file of the driver's machine, broadcast as bytes: executors need not have it."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        data = Path(path).read_bytes()
+        self.digest, self.suffix = hashlib.sha256(data).hexdigest(), Path(path).suffix
+        self.data = spark.sparkContext.broadcast(data)
+
+    def made(self, build: Callable[[bytes, str], object]):
+        """``build`` of the bytes and the file's suffix, once for each file and worker process."""
+        key = (build.__qualname__, self.digest)
+        if key not in MADE:
+            MADE[key] = build(self.data.value, self.suffix)
+        return MADE[key]
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches cut into short runs of rows, without copying."""
     for batch in batches:
@@ -74,6 +100,26 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key is hot from this share of the rows; so there are at most so many hot keys as its inverse.
+HOT = 1 / 1000
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for a ``key``, however many rows of ``left`` share it.
+
+    ``sizes`` (key, n) says how many do. Hot keys, of which there are at most 1 / ``HOT``, are
+    broadcast with their rows of ``right``, so that no task gets all rows of such a key; the others are
+    dealt by key. ``left`` is read twice and should be a table.
+    """
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    least = max(1000.0, HOT * (total or 0))
+    if not most or most < least:
+        return left.join(right, key)
+    hot = sizes.filter(F.col("n") >= least).select(key)
+    many = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    return left.join(many, key).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))
+
+
 def extended(schema: StructType, **new: DataType) -> StructType:
     """A schema with further columns; the given one stays as it is."""
     return StructType([*schema.fields, *(StructField(n, t) for n, t in new.items())])

@@ -13,6 +13,7 @@ import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm import simple8b
-from maskwright.llm.common import in_arrow, slices, texts
+from maskwright.llm.common import Shipped, in_arrow, slices, texts
 from maskwright.llm.pretokens import PIECES, Memory
 
 #: Slots for stretches of text that a worker remembers.
@@ -39,13 +40,12 @@ class Encoder:
     an added token, goes through the library whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, file: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.own = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        self.own = Tokenizer.from_buffer(file)
+        spec = json.loads(file)
         split = spec.get("pre_tokenizer") or {}
         model = spec["model"]
         self.by_piece = model["type"] == "BPE" and not model.get("dropout") and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding") and split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split.get("use_regex", True)
@@ -76,10 +76,14 @@ class Encoder:
         return [self.whole(t) if a else np.concatenate([*next(runs), np.empty(0, np.uint32)]) for t, a in zip(texts, apart, strict=True)]
 
 
+def built(file: bytes, suffix: str) -> Encoder:
+    return Encoder(file)
+
+
 @cache
 def encoder(path: str) -> Encoder:
-    """One encoder for each file and worker process."""
-    return Encoder(path)
+    """The encoder of a tokenizer file of this machine."""
+    return Encoder(Path(path).read_bytes())
 
 
 def limits_of(ids: DataFrame, parts: int) -> np.ndarray:
@@ -104,12 +108,13 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("tie"))
+    file = Shipped(docs.sparkSession, path)
     limits = limits_of(own.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id")), parts)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, end = TaskContext.get().partitionId(), np.array([end_id], dtype="<u4")
         for batch in slices(batches):
-            lists = [np.concatenate((x, end)) for x in encoder(path).encode(texts(batch.column("text")))]
+            lists = [np.concatenate((x, end)) for x in file.made(built).encode(texts(batch.column("text")))]
             words, begins, blocks = simple8b.encode(lists)
             stops = np.append(begins, len(words))[np.cumsum(blocks)]
             starts = np.concatenate(([0], stops[:-1]))

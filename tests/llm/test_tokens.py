@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-
+from pyspark.sql import functions as F
 
 from maskwright.llm import bpe, simple8b, token_counts, token_files
 from maskwright.llm.pretokens import PATTERN, UNSETTLED, pieces, plain
@@ -176,7 +176,7 @@ def test_other_tokenizer_files_go_through_the_library():
 
     path = P.path("word_bpe_49k.json")
     own, texts = Tokenizer.from_file(path), mixed_texts(40, 3)
-    assert [x.tolist() for x in token_files.Encoder(path).encode(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in token_files.encoder(path).encode(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json"])
@@ -197,7 +197,69 @@ def test_token_counts_and_their_cache(spark, name):
     assert stored.count() == len({t or "" for t in texts} | {"odd"}) == stored.select("content").distinct().count()
     # a second call, with one new text, counts that one only
     more = df.unionByName(spark.createDataFrame([(99, "quite new", 1)], df.schema))
-    cached = spark.read.parquet(cache)
-    assert token_counts.count_misses(more, cached, path).count() == 1
     assert token_counts.count_tokens(more, path, cache).count() == len(rows) + 1
+    assert spark.read.parquet(cache).count() == stored.count() + 1
     assert token_counts.count_tokens(df.limit(0), path, cache).collect() == []
+    # rows that two writers left twice count once
+    spark.read.parquet(cache).write.parquet(f"{cache}-twice")
+    spark.read.parquet(cache).write.mode("append").parquet(f"{cache}-twice")
+    assert sorted(map(str, token_counts.count_tokens(df, path, f"{cache}-twice").collect())) == sorted(map(str, rows))
+
+
+def test_token_counts_with_one_text_in_half_of_all_rows(spark):
+    df = spark.createDataFrame([(i, "the very same text" if i % 2 else f"text {i}") for i in range(4000)], "doc_id long, text string")
+    path = P.path("piece_bpe_32k.model")
+    rows = token_counts.count_tokens(df, path, f"{spark.conf.get('spark.checkpoint.dir')}/counts-hot").collect()
+    count = token_counts.counter(path)
+    assert sorted(r.doc_id for r in rows) == list(range(4000))
+    assert {r.n_tokens for r in rows if r.doc_id % 2} == {count(["the very same text"])[0]}
+    assert all(r.n_tokens == count([f"text {r.doc_id}"])[0] for r in rows if r.doc_id % 400 == 0)
+
+
+def thue_morse(n):
+    """A word on which polynomial hashes modulo powers of two meet those of its complement."""
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 256, 1024, 4096])
+def test_words_whose_hashes_meet(library, n):
+    from tokenizers import Tokenizer
+
+    word = thue_morse(n)
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [f"x {word}", f"x {other}", f"x {word} {other} y"]
+    own, path = bpe.codec(RANKS), P.path("byte_bpe_50k.json")
+    for text in texts:
+        assert own.encode(text).tolist() == library.encode_ordinary(text)
+    plain_ids = Tokenizer.from_file(path)
+    assert [x.tolist() for x in token_files.encoder(path).encode(texts)] == [plain_ids.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_table_where_all_hashes_meet():
+    own = Table(lambda some: [np.frombuffer(x.encode(), np.uint8).astype("<u4").tobytes() for x in some])
+    own.hashes = lambda raw, begins, ends: raw[begins].astype(np.uint64)
+    rnd = random.Random(3)
+    for _ in range(100):
+        texts = [" ".join("".join(rnd.choice("abc") for _ in range(rnd.choice([1, 2, 3, 300]))) for _ in range(rnd.randint(0, 30))).encode() for _ in range(4)]
+        for text, ids in zip(texts, own.ids(texts), strict=True):
+            assert bytes(ids.astype(np.uint8)) == text
+
+
+def test_token_file_edges(spark):
+    """An empty table, clashing columns, and one doc_id with most rows, which fills several ranges."""
+    path = P.path("byte_bpe_50k.json")
+    rows = [(i, f"text {i}", "x") for i in range(40)] + [(17, f"hot {i % 9}", "x") for i in range(400)] + [(None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part string").withColumn("words", F.lit(1)).withColumn("tie", F.lit("z"))
+    folder = spark.conf.get("spark.checkpoint.dir")
+    for name, some in (("hot", df.repartition(3)), ("none", df.limit(0))):
+        token_files.write_tokens(some, path, f"{folder}/tokens-{name}", end_id=2)
+        tokens = spark.read.schema(token_files.FILE_SCHEMA).parquet(f"{folder}/tokens-{name}")
+        found = token_files.with_starts(token_files.checksums(tokens), tokens).orderBy("start").collect()
+        assert len(found) == (len(rows) if name == "hot" else 0)
+        ids = [-1 if r.doc_id is None else r.doc_id for r in found]
+        assert ids == sorted(ids) and [r.start for r in found] == [sum(r.n_tokens for r in found[:i]) for i in range(len(found))]
+        if name == "hot":
+            assert len({r.part for r in found if r.doc_id == 17}) > 1
+            own = token_files.encoder(path)
+            wanted = sorted((-1 if i is None else i, zlib.crc32(np.append(own.encode([t or ""])[0], 2).astype("<u4").tobytes())) for i, t, _ in rows)
+            assert sorted(zip(ids, (r.ids_crc32 for r in found), strict=True)) == wanted
