@@ -15,7 +15,9 @@ shared, so their pairs meet again under one of the 10 entries that add two more
 
 ``without_near_duplicates`` asks for another likeness: a Jaccard of 0.8 or more over the sets of five-word
 shingles. There fingerprints differ in about 10 of 64 bits, so no byte need be shared, and no index over
-bytes is sure. Its candidates share all minima of a band of a MinHash signature; exact sets decide.
+bytes is sure. Its candidates share all minima of a band of a MinHash signature; exact sets decide. What
+shares a band is first compared with a few of it, which joins large groups; what stays apart is compared
+by an inverted index over each set's rarest shingles, again with the counts that such pairs must reach.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.llm.common import Scratch, extended, in_arrow, texts, written
+from maskwright.llm.common import Scratch, extended, in_arrow, join_unique, texts, written
 
 #: Differing bits up to which fingerprints link.
 BITS = 3
@@ -45,10 +48,12 @@ LONG = 512
 RUN = 1 << 16
 #: Words of a shingle, and Jaccard of shingle sets from which texts are near copies (as a fraction).
 WORDS, ALIKE = 5, (4, 5)
-#: Bands of a signature and minima in each: at a Jaccard of 0.8, one pair in 300,000 shares no band.
-BANDS, MINIMA = 24, 4
+#: Bands of a signature and minima in each: at a Jaccard of 0.8, one pair in 150,000 shares no band.
+BANDS, MINIMA = 30, 5
 #: Members of a band's bucket with which all others are compared first.
 HEADS = 3
+#: Sets under one shingle that meet in a task.
+TOGETHER = 2048
 #: Odd multipliers, one for each minimum.
 MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 64, BANDS * MINIMA, dtype=np.uint64) | np.uint64(1)
 
@@ -152,17 +157,20 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
     Each round takes the smallest label of the neighbours and then the label's own label, so the
     rounds grow with the logarithm of a component's length. Every round is written to the shared
-    folder. Labels meet by joins and partial minima; no node's neighbours are gathered anywhere.
+    folder. Labels meet by joins and partial minima; no node's neighbours are gathered anywhere, and
+    the rows of a hub or of a large component's label stay where they are.
     """
     keep = (scratch or Scratch(edges.sparkSession, "components")).keep
     both = keep(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    degrees = keep(both.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n")))
+    ends = both.withColumnRenamed("b", "node")
     labels = keep(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
     while True:
-        nearby = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("least"))
+        nearby = join_unique(ends, labels, "node", degrees).groupBy("a").agg(F.min("label").alias("least"))
         lower = labels.join(nearby, F.col("node") == F.col("a")).select("node", F.least("label", "least").alias("label"), F.col("label").alias("was"))
         lower = keep(lower)
-        up = lower.select(F.col("node").alias("up"), F.col("label").alias("top"))
-        jumped = lower.join(up, F.col("label") == F.col("up")).select("node", F.least("label", "top").alias("label"), "was")
+        up = lower.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        jumped = join_unique(lower, up, "label", keep(lower.groupBy("label").agg(F.count("*").alias("n")))).select("node", F.least("label", "top").alias("label"), "was")
         jumped = keep(jumped)
         labels = jumped.select("node", "label")
         if jumped.filter("label <> was").isEmpty():
@@ -176,13 +184,14 @@ def with_components(fps: DataFrame) -> DataFrame:
     never a component's id unless no other is there. An empty table gives none.
     """
     fps = fps.drop("component_id")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     scratch = Scratch(fps.sparkSession, "simhash")
     labels = written(components(links(distinct.select("fp"), scratch), scratch), "simhash-labels")
     scratch.drop()
     labelled = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    return fps.join(labelled.join(ids, "label").select("fp", "component_id"), "fp")
+    found = written(labelled.join(ids, "label").select("fp", "component_id"), "simhash-found")
+    return join_unique(fps, found, "fp", distinct.select("fp", "n"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -218,15 +227,16 @@ def as_longs(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``set_id`` (equal for equal shingle sets) and ``bands`` in place of ``text``."""
+    """``docs`` with ``set_id`` (equal for equal shingle sets), ``bands`` and ``size`` in place of ``text``."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t) for t in texts(batch.column("text"))]
         ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
         kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
-        return pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(ids), as_longs([band_keys(s) for s in sets])], names=[*(n for n, _ in kept), "set_id", "bands"])
+        new = [pa.array(ids), as_longs([band_keys(s) for s in sets]), pa.array([len(s) for s in sets], pa.int32())]
+        return pa.RecordBatch.from_arrays([*(c for _, c in kept), *new], names=[*(n for n, _ in kept), "set_id", "bands", "size"])
 
-    return in_arrow(docs, work, extended(docs.drop("text").schema, set_id=T.LongType(), bands=T.ArrayType(T.LongType())))
+    return in_arrow(docs, work, extended(docs.drop("text").schema, set_id=T.LongType(), bands=T.ArrayType(T.LongType()), size=T.IntegerType()))
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -241,63 +251,111 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard of ``ALIKE`` or more, by the sets themselves."""
     both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
-    part, whole = ALIKE
     x, y = F.size("x"), F.size("y")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.filter((whole * F.least(x, y) >= part * F.greatest(x, y)) & (whole * shared >= part * (x + y - shared))).select("a", "b")
+    return both.filter(F.size(F.array_intersect("x", "y")) >= least_shared(x, y)).select("a", "b")
+
+
+def least_shared(x: Column, y: Column) -> Column:
+    """Shingles that two sets of these sizes share if their Jaccard is ``ALIKE`` or more."""
+    part, whole = ALIKE
+    return F.ceil((x + y) * part / (part + whole))
+
+
+def sizes_fit(x: Column, y: Column) -> Column:
+    part, whole = ALIKE
+    return whole * F.least(x, y) >= part * F.greatest(x, y)
 
 
 def paired(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def rare_pairs(own: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """a < b: every pair of ``own`` (set_id, label) with different labels whose sets may be alike, and few others.
+
+    All shingles are ordered alike, the rarest within ``own`` first. Two sets that share enough have one
+    of it among the first few of each: so many as may be missing, and one. The places of that shingle
+    say how many more can follow, and pairs that can't reach the count go before their sets are read.
+    A shingle that many sets hold in front is split, so that a task sees ``TOGETHER`` of them at a time.
+    """
+    keep = scratch.keep
+    part, whole = ALIKE
+    there = keep(sets.join(own, "set_id").select("set_id", "label", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")))
+    often = there.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    ordered = there.join(often, "shingle").groupBy("set_id", "label", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("rare"))
+    alone = F.col("size") - F.size("rare")  # shingles that no other set has come first
+    first = F.floor(F.col("size") * (whole - part) / whole) + 1 - alone
+    entries = ordered.filter(first > 0).select("set_id", "label", "size", alone.alias("alone"), F.posexplode(F.slice("rare", F.lit(1), first.cast("int"))).alias("place", "rare"))
+    entries = keep(entries.select("set_id", "label", "size", (F.col("place") + F.col("alone")).alias("place"), F.col("rare.shingle").alias("shingle")))
+    counts = entries.groupBy("shingle", "label").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.count("*").alias("labels"), F.sum("n").alias("all"), F.max(F.struct("n", "label"))["label"].alias("most")).filter("labels > 1")
+    met = keep(entries.join(counts.select("shingle", "most", F.ceil(F.col("all") / TOGETHER).cast("int").alias("ways")), "shingle"))
+    left = met.filter("label <> most").withColumn("way", F.pmod(F.xxhash64("set_id"), F.col("ways")).cast("int")).alias("a")
+    right = met.withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).alias("b")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    once = (a("label") != b("label")) & ((b("label") == b("most")) | (a("set_id") < b("set_id")))
+    least = least_shared(a("size"), b("size"))
+    enough = sizes_fit(a("size"), b("size")) & (F.least(a("size") - a("place"), b("size") - b("place")) >= least)
+    return left.join(right, (a("shingle") == b("shingle")) & (a("way") == b("way")) & once & enough).select(*paired(a("set_id"), b("set_id"))).distinct()
+
+
 def near_sets(own: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label (smallest set_id reachable) for the sets of ``own`` that have near copies.
 
-    ``own``: near_row, set_id, bands. ``rows``: near_row, text. All that share a bucket are first compared
+    ``own``: file, row, set_id, bands, size. ``rows``: file, row, text. All that share a bucket are first compared
     with ``HEADS`` of its sets, the same in all buckets where possible, which joins large groups by
-    few pairs. Then each pair of a bucket that isn't in one group yet is compared, so none is passed over.
+    few pairs. The sets of buckets that hold more than one group are then compared as ``rare_pairs`` says,
+    which passes over none that are alike.
     """
     keep = scratch.keep
-    distinct = keep(own.groupBy("set_id").agg(F.min("near_row").alias("near_row"), F.first("bands").alias("bands")))
-    entries = distinct.select("set_id", F.explode("bands").alias("key"))
-    heads = [F.min(F.struct(F.xxhash64("set_id", F.lit(i)), "set_id"))["set_id"] for i in range(HEADS)]
-    buckets = keep(entries.groupBy("key").agg(F.count("*").alias("n"), F.array(*heads).alias("heads")).filter("n > 1").drop("n"))
-    members = keep(entries.join(buckets, "key"))
-    sets = keep(shingle_sets(rows.join(keep(distinct.join(members.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "near_row")), "near_row").select("set_id", "text")))
-    first = members.select("set_id", F.explode(F.array_distinct("heads")).alias("head")).filter("set_id <> head")
-    links = keep(alike(first.select(*paired(F.col("set_id"), F.col("head"))).distinct(), sets))
+    distinct = keep(own.groupBy("set_id").agg(F.min(F.struct("file", "row")).alias("at"), F.first("bands").alias("bands"), F.first("size").alias("size")))
+    entries = distinct.select("set_id", "size", F.explode("bands").alias("key"))
+    heads = [F.min(F.struct(F.xxhash64("set_id", F.lit(i)), "set_id", "size")) for i in range(HEADS)]
+    heads = [F.struct(h["set_id"].alias("head"), h["size"].alias("head_size")) for h in heads]
+    buckets = keep(entries.groupBy("key").agg(F.count("*").alias("n"), F.array(*heads).alias("heads")).filter("n > 1"))
+    members = keep(join_unique(entries, buckets.drop("n"), "key", buckets.select("key", "n")))
+    read = keep(distinct.join(members.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "at.file", "at.row"))
+    sets = keep(shingle_sets(rows.join(read, ["file", "row"]).select("set_id", "text")))
+    first = members.select("set_id", "size", F.explode(F.array_distinct("heads")).alias("h")).filter((F.col("set_id") != F.col("h.head")) & sizes_fit(F.col("size"), F.col("h.head_size")))
+    links = keep(alike(first.select(*paired(F.col("set_id"), F.col("h.head"))).distinct(), sets))
     labels = keep(components(links, scratch))
-    # what is left: members of a bucket outside its largest group, with all that are in another group
     grouped = keep(members.join(labels, F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("label", "set_id").alias("label")))
-    sizes = grouped.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("n", "label"))["label"].alias("most"))
-    open_ = keep(sizes.filter("groups > 1").select("key", "most"))
-    if open_.isEmpty():
+    groups = grouped.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
+    groups = keep(groups)
+    if groups.isEmpty():
         return labels
-    inner = keep(grouped.join(open_, "key"))
-    a, b = inner.filter("label <> most").alias("a"), inner.alias("b")
-    other = (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.most")) | (F.col("a.set_id") < F.col("b.set_id")))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & other).select(*paired(F.col("a.set_id"), F.col("b.set_id"))).distinct()
-    more = keep(alike(pairs, sets))
+    open_ = keep(join_unique(grouped, groups.select("key"), "key", groups.select("key", "n")).select("set_id", "label").distinct())
+    more = keep(alike(rare_pairs(open_, sets, scratch), sets))
     return labels if more.isEmpty() else components(links.unionByName(more), scratch)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` as row, file, row number and text: the place of a row in the file it is read from.
+
+    A place stays the same however files are split or executors come and go. What isn't read straight
+    from Parquet files is written first.
+    """
+    place = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    rows = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    try:
+        return docs.select(*rows, *place)
+    except AnalysisException:
+        return written(docs, "near-docs").select(*rows, *place)
+
+
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies in ``docs``: the smallest doc_id, of equal ones the first read.
 
     Near copies have five-word shingle sets with a Jaccard of 0.8 or more (case of A-Z and white space
-    aside); groups are what such pairs connect. Texts without words are one group. ``docs`` must be a table
-    that reads alike twice (files), as rows are known by their place in it.
+    aside; a text of fewer words is one shingle); groups are what such pairs connect. Texts without words,
+    null and empty ones among them, are one group, and of repeated rows one stays. A null doc_id stays only
+    where its group has no other. Texts are read whole; an empty table gives none; columns of any name pass.
     """
-    place = F.monotonically_increasing_id().alias("near_row")
-    text = F.col("text").cast("string").alias("text")
-    placed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), place)
-    rows = docs.select(place, text)
-    own = written(signed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, place)), "near-signed")
+    rows = placed(docs)
+    own = written(signed(rows.select("doc_id", "text", "file", "row")), "near-signed")
     scratch = Scratch(docs.sparkSession, "near-sets")
-    labels = written(near_sets(own, rows, scratch), "near-labels")
+    labels = written(near_sets(own, rows.select("file", "row", "text"), scratch), "near-labels")
     scratch.drop()
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "near_row")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "file", "row")).alias("first")
     least = own.groupBy("set_id").agg(first).join(labels, F.col("set_id") == F.col("node"), "left")
-    kept = least.groupBy(F.coalesce("label", "set_id")).agg(F.min("first").alias("first")).select(F.col("first.near_row").alias("near_row"))
-    return placed.join(written(kept, "near-kept").hint("shuffle_hash"), "near_row", "left_semi").select("row.*")
+    kept = written(least.groupBy(F.coalesce("label", "set_id")).agg(F.min("first").alias("first")).select("first.file", "first.row"), "near-kept")
+    return rows.select("whole", "file", "row").join(kept.hint("shuffle_hash"), ["file", "row"], "left_semi").select("whole.*")
