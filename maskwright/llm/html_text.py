@@ -2,8 +2,8 @@
 
 The text keeps the layout: blocks stand on lines of their own, with an empty line where a browser
 leaves a margin; list items are marked or numbered and indented; cells of a table stand under each
-other. Nothing is judged to be boilerplate. Building and rendering take no recursion, and time and
-memory in proportion to the page.
+other. Nothing is judged to be boilerplate. Building and rendering take no recursion. Time and memory
+go with the page and, in a table, with the columns and the cells that reach down into a row.
 """
 
 from __future__ import annotations
@@ -57,12 +57,19 @@ ENDS = {
 }
 #: Elements through which no end tag and no implied end reaches.
 BARRIER = frozenset("td th caption table template button".split())
-#: Cells wider than this aren't filled up to their column's width, so a table takes no more than its text.
+#: Characters of a table's column, but for the last cell of a row; longer lines are broken there.
 WIDEST = 60
+#: Levels of lists and quotations that are set further in, as a page has a width.
+LEVELS = 40
+#: The most columns and rows that a cell takes, and inputs whose value isn't shown as text.
+ACROSS, DOWN = 1000, 65_534
+UNSHOWN = frozenset("hidden password checkbox radio file image range color".split())
+BUTTONS = frozenset("submit button reset".split())
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*([a-z-]+)", re.I)
+VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(hidden|collapse|visible)", re.I)
 UNQUOTED = re.compile(r"=\s*[^\s\"'][^\s]*/$")
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
@@ -148,27 +155,37 @@ class Builder:
     def __init__(self) -> None:
         self.root = Node("html", {})
         self.open = [self.root]
+        #: where the open elements of each tag stand
+        self.places: dict[str, list[int]] = {}
         self.body: Node | None = None
 
     def push(self, tag: str, attributes: dict[str, str], foreign: str = "", closed: bool = False) -> None:
         node = Node(tag, attributes, foreign)
         self.open[-1].children.append(node)
         if not closed if foreign else tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
+    def cut(self, at: int) -> None:
+        """Ends the open elements from a place on."""
+        for node in self.open[at:]:
+            self.places[node.tag].pop()
+        del self.open[at:]
+
+    def last(self, tags: set[str] | frozenset[str]) -> int:
+        """Where the innermost open element of some tags stands, or 0."""
+        return max((own[-1] for tag in tags if (own := self.places.get(tag))), default=0)
+
     def inside(self) -> str:
         return self.open[-1].inside()
 
     def close(self, tags: set[str] | frozenset[str], barrier: set[str] | frozenset[str]) -> bool:
         """Ends the innermost open element of those tags and all within, if no barrier is met first."""
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.open[i].tag
-            if tag in tags:
-                del self.open[i:]
-                return True
-            if tag in barrier:
-                return False
-        return False
+        at = self.last(tags)
+        if not at or at < self.last(barrier):
+            return False
+        self.cut(at)
+        return True
 
     def into_body(self) -> None:
         """The body begins with the first content, said or not."""
@@ -183,7 +200,7 @@ class Builder:
                 self.push(tag, attributes, tag if tag in ("svg", "math") and self.open[-1].tag == "annotation-xml" else kind, closed)
                 return
             while self.inside():
-                self.open.pop()
+                self.cut(len(self.open) - 1)
         if tag in ("svg", "math"):
             if self.body is None:
                 self.into_body()
@@ -210,7 +227,7 @@ class Builder:
         if tag in CLOSE_P:
             self.close({"p"}, BARRIER)
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
+            self.cut(len(self.open) - 1)
         if tag in ENDS:
             ends, until = ENDS[tag]
             if tag in ("tr", "thead", "tbody", "tfoot"):
@@ -265,17 +282,24 @@ def tree(html: str) -> Node:
 
 
 def hidden(node: Node, parent: Node | None) -> bool:
-    """Whether an element and all in it are out of sight."""
+    """Whether an element and all in it are not laid out at all."""
     a = node.attributes
     if node.tag in UNSEEN or "hidden" in a or node.tag == "dialog" and "open" not in a:
         return True
-    if node.foreign and (node.tag in FOREIGN_UNSEEN[node.foreign] or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")):
+    if node.foreign and (node.tag in FOREIGN_UNSEEN[node.foreign] or a.get("display") == "none"):
         return True
-    if "style" in a and HIDING.search(a["style"]):
+    if "style" in a and (said := DISPLAY.findall(a["style"])) and said[-1].lower() == "none":
         return True
     return parent is not None and parent.tag == "details" and "open" not in parent.attributes and node.tag != "summary"
 
 
+def visible(node: Node, inherited: bool) -> bool:
+    """Whether an element's own text is drawn; what is in it may say otherwise again."""
+    said = VISIBILITY.findall(node.attributes.get("style", ""))
+    own = said[-1].lower() if said else node.attributes.get("visibility", "") if node.foreign else ""
+    return own == "visible" if own in ("hidden", "collapse", "visible") else inherited
+
+
 class Flow:
     """Lines under construction. A gap waits until something follows it."""
 
@@ -333,63 +357,111 @@ class Flow:
             self.gap = max(self.gap, 2 if margin else 1)
 
 
+def wrapped(line: str) -> list[str]:
+    """A line in pieces of at most ``WIDEST`` characters, broken at spaces; a longer word stays whole."""
+    out = []
+    while len(line) > WIDEST:
+        cut = line.rfind(" ", 1, WIDEST + 1)
+        if cut < 0:
+            cut = line.find(" ", WIDEST)
+        if cut < 0:
+            break
+        out.append(line[:cut])
+        line = line[cut + 1 :]
+    return [*out, line]
+
+
 class Table:
-    """Rows of cells, each cell its lines; cells know how many columns and rows they take."""
+    """Rows of cells (first column, lines). Columns that cells of rows above still take are passed over."""
 
     def __init__(self) -> None:
-        self.rows: list[list[tuple[int, int, list[str]]]] = []
-        self.taken: dict[tuple[int, int], None] = {}
+        self.rows: list[list[tuple[int, list[str]]]] = []
+        #: first column, end and last row of what reaches down into the row at hand, by column; and what the row adds
+        self.above: list[tuple[int, int, int]] = []
+        self.own: list[tuple[int, int, int]] = []
+        self.next, self.at = 0, 0
+
+    def row(self) -> None:
+        """Begins a row."""
+        n = len(self.rows)
+        left = [x for x in self.above if x[2] >= n] if self.above else []
+        for x in self.own:
+            if left and left[-1][1] == x[0] and left[-1][2] == x[2]:
+                left[-1] = (left[-1][0], x[1], x[2])
+            else:
+                left.append(x)
+        if self.own:
+            left.sort()
+        self.above, self.own = left, []
+        self.rows.append([])
+        self.next = self.at = 0
+
+    def group(self) -> None:
+        """Ends a group of rows, which no cell reaches beyond."""
+        self.above, self.own = [], []
 
     def add(self, lines: list[str], across: int, down: int) -> None:
-        row = len(self.rows) - 1
-        column = self.rows[row][-1][0] + self.rows[row][-1][1] if self.rows[row] else 0
-        while (row, column) in self.taken:
-            column += 1
-        self.rows[row].append((column, across, lines))
-        for r in range(row + 1, row + down):
-            for c in range(column, column + across):
-                self.taken[r, c] = None
+        column = self.next
+        while self.at < len(self.above) and self.above[self.at][0] <= column:
+            column = max(column, self.above[self.at][1])
+            self.at += 1
+        self.rows[-1].append((column, lines))
+        self.next = column + across
+        if down > 1:
+            self.own.append((column, column + across, len(self.rows) - 2 + down))
 
     def render(self) -> list[str]:
+        """Lines in which every column's cells begin under each other.
+
+        Only the columns in which cells begin take room. Before the last cell of a row, lines longer than
+        ``WIDEST`` are broken, so the lines of a table are as long as its columns are many, not its texts.
+        """
+        laid = [[(c, [y for x in lines for y in wrapped(x)] if i + 1 < len(row) else lines) for i, (c, lines) in enumerate(row)] for row in self.rows]
         width: dict[int, int] = {}
-        for row in self.rows:
-            for column, across, lines in row:
-                wide = max(map(len, lines), default=0)
-                if across == 1 and wide <= WIDEST:
-                    width[column] = max(width.get(column, 0), wide)
+        for row in laid:
+            for i, (column, lines) in enumerate(row):
+                wide = max((len(x) for x in lines if len(x) <= WIDEST), default=0) if i + 1 < len(row) else 0
+                width[column] = max(width.get(column, 0), wide)
+        start, at = {}, 0
+        for column in sorted(width):
+            start[column] = at
+            at += width[column] + 2
         out = []
-        for row in self.rows:
-            for k in range(max((len(lines) for _, _, lines in row), default=0)):
-                line, size, edge = [], 0, 0
-                for column, _, lines in row:
-                    for c in range(edge, column):
-                        pad = width.get(c, 0) + 2
-                        line.append(" " * pad)
-                        size += pad
-                    piece = lines[k] if k < len(lines) else ""
-                    fill = max(0, width.get(column, 0) - len(piece)) + 2
-                    line.append(piece + " " * fill)
-                    edge = column + 1
+        for row in laid:
+            for k in range(max((len(lines) for _, lines in row), default=0)):
+                line, size = [], 0
+                for column, lines in row:
+                    if k < len(lines) and lines[k]:
+                        gap = max(start[column] - size, 2 if size else 0)
+                        line.append(" " * gap + lines[k])
+                        size += gap + len(lines[k])
                 out.append("".join(line).rstrip())
         return out
 
 
-def number(text: str | None, default: int, most: int) -> int:
-    """A small positive whole number of an attribute."""
-    m = re.match(r"\s*\+?(\d{1,6})", text or "")
-    return min(max(1, int(m[1])), most) if m else default
+def number(text: str | None, default: int) -> int:
+    """A whole number of an attribute, if it fits in 32 bits."""
+    m = re.match(r"\s*([+-]?\d{1,10})(?!\d)", text or "")
+    return int(m[1]) if m and abs(int(m[1])) < 1 << 31 else default
+
+
+def span(text: str | None, most: int, none: int) -> int:
+    """Columns or rows that a cell takes, by HTML's limits; ``none`` for a zero."""
+    m = re.match(r"\s*\+?(\d+)", text or "")
+    digits = m[1].lstrip("0") if m else "1"
+    return (most if len(digits) > 6 else min(int(digits), most)) if digits else none
 
 
 def render(root: Node) -> str:
     """The visible text of a tree, laid out."""
     flows, tables, lists = [Flow()], [], []
     indents, pre = [""], 0
-    todo: list = [(root, None, False)]
+    todo: list = [(root, None, False, True)]
     while todo:
-        node, parent, leaving = todo.pop()
+        node, parent, leaving, shown = todo.pop()
         flow = flows[-1]
         if isinstance(node, str):
-            if parent.tag == "details" and "open" not in parent.attributes:
+            if not shown or parent.tag == "details" and "open" not in parent.attributes:
                 continue
             (flow.verbatim if pre else flow.words)(node, indents[-1])
             continue
@@ -401,47 +473,54 @@ def render(root: Node) -> str:
                 if tag == "foreignobject":
                     flow.block(False)
                 if not leaving:
-                    todo.append((node, parent, True))
-                    todo.extend((c, node, False) for c in reversed(node.children))
+                    shown = visible(node, shown)
+                    todo.append((node, parent, True, shown))
+                    todo.extend((c, node, False, shown) for c in reversed(node.children))
             continue
         if not leaving:
             if hidden(node, parent):
                 continue
+            shown = visible(node, shown)
             if tag == "br":
                 flow.newline()
                 continue
             if tag in ("hr", "input"):
                 if tag == "hr":
                     flow.block(False)
-                elif node.attributes.get("type", "").lower() in ("submit", "button", "reset") and node.attributes.get("value"):
-                    flow.words(node.attributes["value"], indents[-1])
+                elif shown and (kind := node.attributes.get("type", "").lower()) not in UNSHOWN:
+                    said = node.attributes.get("value") or (node.attributes.get("placeholder", "") if kind not in BUTTONS else "")
+                    flow.space = flow.space or bool(flow.line)  # a box of its own
+                    flow.words(said, indents[-1])
+                    flow.space = bool(flow.line)
                 continue
             if tag in MARGIN or tag in PLAIN:
                 flow.block(tag in MARGIN and not (tag in LISTS and lists))
             if tag in LISTS:
-                lists.append([tag, number(node.attributes.get("start"), 1, 999_999)])
+                lists.append([tag, number(node.attributes.get("start"), 1)])
             elif tag == "li":
                 kind = lists[-1] if lists else ["ul", 1]
                 if kind[0] == "ol":
-                    kind[1] = number(node.attributes.get("value"), kind[1], 999_999)
+                    kind[1] = number(node.attributes.get("value"), kind[1])
                     flow.mark = f"{indents[-1]}{kind[1]}. "
                     kind[1] += 1
                 else:
                     flow.mark = f"{indents[-1]}- "
-                indents.append(indents[-1] + " " * 2 if len(indents) < 40 else indents[-1])
+                indents.append(indents[-1] + " " * 2 if len(indents) < LEVELS else indents[-1])
             elif tag in ("dd", "blockquote"):
-                indents.append(indents[-1] + " " * 2 if len(indents) < 40 else indents[-1])
+                indents.append(indents[-1] + " " * 2 if len(indents) < LEVELS else indents[-1])
             elif tag in ("pre", "textarea", "xmp"):
                 pre += 1
             elif tag == "table":
                 tables.append(Table())
                 indents.append("")
             elif tag == "tr" and tables:
-                tables[-1].rows.append([])
+                tables[-1].row()
+            elif tag in ("thead", "tbody", "tfoot") and tables:
+                tables[-1].group()
             elif tag in ("td", "th") and tables:
                 flows.append(Flow())
-            todo.append((node, parent, True))
-            todo.extend((c, node, False) for c in reversed(node.children))
+            todo.append((node, parent, True, shown))
+            todo.extend((c, node, False, shown) for c in reversed(node.children))
             continue
         if tag in LISTS:
             lists.pop()
@@ -456,8 +535,8 @@ def render(root: Node) -> str:
             flow.finish()
             flows.pop()
             if not tables[-1].rows:
-                tables[-1].rows.append([])
-            tables[-1].add([x for x in flow.lines if x], number(node.attributes.get("colspan"), 1, 1000), number(node.attributes.get("rowspan"), 1, 1000))
+                tables[-1].row()
+            tables[-1].add([x for x in flow.lines if x], span(node.attributes.get("colspan"), ACROSS, 1), span(node.attributes.get("rowspan"), DOWN, DOWN))
             continue
         elif tag == "table":
             indents.pop()

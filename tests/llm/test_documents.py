@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from pathlib import Path
 
@@ -247,6 +248,99 @@ def test_bad_drawings_take_no_recursion_and_little_time(html):
     html_text.extract(html)
 
 
+SHOWN = [
+    ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>", "yes"),
+    ("<div style='visibility:visible;display:none'>no</div><p style='display:none;display:block'>yes", "yes"),
+    ("Name: <input value='Ann Lee'> <input type=hidden value=no><input type=password value=no><input type=submit value=Send>", "Name: Ann Lee Send"),
+    ("<input type=search placeholder='Look up'><input type=checkbox value=on>", "Look up"),
+    ("<ol start=-1><li>a<li>b<li value=12345678>c<li value=99999999999999>d</ol>", "-1. a\n0. b\n12345678. c\n12345679. d"),
+    ("<table><tr><td rowspan=0>x<td>1<tr><td>2<tr><td>3</table>", "x  1\n   2\n   3"),
+    ("<table><tr><td colspan=900>wide cell<td>r<tr><td>a<td>b</table>", "wide cell  r\na" + " " * 10 + "b"),
+    ("<table><tr><td>" + "word " * 20 + "<td>end<tr><td>a<td>b</table>", ("word " * 12)[:-1] + "   end\n" + ("word " * 8)[:-1] + "\na" + " " * 60 + "b"),
+    ("<table><tr><td>a<td>" + "long last cell " * 9 + "</table>", "a  " + ("long last cell " * 9)[:-1]),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), SHOWN[:6] + SHOWN[8:])
+def test_what_is_shown(html, text):
+    assert html_text.extract(html) == text
+
+
+def grid(rows):
+    """The first column of each cell, by a set of taken places."""
+    taken, out = set(), []
+    for r, row in enumerate(rows):
+        at, firsts = 0, []
+        for across, down in row:
+            while (r, at) in taken:
+                at += 1
+            firsts.append(at)
+            taken |= {(r + i, at + k) for i in range(down) for k in range(across)}
+            at += across
+        out.append(firsts)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_cells_of_a_column_begin_under_each_other(seed):
+    rnd = random.Random(seed)
+    rows = [[(rnd.choice([1, 1, 1, 2, 5]), rnd.choice([1, 1, 2, 4])) for _ in range(rnd.randint(1, 5))] for _ in range(rnd.randint(1, 8))]
+    words = iter(f"w{i}" + "x" * rnd.randint(0, 9) for i in range(10**6))
+    said = [[next(words) for _ in row] for row in rows]
+    html = "<table>" + "".join("<tr>" + "".join(f"<td colspan={a} rowspan={d}>{w}" for (a, d), w in zip(row, own, strict=True)) for row, own in zip(rows, said, strict=True)) + "</table>"
+    lines = html_text.extract(html).split("\n")
+    assert [x.split() for x in lines] == said
+    at = {}
+    for line, firsts, own in zip(lines, grid(rows), said, strict=True):
+        for column, word in zip(firsts, own, strict=True):
+            assert at.setdefault(column, line.index(word)) == line.index(word)
+    assert [at[c] for c in sorted(at)] == sorted(at.values())
+
+
+def seen(node, shown=True):
+    """The words of a plain tree (tag, style, children) that are visible, by recursion."""
+    if isinstance(node, str):
+        return [node] if shown else []
+    _, style, children = node
+    if style == "display:none":
+        return []
+    shown = {"visibility:hidden": False, "visibility:visible": True}.get(style, shown)
+    return [w for c in children for w in seen(c, shown)]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_all_visible_words_of_random_trees(seed):
+    rnd, count = random.Random(seed), iter(range(10**6))
+
+    def some(depth):
+        if not depth or rnd.random() < 0.3:
+            return f"w{next(count)}"
+        return rnd.choice("div span p b section".split() if depth > 3 else ["span", "b", "i"]), rnd.choice(["", "", "", "display:none", "visibility:hidden", "visibility:visible"]), [some(depth - 1) for _ in range(rnd.randint(0, 4))]
+
+    def written(node):
+        return f" {node} " if isinstance(node, str) else f"<{node[0]} style='{node[1]}'>{''.join(map(written, node[2]))}</{node[0]}>"
+
+    tree = ("div", "", [some(6) for _ in range(5)])
+    # a paragraph can't hold blocks: its start tag would end it
+    html = written(tree).replace("<p ", "<article ").replace("</p>", "</article>")
+    assert html_text.extract(html).split() == seen(tree)
+
+
+def test_cells_that_span_very_much_take_little_time():
+    cell = "<td rowspan=65534 colspan=1000>x"
+    began = time.process_time()
+    assert html_text.extract("<table><tr>" + cell * 1000).split() == ["x"] * 1000
+    html_text.extract("<table>" + ("<tr>" + cell * 20) * 100)
+    html_text.extract("<table>" + "<tr><td rowspan=9>a<td>b" * 3000)
+    assert time.process_time() - began < 5
+
+
+def test_pages_of_an_empty_table_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "<p>a", "u"), (1, "<p>a", "u"), (None, None, None)], "page_id long, html string, url string")
+    assert html_text.extracted(df.limit(0)).collect() == []
+    assert sorted(map(str, html_text.extracted(df).collect())) == sorted(["Row(page_id=1, url='u', text='a')"] * 2 + ["Row(page_id=None, url=None, text='')"])
+
+
 @pytest.mark.parametrize(("html", "text"), DRAWN)
 def test_drawings_and_formulas(html, text):
     assert html_text.extract(html) == text
