@@ -3,8 +3,9 @@
 Media are WAV files (mono, unsigned 8-bit PCM) in a binary column. Features come from the stored
 bytes: polyphase resampling, overlapped log-mel filterbanks, and energy segmentation with
 hysteresis. A segment's frames are cut into tensors of one fixed shape, ``SHAPE`` (frames x bands),
-with their time spans. Every step works on runs of frames, so a long recording needs bounded memory
-beyond its own bytes and one number a frame.
+which are stored as Arrow fixed-shape tensors with their time spans. The resampler goes from 11,025 to
+8,000 samples a second by 320 phases. Every step works on runs of frames, so a long recording needs
+bounded memory beyond its own bytes and one row of bands a frame.
 """
 
 from __future__ import annotations
@@ -24,17 +25,19 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import in_arrow, texts, written
 
 #: Samples a second, as stored and as analysed.
-STORED_RATE, RATE = 16_000, 8_000
+STORED_RATE, RATE = 11_025, 8_000
 #: Samples of a frame and between frames at the analysed rate, points of its transform, mel bands.
-FRAME, HOP, POINTS, BANDS = 200, 80, 256, 40
+FRAME, HOP, POINTS, BANDS = 200, 100, 256, 32
 #: Filter taps for each phase of the resampler.
 TAPS = 16
 #: Decibels above the median frame at which a segment begins, and below which it ends.
 RISE, FALL = 1.0, -1.0
 #: Frames and bands of a tensor.
-SHAPE = (32, BANDS)
+SHAPE = (16, BANDS)
+#: Least logarithm of a band's power in a tensor, and steps to a unit.
+FLOOR, STEPS = -14.0, 8
 #: Frames handled at a time.
-RUN = 1 << 14
+RUN = 1 << 11
 #: A payload's unit: it is padded with zero bytes to a positive multiple.
 UNIT = 64
 
@@ -94,8 +97,6 @@ def resampled(x: np.ndarray, rate: int, to: int, start: int, stop: int) -> np.nd
     part = x[max(0, low) : max(0, high)]
     part = np.concatenate((np.zeros(max(0, -low), x.dtype), part, np.zeros(max(0, high - max(low, 0) - len(part)), x.dtype)))
     windows = np.lib.stride_tricks.sliding_window_view(part, TAPS)
-    if up == 1:
-        return windows[::down][: stop - start] @ rows[0]
     n = np.arange(start, stop) * down
     return np.einsum("ij,ij->i", windows[n // up - TAPS // 2 + 1 - low], rows[n % up])
 
@@ -142,12 +143,16 @@ def segments(energy: np.ndarray) -> np.ndarray:
 
 
 def tensors(mel: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Segments cut into tensors of SHAPE, the last of each filled up with the floor; their frame spans."""
-    cuts = [(a, min(a + SHAPE[0], end)) for begin, end in spans.tolist() for a in range(begin, end, SHAPE[0])]
-    out = np.full((len(cuts), *SHAPE), np.log(1e-6), dtype=np.float32)
-    for i, (a, b) in enumerate(cuts):
-        out[i, : b - a] = mel[a:b]
-    return out, np.array(cuts, dtype=np.int64).reshape(-1, 2)
+    """Segments cut into tensors of SHAPE, the last of each filled up with zeros; segment, first frame and end of each.
+
+    A tensor holds log-mel values in steps of 1 / STEPS from FLOOR, as unsigned bytes.
+    """
+    cuts = [(i, a, min(a + SHAPE[0], end)) for i, (begin, end) in enumerate(spans.tolist()) for a in range(begin, end, SHAPE[0])]
+    small = np.clip(np.round((mel - FLOOR) * STEPS), 0, 255).astype(np.uint8)
+    out = np.zeros((len(cuts), *SHAPE), dtype=np.uint8)
+    for i, (_, a, b) in enumerate(cuts):
+        out[i, : b - a] = small[a:b]
+    return out, np.array(cuts, dtype=np.int64).reshape(-1, 3)
 
 
 def analysed(media: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,6 +163,23 @@ def analysed(media: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mel, energy, segments(energy)
 
 
+#: Fixed-shape Arrow tensors with their time spans; a file's are one record batch of this schema.
+TENSORS = pa.schema({"segment": pa.int32(), "start_s": pa.float64(), "end_s": pa.float64(), "mel": pa.fixed_shape_tensor(pa.uint8(), SHAPE)})
+
+
+def to_tensors(mel: np.ndarray, spans: np.ndarray) -> bytes:
+    """The tensors of a file's segments as an Arrow record batch."""
+    cubes, cuts = tensors(mel, spans)
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(cubes.ravel()), SHAPE[0] * SHAPE[1])
+    columns = [pa.array(cuts[:, 0].astype(np.int32)), pa.array(cuts[:, 1] * HOP / RATE), pa.array(((cuts[:, 2] - 1) * HOP + FRAME) / RATE), pa.ExtensionArray.from_storage(TENSORS.field("mel").type, flat)]
+    return pa.RecordBatch.from_arrays(columns, schema=TENSORS).serialize().to_pybytes()
+
+
+def from_tensors(stored: bytes) -> pa.RecordBatch:
+    """The record batch of a file's tensors."""
+    return pa.ipc.read_record_batch(pa.py_buffer(stored), TENSORS)
+
+
 def media_column(docs: DataFrame, into: str = "media") -> DataFrame:
     """doc_id, n_bytes and ``into``: each whole text's payload as a stored WAV file. Null counts as empty."""
 
@@ -170,60 +192,48 @@ def media_column(docs: DataFrame, into: str = "media") -> DataFrame:
     return in_arrow(own, work, f"doc_id long, n_bytes long, {into} binary", rows=256)
 
 
-def fixed_tensors(values: pa.Array) -> pa.Array:
-    """A column of flattened tensors as Arrow's fixed-shape tensors."""
-    flat = values.flatten().cast(pa.float32())
-    kind = pa.fixed_shape_tensor(pa.float32(), SHAPE)
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, SHAPE[0] * SHAPE[1]))
+def tensor_table(stored: DataFrame) -> DataFrame:
+    """What is known of each file of ``stored`` (doc_id, n_bytes, media), from its bytes: sizes, digests, frames,
+    level, and ``tensors``, the record batch of its segments' tensors with their time spans."""
 
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for wav in batch.column("media").to_pylist():
+            _, samples = from_wav(wav)
+            mel, energy, spans = analysed(wav)
+            out.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(wav), hashlib.sha256(wav).hexdigest(), len(energy), float(np.median(energy)), to_tensors(mel, spans)))
+        columns = list(zip(*out, strict=True)) if out else [()] * 8
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.binary())
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "level", "tensors"]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", *names])
 
-def segment_tensors(stored: DataFrame, media: str = "media") -> DataFrame:
-    """A row for each tensor of each file: doc_id, number, start_s, end_s, tensor (array<float>, SHAPE row by row).
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, level double, tensors binary"
+    return in_arrow(stored.select("doc_id", "n_bytes", "media"), work, schema, rows=128)
 
-    ``fixed_tensors`` makes Arrow fixed-shape tensors of the last column. Null media have none.
-    """
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[], [], [], [], []]
-        for doc, wav in zip(batch.column("doc_id").to_pylist(), batch.column(media).to_pylist(), strict=True):
-            if wav is None:
-                continue
-            mel, _, spans = analysed(wav)
-            cubes, cuts = tensors(mel, spans)
-            for i, (cube, (a, b)) in enumerate(zip(cubes, cuts.tolist(), strict=True)):
-                for column, v in zip(out, (doc, i, a * HOP / RATE, ((b - 1) * HOP + FRAME) / RATE, cube.ravel()), strict=True):
-                    column.append(v)
-        kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float32()))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "number", "start_s", "end_s", "tensor"])
-
-    return in_arrow(stored.select("doc_id", media), work, "doc_id long, number int, start_s double, end_s double, tensor array<float>", rows=64)
-
-
-def described(media: bytes) -> str:
-    """What the features of a file say in short; the checksum is over all its tensors."""
-    mel, energy, spans = analysed(media)
-    cubes, cuts = tensors(mel, spans)
-    heard = (spans[:, 1] - spans[:, 0]).sum() * HOP / RATE
-    bands = mel.reshape(len(mel), 4, BANDS // 4).mean(axis=(0, 2), dtype=np.float64)
-    return f"frames={len(mel)};segments={len(spans)};tensors={len(cuts)};heard={heard:.2f};level={np.median(energy):.2f};bands={','.join(f'{b:.2f}' for b in bands)};crc={zlib.crc32(np.round(cubes * 8).astype(np.int16).tobytes()):08x}"
+def described(count: int, level: float, found: pa.RecordBatch) -> str:
+    """What the stored tensors of a file say in short; the checksum is over all of them."""
+    cubes = found.column("mel").to_numpy_ndarray() if found.num_rows else np.zeros((0, *SHAPE), dtype=np.uint8)
+    begin, end = (found.column(c).to_numpy() for c in ("start_s", "end_s"))
+    heard = (end - begin - (FRAME - HOP) / RATE).sum()
+    bands = cubes.reshape(-1, 4, BANDS // 4).mean(axis=(0, 2)) if len(cubes) else np.zeros(4)
+    parts = len(found.column("segment").unique())
+    return f"frames={count};segments={parts};tensors={len(cubes)};heard={heard:.3f};level={level:.2f};bands={','.join(f'{b:.2f}' for b in bands)};crc={zlib.crc32(cubes.tobytes()):08x}"
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Stores every whole text as media, reads the stored table back and describes each file.
+    """Stores every whole text as media, the media's features as tensors, and describes each file from what is read back.
 
-    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature;
-    all but the first two come from the bytes read back. Equal texts give equal values, as a file's
-    features depend on nothing else. Repeated rows stay; an empty table gives none.
+    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. The
+    sizes and digests come from the media read back, the feature from the tensors read back. Equal texts
+    give equal values, as a file's features depend on nothing else. A null text is an empty one; repeated
+    rows stay; further columns go; an empty table gives none.
     """
     stored = written(media_column(docs), "media")
+    found = written(tensor_table(stored), "media-tensors")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for wav in batch.column("media").to_pylist():
-            _, samples = from_wav(wav)
-            out.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(wav), hashlib.sha256(wav).hexdigest(), described(wav)))
-        columns = list(zip(*out, strict=True)) if out else [()] * 6
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        said = [described(n, level, from_tensors(t)) for n, level, t in zip(*(batch.column(c).to_pylist() for c in ("frames", "level", "tensors")), strict=True)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(said, pa.string())], names=[*batch.schema.names[:-3], "feature"])
 
-    return in_arrow(stored, work, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", rows=128)
+    return in_arrow(found, work, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -174,13 +174,67 @@ def test_media_round_trip(spark):
         assert r.media_bytes == len(padded) + 44 and r.media_sha256 == hashlib.sha256(media.to_wav(padded)).hexdigest()
     assert rows[2].feature == rows[6].feature and rows[0].feature == rows[1].feature
     assert media.features(df.limit(0)).collect() == []
-    tensors = media.segment_tensors(media.media_column(df).filter("doc_id = 5"))
-    for r in tensors.collect():
-        assert len(r.tensor) == media.SHAPE[0] * media.SHAPE[1] and r.start_s < r.end_s
-    import pyarrow as pa
-
-    fixed = media.fixed_tensors(pa.array([list(range(1280))], pa.list_(pa.float32())))
-    assert fixed.type.shape == list(media.SHAPE) and fixed.to_numpy_ndarray().shape == (1, *media.SHAPE)
+    for r in media.tensor_table(media.media_column(df)).collect():
+        found = media.from_tensors(bytes(r.tensors))
+        mel, _, spans = media.analysed(media.to_wav((texts[r.doc_id] or "").encode() + bytes(r.payload_bytes - r.n_bytes)))
+        cubes, cuts = media.tensors(mel, spans)
+        assert found.schema.field("mel").type.shape == list(media.SHAPE) and found.num_rows == len(cubes)
+        assert not len(cubes) or np.array_equal(found.column("mel").to_numpy_ndarray(), cubes)
+        assert all(a < b for a, b in zip(found.column("start_s").to_pylist(), found.column("end_s").to_pylist(), strict=True))
+        assert found.column("segment").to_pylist() == cuts[:, 0].tolist()
+        assert rows[r.doc_id].feature == media.described(r.frames, r.level, found)
+
+
+def naive_analysis(samples, rate):
+    """Resampling by the sinc sum itself, mel bands by a plain transform, segments by a state machine."""
+    x = [(b - 128) / 128 for b in samples]
+    up, down, taps = 320, 441, media.TAPS
+    assert (rate * up, media.RATE * down) == (media.RATE * down, rate * up)
+    filt = np.array([np.sinc((i - taps * up // 2) / max(up, down)) * (0.5 - 0.5 * np.cos(2 * np.pi * i / (taps * up))) for i in range(taps * up)])
+    filt *= up / filt.sum()
+    length = -(-len(x) * media.RATE // rate)
+    count = max(1, -(-(length - media.FRAME) // media.HOP) + 1)
+    y = []
+    for n in range((count - 1) * media.HOP + media.FRAME):
+        # the input, spread by ``up`` with zeros between, under the filter's middle
+        at = n * down
+        total = 0.0
+        for k in range(at // up - taps, at // up + taps + 1):
+            i = at - k * up + taps * up // 2
+            if 0 <= k < len(x) and 0 <= i < taps * up:
+                total += x[k] * filt[i]
+        y.append(total)
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, 2595 * np.log10(1 + media.RATE / 2 / 700), media.BANDS + 2)]
+    mel, energy = [], []
+    for f in range(count):
+        cut = np.array(y[f * media.HOP : f * media.HOP + media.FRAME])
+        cut = (cut - cut.mean()) * np.array([0.5 - 0.5 * np.cos(2 * np.pi * i / media.FRAME) for i in range(media.FRAME)])
+        bins = [abs(sum(cut * np.exp(-2j * np.pi * k * np.arange(media.FRAME) / media.POINTS))) ** 2 for k in range(media.POINTS // 2 + 1)]
+        bands = []
+        for low, mid, high in zip(edges, edges[1:], edges[2:], strict=False):
+            at = [k * media.RATE / media.POINTS for k in range(len(bins))]
+            bands.append(sum(p * max(0, min((h - low) / (mid - low), (high - h) / (high - mid))) for h, p in zip(at, bins, strict=True)))
+        mel.append([np.log(b + 1e-6) for b in bands])
+        energy.append(10 * np.log10((cut * cut).mean() + 1e-9))
+    middle, on, spans = np.median(energy), False, []
+    for f, e in enumerate(energy):
+        if not on and e - middle >= media.RISE:
+            spans.append([f, count])
+            on = True
+        elif on and e - middle < media.FALL:
+            spans[-1][1] = f
+            on = False
+    return np.array(mel), np.array(energy), spans
+
+
+@pytest.mark.parametrize("n", [64, 640, 2560])
+def test_features_equal_a_naive_analysis(n):
+    rng = np.random.default_rng(n)
+    samples = (128 + 100 * np.sin(np.arange(n) / 3) * (np.arange(n) // 400 % 2) + rng.integers(-9, 9, n)).astype(np.uint8).tobytes()
+    mel, energy, spans = media.analysed(media.to_wav(samples))
+    plain_mel, plain_energy, plain_spans = naive_analysis(samples, media.STORED_RATE)
+    assert np.allclose(mel, plain_mel, atol=0.02) and np.allclose(energy, plain_energy, atol=0.02)
+    assert spans.tolist() == plain_spans
 
 
 def test_resampling_and_segments():
