@@ -36,17 +36,20 @@ FAR_LONGER = 16
 SALTS = 64
 
 
-def usable(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """id, vec (array<double>) of the rows that take part.
+def usable(rows: DataFrame, id_column: str, vector: str, size: int | None = None) -> tuple[DataFrame, int]:
+    """id, vec (array<double>) of the rows that take part, and the length of their vectors (0: none does).
 
     Null ids, null, empty or zero vectors and those with null or non-finite components do not; nor
-    do vectors of another length than most have (of equally frequent lengths, the smaller).
+    do vectors of another length than ``size`` or, without it, than most have (of equally frequent
+    lengths, the smaller).
     """
     own = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")).filter("id IS NOT NULL AND vec IS NOT NULL")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     own = own.filter(finite & F.exists("vec", lambda x: x != 0))
-    lengths = own.groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    return own.filter(F.size("vec") == (lengths[0]["size"] if lengths else 0))
+    if size is None:
+        lengths = own.groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
+        size = lengths[0]["size"] if lengths else 0
+    return own.filter(F.size("vec") == size), size
 
 
 def classes(rows: DataFrame, ids: int) -> DataFrame:
@@ -96,12 +99,14 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
 
     Both have an id and a vector; a candidate with the query's own id is left out. Order is by larger
     inner product, then smaller id; a query with fewer candidates gets all. Rows that repeat an id
-    and a vector count once. No usable query or row gives an empty table.
+    and a vector count once; a query id with several vectors asks with the least of them, component by
+    component. Queries of another length than most rows have don't take part. No usable query or row
+    gives an empty table.
     """
     spark = rows.sparkSession
-    own = usable(rows, id_column, vector)
+    own, size = usable(rows, id_column, vector)
     index = written(classes(own, k + 1), "ann-classes")
-    asked = written(usable(queries, id_column, vector).dropDuplicates(["id"]), "ann-queries")
+    asked = written(usable(queries, id_column, vector, size)[0].groupBy("id").agg(F.min("vec").alias("vec")), "ann-queries")
     n, longest = index.agg(F.count("*"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).first()
     n_asked = asked.count()
     if not n or not n_asked:

@@ -328,3 +328,13 @@ def test_stages_on_odd_rows(spark, tmp_path):
                 assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 1, 3, 4, 5]
             if name == "token_ids":
                 assert all(r.round_trip for r in docs.collect())
+
+
+def test_queries_of_other_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(1, 60)]
+    asks = [(100 + i, rng.normal(size=6).tolist()) for i in range(9)] + [(200, [1.0, 0.0, 0.0, 0.0]), (200, [-1.0, 0.0, 0.0, 0.0]), (200, [-1.0, 0.0, 0.0, 0.0])]
+    schema = "vec_id long, embedding array<double>"
+    found = neighbours.nearest(spark.createDataFrame(rows, schema), spark.createDataFrame(asks, schema), k=5).collect()
+    wanted = nearest_plain(rows, [(200, [-1.0, 0, 0, 0])], 5)[200]
+    assert [(r.query_id, r.vec_id) for r in sorted(found, key=lambda r: r.rank)] == [(200, i) for i, _ in wanted]
