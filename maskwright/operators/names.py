@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
+from unicodedata import category
 
 import pandas as pd
 import regex
@@ -102,6 +104,20 @@ def sequence_values(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(raw, name), lambda v: v.isNotNull()))
 
 
+def in_word(char: str) -> bool:
+    return char == "_" or category(char)[0] in "LN"
+
+
+def places(text: str, value: str) -> Iterator[tuple[int, int]]:
+    """Spans of a literal that no letter, digit or underscore adjoins, also those that overlap."""
+    at, size = text.find(value), len(value)
+    while at >= 0:
+        end = at + size
+        if not (at and in_word(text[at - 1])) and not (end < len(text) and in_word(text[end])):
+            yield at, end
+        at = text.find(value, at + 1)
+
+
 def occurrences(text: Column, value: Column) -> Column:
     """Spans of a literal that no letter, digit or underscore adjoins."""
     return spans(text, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), value, F.lit(r"\E(?![\p{L}\p{N}_])")))
@@ -175,8 +191,9 @@ def lexicon_hits(text: str, names: tuple[str, ...]) -> list[dict]:
             if kind == "ORGANIZATION" and ("&" in surface or not 2 <= len(surface.split()) <= 4):
                 continue
             seen.add(surface)
-            for m in regex.finditer(rf"(?<![\p{{L}}\p{{N}}_]){regex.escape(surface)}(?![\p{{L}}\p{{N}}_])", text, overlapped=True):
-                start, end = grown(text, *m.span()) if kind == "PERSON" else m.span()
+            for start, end in places(text, surface):
+                if kind == "PERSON":
+                    start, end = grown(text, start, end)
                 found = text[start:end]
                 if "\x1f" in found or is_heading_phrase(found):
                     continue
