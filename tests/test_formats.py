@@ -220,3 +220,52 @@ def test_bad_pdf_files(raw, code):
     with pytest.raises(docx.BadDocument) as e:
         pdf.read_pdf(raw)
     assert e.value.code == code
+
+
+def lzw(data):
+    """Codes of 9 to 12 bits, as PDF wants them."""
+    table, codes, held = {bytes([i]): i for i in range(256)}, [256], b""
+    size, bits, n = 9, [], 258
+    out = [(256, 9)]
+    for i in range(len(data)):
+        if held + data[i : i + 1] in table:
+            held += data[i : i + 1]
+            continue
+        out.append((table[held], size))
+        table[held + data[i : i + 1]] = n
+        n += 1
+        size = min(12, (n + 0).bit_length() if n + 1 > 1 << size else size)
+        size = max(size, (n).bit_length())
+        held = data[i : i + 1]
+    out += [(table[held], size), (257, max(size, (n + 1).bit_length()))]
+    whole = "".join(f"{c:0{s}b}" for c, s in out)
+    whole += "0" * (-len(whole) % 8)
+    return int(whole, 2).to_bytes(len(whole) // 8, "big")
+
+
+def one_page(stream, entries):
+    head = b"%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj\n2 0 obj<</Type/Pages/Kids[3 0 R]/Count 1>>endobj\n3 0 obj<</Type/Page/Parent 2 0 R/Contents 4 0 R/Resources<</Font<</F 5 0 R>>>>>>endobj\n5 0 obj<</Type/Font/Subtype/Type1/BaseFont/Helvetica>>endobj\n"
+    return head + b"4 0 obj<<" + entries + b"/Length %d>>stream\n" % len(stream) + stream + b"\nendstream endobj\ntrailer<</Root 1 0 R>>\nstartxref\n0\n%%EOF"
+
+
+def test_filters_of_pdf_streams():
+    import base64
+    import zlib
+
+    page = b"BT /F 12 Tf 72 700 Td (Mail jo@example.com now) Tj ET"
+    rows = b"".join(b"\x01" + bytes([r[0], *((b - a) & 255 for a, b in zip(r, r[1:], strict=False))]) for r in (page[i : i + 10] for i in range(0, len(page), 10)))
+    good = [
+        (page, b""),
+        (zlib.compress(page), b"/Filter/FlateDecode"),
+        (page.hex().encode() + b">", b"/Filter/ASCIIHexDecode"),
+        (base64.a85encode(zlib.compress(page)) + b"~>", b"/Filter[/ASCII85Decode/FlateDecode]"),
+        (lzw(page), b"/Filter/LZWDecode"),
+        (zlib.compress(rows), b"/Filter/FlateDecode/DecodeParms<</Predictor 15/Columns 10>>"),
+    ]
+    for stream, entries in good:
+        found = pdf.read_pdf(one_page(stream, entries))
+        assert "jo@example.com" in found["text"] and not found["unreadable"], entries
+    for stream, entries in [(page, b"/Filter/JBIG2Decode"), (b"broken", b"/Filter/FlateDecode")]:
+        assert pdf.read_pdf(one_page(stream, entries))["unreadable"] == ["page:1"], entries
+    long = bytes(range(256)) * 40 + b"abc" * 900
+    assert pdf.unpacked(lzw(long), 1 << 20, 1) == long
