@@ -95,16 +95,48 @@ def features(whole: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def parts(text: str) -> list[str]:
-    """A text in parts of about RUN characters, cut at white space (a longer word is cut too)."""
+    """A text in parts cut at white space, of at most 2 * RUN characters each but for one longer word alone."""
     out, at = [], 0
     while len(text) - at > RUN:
         m = WHITE.search(text, at + RUN, at + 2 * RUN)
-        end = m.end() if m else min(len(text), at + 2 * RUN)
+        if not m and len(text) - at > 2 * RUN:
+            # a word goes on from here beyond the reach; what comes before it is a part of its own
+            before = text[at : at + RUN].split(None)[-1:]
+            begin = at + RUN - len(before[0]) if before and not text[at + RUN - 1].isspace() else at + RUN
+            if begin > at:
+                out.append(text[at:begin])
+                at = begin
+            m = WHITE.search(text, at + RUN)
+        end = m.end() if m else len(text)
         out.append(text[at:end])
         at = end
     return [*out, text[at:]]
 
 
+def pieces(part: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The features of one part; a word too long to be looked at together is read in windows, with the same result."""
+    if len(part) <= 2 * RUN:
+        yield from features([part])
+        return
+    word, hashed, power, step = part.strip(), 0, 1, int(STEP)
+    whole = f" {word} "
+    for at in range(0, len(word), RUN):
+        some = word[at : at + RUN]
+        codes = np.frombuffer(some.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        ahead = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(codes) - 1, STEP, dtype=np.uint64))))
+        hashed += power * int(((codes + np.uint64(1)) * ahead).sum())
+        power = power * pow(step, len(codes), 1 << 64) % (1 << 64)
+    yield np.zeros(1, dtype=np.int64), bucket(np.array([hashed % (1 << 64)], dtype=np.uint64), 0)
+    for n in GRAMS:
+        for at in range(0, len(whole) - n + 1, RUN):
+            codes = np.frombuffer(whole[at : at + RUN + n - 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+            last = len(codes) - n + 1
+            mixed = codes[:last].copy()
+            for k in range(1, n):
+                mixed = mixed * STEP + codes[k : last + k]
+            yield np.zeros(last, dtype=np.int64), bucket(mixed, n)
+
+
 def repeats_between(some: list[str]) -> int:
     """Words that begin a part and repeat the word that ended the one before."""
     last = [x.rsplit(None, 1)[-1:] for x in some[:-1]]
@@ -118,7 +150,7 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     cut = parts(text)
     total[REPEAT] = repeats_between(cut)
     for part in cut:
-        for _, b in features([part]):
+        for _, b in pieces(part):
             total += np.bincount(b, minlength=BUCKETS)
     found = np.flatnonzero(total)
     return found, total[found]
@@ -177,6 +209,11 @@ class Scorer:
                 total[i] += more * self.difference[REPEAT]
                 n[i] += more
             for part in cut:
+                if len(part) > 2 * RUN:
+                    for _, b in pieces(part):
+                        total[i] += self.difference[b].sum()
+                        n[i] += len(b)
+                    continue
                 some.append(part)
                 owners.append(i)
                 size += len(part)

@@ -62,6 +62,30 @@ def terms(own: str) -> list[int]:
     return [zlib.crc32(b"w" + own.encode()) % TERMS] + [zlib.crc32(b"b" + own[:n].encode()) % TERMS for n in BEGINNINGS if len(own) > n]
 
 
+class Nearness:
+    """Counts lexicon words within NEAR words of a second-person word, in a text whose words come in runs."""
+
+    def __init__(self) -> None:
+        self.hits = self.others = np.empty(0, dtype=np.int64)
+        self.size = self.near = 0
+
+    def add(self, hits: np.ndarray, others: np.ndarray, n: int) -> None:
+        """The next ``n`` words. What may yet meet words of the run after it is kept."""
+        hits, self.others = np.concatenate((self.hits, hits + self.size)), np.concatenate((self.others, others + self.size))
+        self.size += n
+        sure = np.searchsorted(hits, self.size - NEAR)
+        self.decide(hits[:sure])
+        self.hits, self.others = hits[sure:], self.others[np.searchsorted(self.others, self.size - 2 * NEAR) :]
+
+    def decide(self, hits: np.ndarray) -> None:
+        self.near += int((np.searchsorted(self.others, hits + NEAR, "right") > np.searchsorted(self.others, hits - NEAR)).sum())
+
+    def total(self) -> int:
+        self.decide(self.hits)
+        self.hits = self.hits[:0]
+        return self.near
+
+
 class Featuriser:
     """Features of whole texts under a learned lexicon {hash: log-odds}; remembers what words hold."""
 
@@ -110,17 +134,14 @@ class Featuriser:
 
     def one(self, text: str, whole: np.ndarray | None = None) -> np.ndarray:
         """The features of a text; run by run, if what its words hold is not at hand."""
-        sums, heaviest, near, n = np.zeros(self.HELD + 1), 0.0, 0, 0
+        sums, heaviest, n, nearness = np.zeros(self.HELD + 1), 0.0, 0, Nearness()
         for held in [whole] if whole is not None else (self.rows([r])[0] for r in word_runs(text)):
             marks = held > 0
             sums[: self.HELD] += marks.sum(axis=0)
             sums[self.HELD] += held[:, 1:3].sum(dtype=np.float64)
             if len(held):
                 heaviest = max(heaviest, float(held[:, 1:3].max()))
-            others = np.flatnonzero(marks[:, 3])
-            if len(others):
-                hits = np.flatnonzero(marks[:, :3].any(axis=1))
-                near += int((np.searchsorted(others, hits + NEAR, "right") > np.searchsorted(others, hits - NEAR)).sum())
+            nearness.add(np.flatnonzero(marks[:, :3].any(axis=1)), np.flatnonzero(marks[:, 3]), len(held))
             n += len(held)
         raw = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8), minlength=256)
         size, per = max(1, int(raw.sum())), max(1, n)
@@ -128,7 +149,7 @@ class Featuriser:
         symbols = raw[33:48].sum() + raw[58:65].sum() + raw[91:97].sum() + raw[123:127].sum()
         return np.array([
             sums[0] / per, sums[1] / per, sums[2] / per, np.log1p(sums[1]), np.log1p(sums[2]), sums[self.HELD] / per, heaviest,
-            sums[3] / per, near / per, capitals / max(1, capitals + small), sums[4] / per, raw[33] / size, raw[63] / size,
+            sums[3] / per, nearness.total() / per, capitals / max(1, capitals + small), sums[4] / per, raw[33] / size, raw[63] / size,
             (symbols - raw[33] - raw[63]) / size, raw[48:58].sum() / size, sums[5] / per, sums[6] / per, np.log1p(n),
         ])
 

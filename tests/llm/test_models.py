@@ -338,3 +338,117 @@ def test_queries_of_other_lengths_and_repeated_ids(spark):
     found = neighbours.nearest(spark.createDataFrame(rows, schema), spark.createDataFrame(asks, schema), k=5).collect()
     wanted = nearest_plain(rows, [(200, [-1.0, 0, 0, 0])], 5)[200]
     assert [(r.query_id, r.vec_id) for r in sorted(found, key=lambda r: r.rank)] == [(200, i) for i, _ in wanted]
+
+
+def test_words_longer_than_a_run_are_read_whole(monkeypatch):
+    rng = np.random.default_rng(12)
+    letters = np.array(list("abcé\U0001f600"))
+    long = ["".join(rng.choice(letters, n)) for n in (31, 32, 33, 34, 47, 48, 49, 65, 200, 1000)]
+    texts = [*long, *(f"{w} {w}\n{w[:40]} x x" for w in long), *(f"some words  before {w}" for w in long), " ".join(long), f"ab {'x' * 100} {'x' * 100}\t"]
+    scorer = quality.Scorer(rng.normal(size=quality.BUCKETS), 0.1)
+    whole, scores = [quality.counts(t) for t in texts], scorer.score(texts)
+    monkeypatch.setattr(quality, "RUN", 16)
+    for t, (b, n) in zip(texts, whole, strict=True):
+        assert "".join(quality.parts(t)) == t
+        again = quality.counts(t)
+        assert again[0].tolist() == b.tolist() and again[1].tolist() == n.tolist(), t
+    assert np.allclose(scorer.score(texts), scores, rtol=1e-12)
+
+
+def test_nearness_does_not_depend_on_runs():
+    rng = np.random.default_rng(13)
+    for _ in range(300):
+        n = int(rng.integers(0, 80))
+        hit, other = rng.random(n) < 0.3, rng.random(n) < 0.1
+        plain = sum(bool(hit[i]) and bool(other[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1].any()) for i in range(n))
+        cuts = np.sort(rng.integers(0, n + 1, int(rng.integers(0, 12))))
+        own = toxicity.Nearness()
+        for h, o in zip(np.split(hit, cuts), np.split(other, cuts), strict=True):
+            own.add(np.flatnonzero(h), np.flatnonzero(o), len(h))
+        assert own.total() == plain
+
+
+def test_very_long_texts_have_the_features_of_their_words(monkeypatch):
+    """Read run by run or at once, a text has the same features."""
+    rng = random.Random(3)
+    own = toxicity.Featuriser({toxicity.terms("idiot")[0]: 5.0})
+    text = " ".join(rng.choice(["you", "idiot", "so", "a", "big", "WORD", "l0ser"]) for _ in range(5000))
+    at_once = own.one(text)
+    monkeypatch.setattr(toxicity, "word_runs", lambda t: (t.split()[i : i + 7] for i in range(0, len(t.split()), 7)))
+    assert np.allclose(own.one(text), at_once, rtol=1e-6)
+
+
+def trees_plain(x, y):
+    """Margins on ``x`` of boosted trees that are grown by trying every feature and edge in loops."""
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, toxicity.BINS + 1)[1:-1])) for c in x.T]
+    share = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    total = np.full(len(y), np.log(share / (1 - share)))
+    for _ in range(toxicity.TREES):
+        p = 1 / (1 + np.exp(-total))
+        g, h = p - y, p * (1 - p)
+
+        def leaves(rows, depth, g=g, h=h):
+            best, found = 1e-6, None
+            for f in range(x.shape[1]) if depth < toxicity.DEPTH else ():
+                for e in edges[f]:
+                    left, right = [i for i in rows if x[i, f] <= e], [i for i in rows if x[i, f] > e]
+                    if min(len(left), len(right)) >= toxicity.LEAST_LEAF:
+                        gain = sum(sum(g[i] for i in s) ** 2 / (sum(h[i] for i in s) + 1) for s in (left, right)) - sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + 1)
+                        if gain > best + 1e-9:
+                            best, found = gain, (left, right)
+            return [rows] if found is None else [leaf for side in found for leaf in leaves(side, depth + 1)]
+
+        for rows in leaves(list(range(len(y))), 0):
+            total[rows] += -toxicity.SHRINK * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1)
+    return total
+
+
+def test_trees_against_plain_loops(monkeypatch):
+    monkeypatch.setattr(toxicity, "TREES", 6)
+    monkeypatch.setattr(toxicity, "BINS", 6)
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(160, 3))
+    x[:, 2] = np.round(x[:, 2])
+    y = (x[:, 0] + 0.5 * x[:, 1] * x[:, 2] + rng.normal(scale=0.3, size=160) > 0).astype(float)
+    assert np.allclose(toxicity.Trees(x, y).margins(x), trees_plain(x, y), atol=1e-9)
+
+
+def test_isotonic_against_min_max():
+    """The value at a place is the largest, over blocks that begin before it, of the smallest mean that ends after it."""
+    rng = np.random.default_rng(22)
+    for _ in range(20):
+        x, y = rng.permutation(40).astype(float), (rng.random(40) < 0.5).astype(float)
+        own = y[np.argsort(x)]
+        knots, share = toxicity.isotonic(x, y)
+        means = [max(min(own[a : b + 1].mean() for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+        sizes = [sum(abs(m - n) < 1e-12 for n in means) for m in means]
+        smooth = np.maximum.accumulate([(m * n + 0.25) / (n + 0.5) for m, n in zip(means, sizes, strict=True)])
+        assert np.allclose(np.interp(np.arange(40.0), knots, share), smooth)
+
+
+def test_softmax_against_plain_loops(monkeypatch):
+    monkeypatch.setattr(quality, "BUCKETS", 40)
+    rng = np.random.default_rng(23)
+    rows = [(np.sort(rng.permutation(40)[:k]), rng.integers(1, 5, k)) for k in rng.integers(1, 12, 30)] + [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    labels = (rng.random(len(rows)) < 0.4).astype(int)
+    difference, bias = quality.train(rows, labels, epochs=3, rate=0.5, seed=5)
+    draws, d, share = np.random.default_rng(5), quality.DIMENSIONS, labels.mean()
+    vectors, output = (draws.uniform(-1, 1, (40, d)) / d).tolist(), (draws.normal(0, 1, (2, d)) / d).tolist()
+    b, done = [np.log(1 - share), np.log(share)], 0
+    for _ in range(3):
+        for i in draws.permutation(len(rows)).tolist():
+            buckets, counts = rows[i][0].tolist(), rows[i][1].tolist()
+            weight = [c / max(1, sum(counts)) for c in counts]
+            pace = 0.5 * (1 - done / (3 * len(rows)))
+            done += 1
+            average = [sum(w * vectors[k][j] for k, w in zip(buckets, weight, strict=True)) for j in range(d)]
+            e = [np.exp(sum(output[c][j] * average[j] for j in range(d)) + b[c]) for c in (0, 1)]
+            slope = [e[c] / sum(e) - (labels[i] == c) for c in (0, 1)]
+            back = [slope[0] * output[0][j] + slope[1] * output[1][j] for j in range(d)]
+            for c in (0, 1):
+                output[c] = [output[c][j] - pace * slope[c] * average[j] for j in range(d)]
+                b[c] -= 0.1 * pace * slope[c]
+            for k, w in zip(buckets, weight, strict=True):
+                vectors[k] = [vectors[k][j] - pace * w**0.5 * back[j] for j in range(d)]
+    assert np.allclose(difference, [sum(v[j] * (output[1][j] - output[0][j]) for j in range(d)) for v in vectors], atol=1e-9)
+    assert bias == pytest.approx(b[1] - b[0], abs=1e-9)
