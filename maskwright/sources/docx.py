@@ -37,7 +37,7 @@ PROPERTIES = frozenset("creator title subject description lastModifiedBy Company
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 
 MARKUP = re.compile(r"</w:tc|<w:((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-PROPERTY = re.compile(r"<((?:[A-Za-z0-9]+:)?([A-Za-z0-9]+))>([\s\S]*?)</\1>")
+PROPERTY = re.compile(r"<((?:[A-Za-z0-9]+:)?([A-Za-z0-9]+))>([^<]*)</\1>")
 
 
 class BadDocument(ValueError):
@@ -179,7 +179,7 @@ def read_properties(package: Package, name: str, xml: str) -> None:
     """Adds the descriptive properties, a line each."""
     first = len(package.text)
     for m in PROPERTY.finditer(xml):
-        if m[2] in PROPERTIES and "<" not in m[3]:
+        if m[2] in PROPERTIES:
             package.text += "\n" if len(package.text) > first else ""
             decoded = decode_xml(m[3])
             package.runs.append(Run(name, "metadata", len(package.text), len(package.text) + len(decoded), m.start(3), m.end(3)))
