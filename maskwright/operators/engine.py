@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskwright.functions.let import let
 from maskwright.operators.detection import none
 from maskwright.operators.registry import Registry, default_registry
 from maskwright.operators.resolve import resolve_overlaps
@@ -14,28 +15,36 @@ from maskwright.plans.options import MAX_TEXT, AnalyzeOptions
 CELL_BREAK = "\x1f"
 
 
-def raw_detections(text: Column, options: AnalyzeOptions, registry: Registry | None = None) -> Column:
-    """All detections of the enabled types, in order of emission. Types are dropped before overlaps are looked at."""
-    registry = registry or default_registry(options)
-    built = [d.build(text, options) for d in registry.select(options.enabled_types)]
-    found = F.concat(*built) if built else none()
-    return F.filter(found, lambda x: x["type"].isin(*options.enabled_types) & ~x["value"].contains(CELL_BREAK))
-
-
 def well_formed(text: Column, found: Column) -> Column:
     """Whether offsets, values and confidences of all detections agree with the text."""
 
-    def sound(x: Column) -> Column:
+    def fine(x: Column) -> Column:
         inside = (x["start"] >= 0) & (x["end"] > x["start"]) & (x["end"] <= F.length(text))
         return inside & (F.substring(text, x["start"] + 1, x["end"] - x["start"]) == x["value"]) & x["confidence"].between(0, 1)
 
-    return F.forall(found, sound)
+    return F.forall(found, fine)
+
+
+def sound(text: Column, found: Column) -> Column:
+    """Detections as they are, or null if any of them is malformed: replacing those would cut at the wrong places."""
+    return let(found, lambda x: F.when(F.coalesce(well_formed(text, x), F.lit(False)), x))
+
+
+def raw_detections(text: Column, options: AnalyzeOptions, registry: Registry | None = None) -> Column:
+    """All detections of the enabled types, in order of emission. Types are dropped before overlaps are looked at.
+
+    Null where a detector that is checked gives spans that don't agree with the text.
+    """
+    registry = registry or default_registry(options)
+    built = [sound(text, d.build(text, options)) if d.checked else d.build(text, options) for d in registry.select(options.enabled_types)]
+    found = F.concat(*built) if built else none()
+    return F.filter(found, lambda x: x["type"].isin(*options.enabled_types) & ~x["value"].contains(CELL_BREAK))
 
 
 def detect(text: Column, options: AnalyzeOptions, registry: Registry | None = None) -> Column:
     """Detections that stand, in document order, each with an id by its place.
 
-    A text over the limit gives null, not a failed job; so does a null text.
+    A text over the limit gives null, not a failed job; so do a null text and a detector's malformed result.
     """
     standing = resolve_overlaps(raw_detections(text, options, registry))
 

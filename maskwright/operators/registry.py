@@ -21,6 +21,8 @@ class Detector:
     types: tuple[str, ...]
     maturity: str
     build: Callable[[Column, AnalyzeOptions], Column]
+    #: Whether its spans are held against the text. Those of the detectors here are cut out of the text itself.
+    checked: bool = True
 
 
 class Registry:
@@ -69,25 +71,25 @@ def default_registry(options: AnalyzeOptions | None = None) -> Registry:
     options = options or AnalyzeOptions()
     given = options.given_names if options.given_names is not None else tuple(names.GIVEN_NAMES)
     registry = Registry(
-        Detector("email", ("EMAIL",), "reference", lambda t, o: detectors.email(t)),
-        Detector("phone", ("PHONE",), "reference", lambda t, o: detectors.phone(t, o.default_region)),
-        Detector("credit-card", ("CREDIT_CARD",), "reference", lambda t, o: detectors.credit_card(t)),
-        Detector("sin-ca", ("SSN",), "reference", lambda t, o: detectors.social_number(t)),
-        Detector("ip-address", ("IP_ADDRESS",), "reference", lambda t, o: detectors.ip_address(t)),
-        Detector("url", ("URL",), "reference", lambda t, o: detectors.url(t)),
+        Detector("email", ("EMAIL",), "reference", lambda t, o: detectors.email(t), checked=False),
+        Detector("phone", ("PHONE",), "reference", lambda t, o: detectors.phone(t, o.default_region), checked=False),
+        Detector("credit-card", ("CREDIT_CARD",), "reference", lambda t, o: detectors.credit_card(t), checked=False),
+        Detector("sin-ca", ("SSN",), "reference", lambda t, o: detectors.social_number(t), checked=False),
+        Detector("ip-address", ("IP_ADDRESS",), "reference", lambda t, o: detectors.ip_address(t), checked=False),
+        Detector("url", ("URL",), "reference", lambda t, o: detectors.url(t), checked=False),
     )
     if given:
-        registry.register(Detector("nlp-entity", ("PERSON", "ORGANIZATION"), "experimental", lambda t, o: names.lexicon_names(t, given)))
+        registry.register(Detector("nlp-entity", ("PERSON", "ORGANIZATION"), "experimental", lambda t, o: names.lexicon_names(t, given), checked=False))
     for d in (
-        Detector("person-sequence", ("PERSON",), "experimental", lambda t, o: names.person_sequences(t)),
-        Detector("address", ("ADDRESS",), "experimental", lambda t, o: detectors.address(t)),
-        Detector("bank-account", ("BANK_ACCOUNT",), "reference", lambda t, o: detectors.bank_account(t)),
-        Detector("government-id", ("GOVERNMENT_ID",), "stub", lambda t, o: detectors.never(t)),
-        Detector("date-of-birth", ("DATE_OF_BIRTH",), "stub", lambda t, o: detectors.never(t)),
+        Detector("person-sequence", ("PERSON",), "experimental", lambda t, o: names.person_sequences(t), checked=False),
+        Detector("address", ("ADDRESS",), "experimental", lambda t, o: detectors.address(t), checked=False),
+        Detector("bank-account", ("BANK_ACCOUNT",), "reference", lambda t, o: detectors.bank_account(t), checked=False),
+        Detector("government-id", ("GOVERNMENT_ID",), "stub", lambda t, o: detectors.never(t), checked=False),
+        Detector("date-of-birth", ("DATE_OF_BIRTH",), "stub", lambda t, o: detectors.never(t), checked=False),
     ):
         registry.register(d)
     if options.custom_patterns:
-        registry.register(Detector("custom-regex", ("CUSTOM",), "reference", lambda t, o: detectors.custom(t, o.custom_patterns)))
+        registry.register(Detector("custom-regex", ("CUSTOM",), "reference", lambda t, o: detectors.custom(t, o.custom_patterns), checked=False))
     return registry
 
 

@@ -41,7 +41,8 @@ def normal_forms(found: Column) -> Column:
 def analyze(docs: DataFrame, options: AnalyzeOptions | None = None, text: str = "text", registry: Registry | None = None) -> DataFrame:
     """``docs`` with detections (placeholders assigned), groups, warnings and error_code.
 
-    A text over the limit has no detections and error_code INVALID_INPUT; a null text MALFORMED_DOCUMENT.
+    A text over the limit has no detections and error_code INVALID_INPUT; a null text MALFORMED_DOCUMENT;
+    one for which a detector gave spans that aren't in it INTERNAL_ERROR.
     """
     options = options or AnalyzeOptions()
     registry = registry or default_registry(options)
@@ -49,7 +50,7 @@ def analyze(docs: DataFrame, options: AnalyzeOptions | None = None, text: str =
     own = docs.withColumn("_found", detect(F.col(text), options, registry))
     own = own.withColumn("_forms", normal_forms(F.col("_found")))
     own = own.withColumn("detections", anonymize.assign(F.col("_found"), forms=F.col("_forms"))).drop("_found", "_forms")
-    failed = F.when(F.col(text).isNull(), F.lit("MALFORMED_DOCUMENT")).when(F.length(text) > MAX_TEXT, F.lit("INVALID_INPUT"))
+    failed = F.when(F.col(text).isNull(), F.lit("MALFORMED_DOCUMENT")).when(F.length(text) > MAX_TEXT, F.lit("INVALID_INPUT")).when(F.col("detections").isNull(), F.lit("INTERNAL_ERROR"))
     return own.withColumns({"groups": anonymize.groups(F.col("detections")), "warnings": warnings, "error_code": failed})
 
 

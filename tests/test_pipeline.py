@@ -212,3 +212,27 @@ def test_invariants_on_the_corpus(spark):
         assert "".join([*back, r.text[at:]]) == r.text
     again = sanitize(analyze(docs.repartition(7), options)).orderBy("doc_id").collect()
     assert [r.sanitized for r in again] == [r.sanitized for r in rows]
+
+
+@pytest.mark.parametrize(("start", "end", "value", "confidence"), [(0, 3, "abd", 0.5), (2, 2, "", 0.5), (-1, 2, "ab", 0.5), (8, 12, "ij", 0.5), (0, 3, "abc", 1.5), (0, 3, "abc", None)])
+def test_a_plug_in_whose_spans_are_not_in_the_text_is_refused(spark, start, end, value, confidence):
+    def build(text, options):
+        made = F.struct(F.lit("CUSTOM").alias("type"), F.lit(start).alias("start"), F.lit(end).alias("end"), F.lit(value).alias("value"), F.lit(confidence).cast("double").alias("confidence"), F.lit("mine").alias("detector"), F.lit(None).cast("map<string,string>").alias("metadata"))
+        return F.when(text.startswith("abc"), F.array(made)).otherwise(F.slice(F.array(made), 1, 0))
+
+    registry = Registry(Detector("mine", ("CUSTOM",), "reference", build))
+    docs = spark.createDataFrame([(1, "abcdefghij"), (2, "other"), (3, None)], "doc_id long, text string")
+    parts = gate(sanitize(analyze(docs, AnalyzeOptions(("CUSTOM",)), registry=registry)))
+    assert [(r.doc_id, r.sanitized) for r in parts.released.collect()] == [(2, "other")]
+    assert {r.doc_id: (r.error_code, r.http_status) for r in parts.quarantined.collect()} == {1: ("INTERNAL_ERROR", 500), 3: ("MALFORMED_DOCUMENT", 422)}
+
+
+def test_a_sound_plug_in_is_followed(spark):
+    def build(text, options):
+        at = F.instr(text, "cd") - 1
+        made = F.struct(F.lit("CUSTOM").alias("type"), at.alias("start"), (at + 2).alias("end"), F.lit("cd").alias("value"), F.lit(0.5).alias("confidence"), F.lit("mine").alias("detector"), F.lit(None).cast("map<string,string>").alias("metadata"))
+        return F.array(made)
+
+    docs = spark.createDataFrame([(1, "abcdefg"), (2, "\U0001f600cd")], "doc_id long, text string")
+    done = sanitize(analyze(docs, AnalyzeOptions(("CUSTOM",)), registry=Registry(Detector("mine", ("CUSTOM",), "reference", build))))
+    assert [(r.sanitized, r.status) for r in done.orderBy("doc_id").collect()] == [("ab[CUSTOM_001]efg", "pass"), ("\U0001f600[CUSTOM_001]", "pass")]
