@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskwright.functions.let import once
 from maskwright.functions.strings import encodable, preview
 from maskwright.operators import anonymize, names, verify
 from maskwright.operators.engine import detect, raw_detections, well_formed
@@ -54,7 +55,7 @@ FROM {resolved_sql(MIXED_CLAIMS, "o_orderkey")}""")
 def engine_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands of web and mail addresses within each other, with ids, and whether it agrees with the text."""
     texts = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(MIXED).alias("text"))
-    found = texts.withColumn("found", detect(F.col("text"), WEB)).withColumn("sound", well_formed(F.col("text"), F.col("found")))
+    found = texts.withColumn("found", once(detect(F.col("text"), WEB))).withColumn("sound", well_formed(F.col("text"), F.col("found")))
     d = found.select("o_orderkey", "sound", F.explode("found").alias("d"))
     return d.select("o_orderkey", "d.id", "d.type", F.col("d.start").cast("long").alias("start_at"), F.col("d.end").cast("long").alias("end_at"), "d.value", "d.confidence", "d.detector", "sound")
 
@@ -63,7 +64,7 @@ def engine_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 JOIN (SELECT o_orderkey, count(*) AS standing FROM {resolved_sql(MIXED_CLAIMS, "o_orderkey")} GROUP BY o_orderkey) s ON c.o_orderkey = s.o_orderkey""")
 def claims_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims before and after resolution."""
-    texts = table(spark, sf_dir, "orders").select("o_orderkey", raw_detections(F.expr(MIXED), WEB).alias("raw"))
+    texts = table(spark, sf_dir, "orders").select("o_orderkey", once(raw_detections(F.expr(MIXED), WEB)).alias("raw"))
     return texts.select("o_orderkey", F.size("raw").cast("long").alias("claims"), F.size(resolve_overlaps(F.col("raw"))).cast("long").alias("standing")).filter("claims > 0")
 
 

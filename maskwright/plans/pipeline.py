@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions.let import once
 from maskwright.functions.strings import nfkc
 from maskwright.operators import anonymize, verify
 from maskwright.operators.engine import detect
@@ -95,7 +96,7 @@ class Gate:
 def gate(sanitized: DataFrame, text: str = "text") -> Gate:
     """Only documents of which every check passed are released; of others, placeholders at most are told."""
     code = F.coalesce("error_code", F.when(F.coalesce(F.col("status") != "pass", F.lit(True)), F.lit("VERIFICATION_FAILED")))
-    judged = sanitized.withColumn("error_code", code)
+    judged = sanitized.withColumn("error_code", once(code))
     offending = F.array_distinct(F.flatten(F.transform("checks", lambda c: c["offending"])))
     hidden = [c for c in (text, "sanitized", "detections", "groups", "checks") if c in sanitized.columns]
     status = F.create_map(*(F.lit(x) for pair in HTTP_STATUS.items() for x in pair))[F.col("error_code")]
@@ -112,4 +113,5 @@ def blocks_release(warnings: Column) -> Column:
 
 def exploded(analyzed: DataFrame, *keys: str) -> DataFrame:
     """A row for each detection, with the key columns: the form that joins, windows and reports work on."""
-    return analyzed.select(*keys, F.posexplode("detections").alias("ord", "d")).select(*keys, "ord", "d.*")
+    own = analyzed.withColumn("detections", once(F.col("detections")))
+    return own.select(*keys, F.posexplode("detections").alias("ord", "d")).select(*keys, "ord", "d.*")

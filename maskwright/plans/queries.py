@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.functions import checks
+from maskwright.functions.let import once
 from maskwright.functions.strings import preview, safe_file_name
 from maskwright.operators import detectors, names
 from maskwright.operators.engine import detect, raw_detections
@@ -43,7 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def rows_of(found: DataFrame, *keys: str) -> DataFrame:
     """Detections as flat rows."""
-    return found.select(*keys, F.explode("found").alias("d")).select(*keys, F.col("d.start").cast("long").alias("start_at"), F.col("d.end").cast("long").alias("end_at"), F.col("d.value").alias("value"), F.col("d.confidence").alias("confidence"))
+    own = found.withColumn("found", once(F.col("found")))
+    return own.select(*keys, F.explode("found").alias("d")).select(*keys, F.col("d.start").cast("long").alias("start_at"), F.col("d.end").cast("long").alias("end_at"), F.col("d.value").alias("value"), F.col("d.confidence").alias("confidence"))
 
 
 def spans_sql(source: str, pattern: str, key: str = "doc_id", group: int = 0) -> str:
@@ -114,7 +116,7 @@ FROM f WHERE n = 1"""
 
 @query(CARD_SQL)
 def detect_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(detectors.credit_card(F.col("text"))).alias("d"))
+    found = table(spark, sf_dir, "documents").select("doc_id", once(detectors.credit_card(F.col("text"))).alias("found")).select("doc_id", F.explode("found").alias("d"))
     return found.select("doc_id", F.col("d.start").cast("long").alias("start_at"), F.col("d.end").cast("long").alias("end_at"), "d.value", "d.confidence", F.col("d.metadata")["cardBrand"].alias("brand"), F.col("d.metadata")["last4"].alias("last4"))
 
 
@@ -294,7 +296,7 @@ BLOCKED = analyze_options(("CUSTOM",), [BlockedWord("the", True), BlockedWord("a
 
 @query(r"""SELECT conv_id, turn, count(*) AS hits, count(DISTINCT w) AS distinct_values FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '(?i)\b(?:the|and)\b')) AS w FROM conversations) GROUP BY conv_id, turn""")
 def blacklist_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(detect(F.col("text"), BLOCKED)).alias("d"))
+    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", once(detect(F.col("text"), BLOCKED)).alias("found")).select("conv_id", "turn", F.explode("found").alias("d"))
     return found.groupBy("conv_id", "turn").agg(F.count("*").alias("hits"), F.countDistinct("d.value").alias("distinct_values"))
 
 
@@ -381,7 +383,7 @@ TWO_SQL = f"(SELECT doc_id, 'EMAIL' AS type, value, CAST(0.95 AS DOUBLE) AS conf
 def two_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = F.concat(detectors.email(F.col("text")), detectors.ip_address(F.col("text")))
-    return docs.select("doc_id", "lang", "source", F.explode(found).alias("d")).select("doc_id", "lang", "source", "d.*")
+    return docs.select("doc_id", "lang", "source", once(found).alias("found")).select("doc_id", "lang", "source", F.explode("found").alias("d")).select("doc_id", "lang", "source", "d.*")
 
 
 @query(f"SELECT lang, type, count(*) AS detections, count(DISTINCT f.doc_id) AS documents, round(avg(confidence), 6) AS confidence FROM {TWO_SQL} f JOIN documents d ON f.doc_id = d.doc_id GROUP BY lang, type")
@@ -581,7 +583,7 @@ def process_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def resolve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of all checksummed detectors before and after resolution."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", raw_detections(F.col("text"), ALL_NATIVE).alias("raw"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", once(raw_detections(F.col("text"), ALL_NATIVE)).alias("raw"))
     return docs.select("doc_id", F.size("raw").cast("long").alias("claims"), F.size(resolve_overlaps(F.col("raw"))).cast("long").alias("standing")).filter("claims > 0")
 
 
