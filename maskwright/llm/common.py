@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import re
 import uuid
@@ -125,12 +127,30 @@ def extended(schema: StructType, **new: DataType) -> StructType:
     return StructType([*schema.fields, *(StructField(n, t) for n, t in new.items())])
 
 
-def in_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = SLICE_ROWS) -> DataFrame:
-    """``work`` on each short run of rows of ``df``: one pass, no shuffle."""
+def give_back() -> None:
+    """Returns to the system what a worker process holds but no longer uses.
+
+    Workers live on from task to task and from stage to stage; tables that refer to each other go only when
+    they are looked for, and allocators keep freed pages.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
+def in_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = SLICE_ROWS, over: Callable[[], None] = lambda: None) -> DataFrame:
+    """``work`` on each short run of rows of ``df``: one pass, no shuffle. ``over`` is called at the end of a task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, rows):
-            yield work(part)
+        give_back()
+        try:
+            for part in slices(batches, rows):
+                yield work(part)
+        finally:
+            over()
+            give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -316,7 +316,7 @@ def featurised(docs: DataFrame, lexicons: list[dict[int, float]], which: str | N
         kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("text", "features")]
         return pa.RecordBatch.from_arrays([*(c for _, c in kept), column], names=[*(n for n, _ in kept), "features"])
 
-    return in_arrow(docs, work, extended(docs.drop("text", "features").schema, features=T.ArrayType(T.DoubleType())))
+    return in_arrow(docs, work, extended(docs.drop("text", "features").schema, features=T.ArrayType(T.DoubleType())), over=held.clear)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float, score: str = "score") -> DataFrame:
@@ -334,7 +334,7 @@ def scored(docs: DataFrame, model: Model, threshold: float, score: str = "score"
         p = model.score(held[0].many(texts(batch.column("text"))))
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names, score, "predicted"])
 
-    return in_arrow(docs, work, extended(docs.schema, **{score: T.DoubleType()}, predicted=T.IntegerType()))
+    return in_arrow(docs, work, extended(docs.schema, **{score: T.DoubleType()}, predicted=T.IntegerType()), over=held.clear)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
