@@ -14,10 +14,12 @@ that are still long (``LONG`` or more) are split exactly: of the other 5 bytes a
 shared, so their pairs meet again under one of the 10 entries that add two more positions.
 
 ``without_near_duplicates`` asks for another likeness: a Jaccard of 0.8 or more over the sets of five-word
-shingles. There fingerprints differ in about 10 of 64 bits, so no byte need be shared, and no index over
-bytes is sure. Its candidates share all minima of a band of a MinHash signature; exact sets decide. What
-shares a band is first compared with a few of it, which joins large groups; what stays apart is compared
-by an inverted index over each set's rarest shingles, again with the counts that such pairs must reach.
+shingles. There a 64-bit fingerprint differs in about 10 bits, so no byte need be shared. Its fingerprints are
+therefore longer, 160 positional bytes, of which such a pair shares 40 or more on average and 14 all but surely (see
+``PRINT``). The index has the joint bytes of two positions among each four that stand together; shared bytes
+are tallied over the whole fingerprint, and what has the minimum is compared by its exact sets. Entries that
+many sets have are first compared with a few of them, which joins large groups; what stays apart there is
+compared by an inverted index over each set's rarest shingles, with the counts that such pairs must reach.
 """
 
 from __future__ import annotations
@@ -48,14 +50,23 @@ LONG = 512
 RUN = 1 << 16
 #: Words of a shingle, and Jaccard of shingle sets from which texts are near copies (as a fraction).
 WORDS, ALIKE = 5, (4, 5)
-#: Bands of a signature and minima in each: at a Jaccard of 0.8, one pair in 150,000 shares no band.
-BANDS, MINIMA = 30, 5
-#: Members of a band's bucket with which all others are compared first.
+#: Words of 64 bits in a long fingerprint. At a Jaccard of 0.8 a bit differs in 0.152 of all pairs of large sets and in
+#: up to 0.158 of those of more than ``FEW`` shingles; so a byte is shared by 0.25 and one of the six entries of each
+#: four bytes by 0.27: one pair in 200,000 is expected to have no entry in common, at worst. Smaller sets, of which up
+#: to 0.188 of the bits differ (5 shingles and 4 of them), get more words.
+PRINT, PRINT_OF_FEW, FEW = 20, 32, 24
+#: Byte positions of a word that make an entry of the long fingerprint's index.
+JOINT = [*combinations(range(4), 2), *combinations(range(4, 8), 2)]
+#: Bits of a long fingerprint's first two words in which near copies may differ, and bytes of all words that they share.
+LONG_BITS, LONG_SHARED = 44, 14
+#: Sets under one entry from which it is a crowded one, beside what chance deals to each (by ``CHANCE`` times).
+CROWDED, CHANCE = 64, 4
+#: Members of a crowded entry with which all others are compared first.
 HEADS = 3
 #: Sets under one shingle that meet in a task.
 TOGETHER = 2048
-#: Odd multipliers, one for each minimum.
-MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 64, BANDS * MINIMA, dtype=np.uint64) | np.uint64(1)
+#: Odd multipliers, one for each word of a long fingerprint.
+MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 64, PRINT_OF_FEW, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_runs(text: str, words: int, seed: int = 42) -> Iterator[np.ndarray]:
@@ -94,7 +105,7 @@ def byte_at(fp: Column, position: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * position).bitwiseAND(F.lit(255))
 
 
-def entry(fp: Column, number: int, positions: tuple[int, ...]) -> Column:
+def entry(fp: Column, number: int | Column, positions: tuple[int, ...]) -> Column:
     """A long of an entry's number and its bytes."""
     value = F.lit(number).cast("long")
     for p in positions:
@@ -207,18 +218,22 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(np.concatenate(runs)) if runs else np.empty(0, dtype=np.uint64)
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A number for each band of the signature of a shingle set; none for an empty set."""
-    if not len(hashes):
+def long_print(hashes: np.ndarray) -> np.ndarray:
+    """The long fingerprint of a shingle set: the majority of each bit; ties go by the word's least hash, which near copies mostly share."""
+    n, words = len(hashes), PRINT_OF_FEW if len(hashes) <= FEW else PRINT
+    if not n:
         return np.empty(0, dtype=np.uint64)
-    least = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(least, (MULTIPLIERS[:, None] * hashes[at : at + 1024]).min(axis=1), out=least)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for minima in least.reshape(BANDS, MINIMA).T:
-        keys = (keys ^ minima) * MULTIPLIERS[0]
-        keys ^= keys >> np.uint64(29)
-    return keys
+    tally, least = np.zeros(64 * words, dtype=np.int64), np.full(words, np.iinfo(np.uint64).max)
+    for at in range(0, n, 255):  # so many fit a byte's tally
+        mixed = hashes[at : at + 255, None] * MULTIPLIERS[:words]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        bits = np.unpackbits(mixed.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        np.minimum(least, mixed.min(axis=0), out=least)
+        tally += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    ties = np.unpackbits((least * MULTIPLIERS[0] ^ least).astype("<u8").view(np.uint8), bitorder="little")
+    return np.packbits(2 * tally + ties > n, bitorder="little").view("<u8").astype(np.uint64)
 
 
 def as_longs(arrays: list[np.ndarray]) -> pa.Array:
@@ -227,16 +242,16 @@ def as_longs(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``set_id`` (equal for equal shingle sets), ``bands`` and ``size`` in place of ``text``."""
+    """``docs`` with ``set_id`` (equal for equal shingle sets), ``print`` (the long fingerprint) and ``size`` in place of ``text``."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t) for t in texts(batch.column("text"))]
         ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
         kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
-        new = [pa.array(ids), as_longs([band_keys(s) for s in sets]), pa.array([len(s) for s in sets], pa.int32())]
-        return pa.RecordBatch.from_arrays([*(c for _, c in kept), *new], names=[*(n for n, _ in kept), "set_id", "bands", "size"])
+        new = [pa.array(ids), as_longs([long_print(s) for s in sets]), pa.array([len(s) for s in sets], pa.int32())]
+        return pa.RecordBatch.from_arrays([*(c for _, c in kept), *new], names=[*(n for n, _ in kept), "set_id", "print", "size"])
 
-    return in_arrow(docs, work, extended(docs.drop("text").schema, set_id=T.LongType(), bands=T.ArrayType(T.LongType()), size=T.IntegerType()))
+    return in_arrow(docs, work, extended(docs.drop("text").schema, set_id=T.LongType(), print=T.ArrayType(T.LongType()), size=T.IntegerType()))
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -298,34 +313,77 @@ def rare_pairs(own: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     return left.join(right, (a("shingle") == b("shingle")) & (a("way") == b("way")) & once & enough).select(*paired(a("set_id"), b("set_id"))).distinct()
 
 
+def long_entries(prints: DataFrame) -> DataFrame:
+    """The rows of ``prints`` (print, any more) with ``key``, once for each entry of the long fingerprint's index."""
+    words = prints.select(*prints.columns, F.posexplode("print").alias("at", "word")).drop("print")
+    keys = [entry(F.col("word"), F.col("at") * len(JOINT) + i, two) for i, two in enumerate(JOINT)]
+    return words.select(*(c for c in prints.columns if c != "print"), F.explode(F.array(*keys)).alias("key"))
+
+
+def long_matches(x: Column, y: Column) -> Column:
+    """Tally of the positional bytes that two long fingerprints share, over the words that both have."""
+    shared = F.zip_with(x, y, lambda a, b: F.coalesce(matches(a, b), F.lit(0)))
+    return F.aggregate(shared, F.lit(0), lambda a, b: a + b)
+
+
+def index_pairs(prints: DataFrame, crowded: DataFrame, scratch: Scratch) -> DataFrame:
+    """a < b: pairs of ``prints`` (set_id, size, print, open) that share an entry and reach the count of shared bytes.
+
+    Entries of ``crowded`` (key) and pairs of which both are ``open`` are left out: these are compared apart.
+    """
+    keep = scratch.keep
+    own = prints.select("set_id", "size", "open", F.col("print")[0].alias("w0"), F.col("print")[1].alias("w1"), "print")
+    dealt = long_entries(own)
+    if not crowded.isEmpty():
+        dealt = dealt.join(crowded.select("key"), "key", "left_anti")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    bits = F.bit_count(a("w0").bitwiseXOR(b("w0"))) + F.bit_count(a("w1").bitwiseXOR(b("w1")))
+    near = (a("set_id") < b("set_id")) & (bits <= LONG_BITS) & sizes_fit(a("size"), b("size")) & ~(a("open") & b("open"))
+    met = keep(dealt.alias("a").join(dealt.alias("b"), (a("key") == b("key")) & near).select(a("set_id").alias("a"), b("set_id").alias("b")).distinct())
+    both = met.join(prints.select(F.col("set_id").alias("a"), F.col("print").alias("x")), "a").join(prints.select(F.col("set_id").alias("b"), F.col("print").alias("y")), "b")
+    return keep(both.filter(long_matches(F.col("x"), F.col("y")) >= LONG_SHARED).select("a", "b"))
+
+
 def near_sets(own: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label (smallest set_id reachable) for the sets of ``own`` that have near copies.
 
-    ``own``: file, row, set_id, bands, size. ``rows``: file, row, text. All that share a bucket are first compared
-    with ``HEADS`` of its sets, the same in all buckets where possible, which joins large groups by
-    few pairs. The sets of buckets that hold more than one group are then compared as ``rare_pairs`` says,
-    which passes over none that are alike.
+    ``own``: file, row, set_id, print, size. ``rows``: file, row, text. Sets of fewer than 4 shingles are near
+    copies of equal sets only. All sets of a crowded entry are first compared with ``HEADS`` of them, the same in
+    all entries where possible, which joins large groups by few pairs; then all sets that have a crowded entry
+    are compared as ``rare_pairs`` says, which passes over none that are alike. All other pairs come from
+    the other entries of the index (``index_pairs``).
     """
     keep = scratch.keep
-    distinct = keep(own.groupBy("set_id").agg(F.min(F.struct("file", "row")).alias("at"), F.first("bands").alias("bands"), F.first("size").alias("size")))
-    entries = distinct.select("set_id", "size", F.explode("bands").alias("key"))
-    heads = [F.min(F.struct(F.xxhash64("set_id", F.lit(i)), "set_id", "size")) for i in range(HEADS)]
-    heads = [F.struct(h["set_id"].alias("head"), h["size"].alias("head_size")) for h in heads]
-    buckets = keep(entries.groupBy("key").agg(F.count("*").alias("n"), F.array(*heads).alias("heads")).filter("n > 1"))
-    members = keep(join_unique(entries, buckets.drop("n"), "key", buckets.select("key", "n")))
-    read = keep(distinct.join(members.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "at.file", "at.row"))
-    sets = keep(shingle_sets(rows.join(read, ["file", "row"]).select("set_id", "text")))
-    first = members.select("set_id", "size", F.explode(F.array_distinct("heads")).alias("h")).filter((F.col("set_id") != F.col("h.head")) & sizes_fit(F.col("size"), F.col("h.head_size")))
-    links = keep(alike(first.select(*paired(F.col("set_id"), F.col("h.head"))).distinct(), sets))
-    labels = keep(components(links, scratch))
-    grouped = keep(members.join(labels, F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("label", "set_id").alias("label")))
-    groups = grouped.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-    groups = keep(groups)
-    if groups.isEmpty():
-        return labels
-    open_ = keep(join_unique(grouped, groups.select("key"), "key", groups.select("key", "n")).select("set_id", "label").distinct())
-    more = keep(alike(rare_pairs(open_, sets, scratch), sets))
-    return labels if more.isEmpty() else components(links.unionByName(more), scratch)
+    distinct = keep(own.groupBy("set_id").agg(F.min(F.struct("file", "row")).alias("at"), F.first("print").alias("print"), F.first("size").alias("size")))
+    prints = distinct.filter("size > 3").select("set_id", "size", "print")
+    crowd = CROWDED + CHANCE * prints.count() // (1 << 16)
+
+    def read(wanted: DataFrame) -> DataFrame:
+        places = keep(distinct.join(wanted.distinct(), "set_id", "left_semi").select("set_id", "at.file", "at.row"))
+        return keep(shingle_sets(rows.join(places, ["file", "row"]).select("set_id", "text")))
+
+    counts = long_entries(prints.select("print")).groupBy("key").agg(F.count("*").alias("n"))
+    crowded = keep(counts.filter(F.col("n") >= crowd))
+    links = None
+    if crowded.isEmpty():
+        prints = prints.withColumn("open", F.lit(False))
+    else:
+        members = keep(join_unique(long_entries(prints), crowded, "key", crowded))
+        heads = [F.min(F.struct(F.xxhash64("set_id", F.lit(i)), "set_id", "size")) for i in range(HEADS)]
+        heads = [F.struct(h["set_id"].alias("head"), h["size"].alias("head_size")) for h in heads]
+        headed = keep(members.groupBy("key").agg(F.array(*heads).alias("heads")))
+        open_ = keep(members.select("set_id").distinct())
+        sets = read(open_)
+        first = join_unique(members, headed, "key", crowded).select("set_id", "size", F.explode(F.array_distinct("heads")).alias("h"))
+        first = first.filter((F.col("set_id") != F.col("h.head")) & sizes_fit(F.col("size"), F.col("h.head_size")))
+        links = keep(alike(first.select(*paired(F.col("set_id"), F.col("h.head"))).distinct(), sets))
+        labels = keep(components(links, scratch))
+        apart = open_.join(labels, F.col("set_id") == F.col("node"), "left").select("set_id", F.coalesce("label", "set_id").alias("label"))
+        links = links.unionByName(keep(alike(rare_pairs(keep(apart), sets, scratch), sets)))
+        prints = keep(prints.join(open_.withColumn("there", F.lit(True)), "set_id", "left").select("set_id", "size", "print", F.coalesce("there", F.lit(False)).alias("open")))
+    pairs = index_pairs(prints, crowded, scratch)
+    found = keep(alike(pairs, read(pairs.select(F.explode(F.array("a", "b")).alias("set_id")))))
+    return components(found if links is None else found.unionByName(links), scratch)
 
 
 def placed(docs: DataFrame) -> DataFrame:

@@ -450,3 +450,43 @@ def test_edited_copies_go_and_others_stay(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
     kept = {r.doc_id for r in simhash.without_near_duplicates(spark.read.parquet(path)).collect()}
     assert linked > 200 and kept == set(label.values())
+
+
+def test_near_copies_come_from_the_index_of_positional_bytes(spark):
+    """Pairs at a Jaccard of just 0.8 share an entry and the counted bytes; strangers don't reach the count."""
+    rng = np.random.default_rng(8)
+    prints, wanted = [], set()
+    for n, (x, y, both) in enumerate([(5, 4, 4), (6, 5, 5), (10, 8, 8), (9, 9, 8), (15, 12, 12), (45, 45, 40), (500, 400, 400)] * 6):
+        hashes = rng.integers(0, 1 << 64, x + y - both, dtype=np.uint64)
+        for i, own in enumerate((hashes[:x], hashes[x - both :])):
+            prints.append((2 * n + i, len(own), simhash.long_print(np.sort(own)).view(np.int64).tolist(), False))
+        wanted.add((2 * n, 2 * n + 1))
+    df = spark.createDataFrame(prints, "set_id long, size int, print array<long>, open boolean")
+    none = spark.createDataFrame([], "key long, n long")
+    found = simhash.index_pairs(df, none, simhash.Scratch(spark, "index-test")).collect()
+    assert len(found) == len(wanted) and {(r.a, r.b) for r in found} == wanted
+    assert len(simhash.long_print(np.empty(0, np.uint64))) == 0
+
+
+@pytest.mark.parametrize("crowded", [2, 8, 10**6])
+def test_crowded_entries_lose_no_near_copy(spark, tmp_path, monkeypatch, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    rnd = random.Random(crowded)
+    rows = []
+    for _ in range(5):
+        base = [f"w{rnd.randrange(4000)}" for _ in range(rnd.choice([9, 60, 120]))]
+        for _ in range(24):
+            some = list(base)
+            for _ in range(rnd.randint(0, 4)):
+                some[rnd.randrange(len(some))] = f"new{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(some)))
+    sets = {i: word_set(t) for i, t in rows}
+    label = {i: i for i in sets}
+    for i, j in ((i, j) for i in sets for j in range(i)):
+        if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4 and label[i] != label[j]:
+            low, high = sorted((label[i], label[j]))
+            label = {k: low if v == high else v for k, v in label.items()}
+    path = str(tmp_path / "crowded")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    kept = {r.doc_id for r in simhash.without_near_duplicates(spark.read.parquet(path)).collect()}
+    assert 5 < len(kept) < len(rows) and kept == set(label.values())
