@@ -13,6 +13,7 @@ import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -23,21 +24,25 @@ from pyspark.sql import functions as F
 
 from maskwright.llm import simple8b
 from maskwright.llm.common import Shipped, in_arrow, slices, texts
-from maskwright.llm.pretokens import PIECES, Memory
+from maskwright.llm.pretokens import PATTERN, PIECES, Memory, settled
 
 #: Slots for stretches of text that a worker remembers.
-SLOTS = 1 << 20
+SLOTS = 1 << 21
 #: Where a null doc_id stands in the order.
 LOWEST = -(1 << 63)
+#: The letters that stand for bytes in byte-level vocabularies.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*SHOWN}))}
 FILE_SCHEMA = "part int, at long, doc_id long, n_tokens long, blocks array<int>, words binary"
 
 
 class Encoder:
     """Ids of whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
-    Where the file is byte-level BPE with the public pattern, each distinct pre-token goes through
-    the library once and its ids are remembered; any other file, and a text that holds the string of
-    an added token, goes through the library whole.
+    Where the file is byte-level BPE with the public pattern, each distinct stretch is split here and its
+    pre-tokens go through the library's model in byte letters, without its splitting, alignment and offsets;
+    the ids are remembered. Any other file, and a text that holds the string of an added token, goes
+    through the library whole.
     """
 
     def __init__(self, file: bytes) -> None:
@@ -48,22 +53,44 @@ class Encoder:
         spec = json.loads(file)
         split = spec.get("pre_tokenizer") or {}
         model = spec["model"]
-        self.by_piece = model["type"] == "BPE" and not model.get("dropout") and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding") and split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split.get("use_regex", True)
+        self.by_piece = model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")) and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding") and split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split.get("use_regex", True)
+        self.by_piece = self.by_piece and all(x in model["vocab"] for x in LETTERS.values())
         self.added = [x["content"] for x in spec.get("added_tokens") or ()]
-        # the library splits a stretch like a text, so stretches go to it whole
-        self.memory = Memory(self.encode_pieces, by_stretch=self.encode_pieces, slots=SLOTS)
+        if self.by_piece:
+            bare = spec | {"pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}
+            self.bare = Tokenizer.from_str(json.dumps(bare))
+            self.bare.model._resize_cache(0)  # only what is new comes here
+            self.size = np.zeros(max(model["vocab"].values()) + 1, dtype=np.int64)
+            for token, i in model["vocab"].items():
+                self.size[i] = len(token)  # a letter a byte
+        self.memory = Memory(self.encode_pieces, by_stretch=self.encode_stretches, slots=SLOTS)
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces of text, as little-endian 32-bit words."""
+        """The ids of distinct pre-tokens, as little-endian 32-bit words."""
+        return self.encode_lists([[p] for p in pieces])
+
+    def encode_stretches(self, stretches: list[str]) -> list[bytes]:
+        """The ids of distinct stretches of plain text."""
+        return self.encode_lists(list(map(settled(PATTERN).findall, stretches)))
+
+    def encode_lists(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of lists of pre-tokens."""
         out: list[bytes] = []
-        for at in range(0, len(pieces), PIECES):
-            out += self.encode_some(pieces[at : at + PIECES])
+        for at in range(0, len(lists), PIECES):
+            out += self.encode_some(lists[at : at + PIECES])
         return out
 
-    def encode_some(self, pieces: list[str]) -> list[bytes]:
-        found = self.own.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, dtype="<u4").tobytes()
-        ends = (np.cumsum(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(pieces))) * 4).tolist()
+    def encode_some(self, lists: list[list[str]]) -> list[bytes]:
+        flat = list(chain.from_iterable(lists))
+        raw = "".join(flat).encode()
+        begins = np.append(np.flatnonzero(np.frombuffer(raw, np.int8) >= -64), len(raw))  # of characters
+        edges = begins[np.cumsum([0, *map(len, flat)])]
+        shown, cuts = raw.decode("latin-1").translate(LETTERS), edges.tolist()
+        letters = [shown[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        found = np.array(self.bare.encode_batch_fast([letters], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u4")
+        last = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+        ends = (np.searchsorted(np.cumsum(self.size[found]), edges[last], "right") * 4).tolist()
+        ids = found.tobytes()
         return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def whole(self, text: str) -> np.ndarray:

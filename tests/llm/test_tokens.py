@@ -263,3 +263,23 @@ def test_token_file_edges(spark):
             own = token_files.encoder(path)
             wanted = sorted((-1 if i is None else i, zlib.crc32(np.append(own.encode([t or ""])[0], 2).astype("<u4").tobytes())) for i, t, _ in rows)
             assert sorted(zip(ids, (r.ids_crc32 for r in found), strict=True)) == wanted
+
+
+def test_new_stretches_go_to_the_model_alone_and_once():
+    """Without the library's splitting and alignment, by byte letters; what was seen is not encoded again."""
+    from tokenizers import Tokenizer
+
+    file = P.path("byte_bpe_50k.json")
+    own, plainly = token_files.Encoder(open(file, "rb").read()), Tokenizer.from_file(file)
+    rnd = random.Random(21)
+    letters = "aeinorst,.!'é\u00ad\x00\x7f½ß0"
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 14))) for _ in range(8000)]
+    texts = [rnd.choice(["", " ", "\n"]) + "".join(w + rnd.choice(" \n") for w in words[i : i + 40]) for i in range(0, 8000, 40)] + mixed_texts(300, 22, 40)
+    calls = []
+    own.memory.table.encode = lambda some: calls.extend(some) or own.encode_stretches(some)
+    for _ in range(2):
+        for text, ids in zip(texts, own.encode(texts), strict=True):
+            assert ids.tolist() == plainly.encode(text, add_special_tokens=False).ids, text
+    assert len(calls) == len(set(calls)) > 7000 and own.bare.pre_tokenizer is None
+    assert own.memory.table.most == 1 << 21
+    assert [len(x) for x in own.encode_pieces(["", "a"])] == [0, 4] and own.encode_pieces([]) == []
