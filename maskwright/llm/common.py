@@ -106,8 +106,8 @@ class Scratch:
 HOT = 1 / 1000
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """``left`` joined with ``right``, which has one row for a ``key``, however many rows of ``left`` share it.
+def join_unique(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined (inner or left_semi) with ``right``, which has one row for a ``key``, however many rows of ``left`` share it.
 
     ``sizes`` (key, n) says how many do. Hot keys, of which there are at most 1 / ``HOT``, are
     broadcast with their rows of ``right``, so that no task gets all rows of such a key; the others are
@@ -116,10 +116,10 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame) -
     total, most = sizes.agg(F.sum("n"), F.max("n")).first()
     least = max(1000.0, HOT * (total or 0))
     if not most or most < least:
-        return left.join(right, key)
+        return left.join(right, key, how)
     hot = sizes.filter(F.col("n") >= least).select(key)
     many = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
-    return left.join(many, key).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))
+    return left.join(many, key, how).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))
 
 
 def extended(schema: StructType, **new: DataType) -> StructType:

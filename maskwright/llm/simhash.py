@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +65,8 @@ CROWDED, CHANCE = 64, 4
 HEADS = 3
 #: Sets under one shingle that meet in a task.
 TOGETHER = 2048
+#: Buckets of shingles, by which their frequency is told.
+BUCKETS = 1 << 18
 #: Odd multipliers, one for each word of a long fingerprint.
 MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 64, PRINT_OF_FEW, dtype=np.uint64) | np.uint64(1)
 
@@ -241,6 +243,11 @@ def as_longs(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
 
 
+def flat(column: pa.ListArray) -> np.ndarray:
+    """The hashes of all rows of a column that ``as_longs`` made."""
+    return column.flatten().to_numpy().view(np.uint64)
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """``docs`` with ``set_id`` (equal for equal shingle sets), ``print`` (the long fingerprint) and ``size`` in place of ``text``."""
 
@@ -285,23 +292,51 @@ def paired(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def rare_entries(sets: DataFrame) -> DataFrame:
+    """set_id, label, size, place, shingle: the first shingles of each of ``sets`` (set_id, label, shingles), rarest first.
+
+    They are so many as may be missing from a set that is alike, and one. All sets are ordered alike: by how many
+    shingles fall into a shingle's bucket (``BUCKETS``, by its first bits), then by hash. Any such order finds
+    all pairs; that by buckets needs no rows for the other shingles, and its table doesn't grow with the input.
+    """
+    part, whole = ALIKE
+    buckets = lambda hashes: (hashes >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
+
+    def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, dtype=np.int64)
+        for batch in batches:
+            n += np.bincount(buckets(flat(batch.column("shingles"))), minlength=BUCKETS)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], names=["bucket", "n"])
+
+    found = sets.select("shingles").mapInArrow(tally, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(BUCKETS, dtype=np.int64)
+    often[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    shipped = sets.sparkSession.sparkContext.broadcast(often.tobytes())
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, sizes = flat(batch.column("shingles")), np.diff(batch.column("shingles").offsets.to_numpy()).astype(np.int64)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((hashes, np.frombuffer(shipped.value, np.int64)[buckets(hashes)], of))
+        place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        first = place <= sizes[of] * (whole - part) // whole
+        rows = of[first]
+        new = [pa.array(sizes[rows].astype(np.int32)), pa.array(place[first]), pa.array(hashes[order][first].view(np.int64))]
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in ("set_id", "label")), *new], names=["set_id", "label", "size", "place", "shingle"])
+
+    return in_arrow(sets.select("set_id", "label", "shingles"), work, "set_id long, label long, size int, place long, shingle long", rows=128)
+
+
 def rare_pairs(own: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """a < b: every pair of ``own`` (set_id, label) with different labels whose sets may be alike, and few others.
 
-    All shingles are ordered alike, the rarest within ``own`` first. Two sets that share enough have one
+    All shingles are ordered alike, the rarest first (``rare_entries``). Two sets that share enough have one
     of it among the first few of each: so many as may be missing, and one. The places of that shingle
     say how many more can follow, and pairs that can't reach the count go before their sets are read.
     A shingle that many sets hold in front is split, so that a task sees ``TOGETHER`` of them at a time.
     """
     keep = scratch.keep
-    part, whole = ALIKE
-    there = keep(sets.join(own, "set_id").select("set_id", "label", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")))
-    often = there.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
-    ordered = there.join(often, "shingle").groupBy("set_id", "label", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("rare"))
-    alone = F.col("size") - F.size("rare")  # shingles that no other set has come first
-    first = F.floor(F.col("size") * (whole - part) / whole) + 1 - alone
-    entries = ordered.filter(first > 0).select("set_id", "label", "size", alone.alias("alone"), F.posexplode(F.slice("rare", F.lit(1), first.cast("int"))).alias("place", "rare"))
-    entries = keep(entries.select("set_id", "label", "size", (F.col("place") + F.col("alone")).alias("place"), F.col("rare.shingle").alias("shingle")))
+    entries = keep(rare_entries(keep(sets.join(own, "set_id"))))
     counts = entries.groupBy("shingle", "label").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.count("*").alias("labels"), F.sum("n").alias("all"), F.max(F.struct("n", "label"))["label"].alias("most")).filter("labels > 1")
     met = keep(entries.join(counts.select("shingle", "most", F.ceil(F.col("all") / TOGETHER).cast("int").alias("ways")), "shingle"))
     left = met.filter("label <> most").withColumn("way", F.pmod(F.xxhash64("set_id"), F.col("ways")).cast("int")).alias("a")
@@ -326,20 +361,31 @@ def long_matches(x: Column, y: Column) -> Column:
     return F.aggregate(shared, F.lit(0), lambda a, b: a + b)
 
 
-def index_pairs(prints: DataFrame, crowded: DataFrame, scratch: Scratch) -> DataFrame:
-    """a < b: pairs of ``prints`` (set_id, size, print, open) that share an entry and reach the count of shared bytes.
+def index_pairs(prints: DataFrame, crowded: DataFrame, scratch: Scratch, mixed: DataFrame | None = None) -> DataFrame:
+    """a < b: pairs of ``prints`` (set_id, size, print, open, and label where sets are joined already) that share an entry
+    and reach the count of shared bytes.
 
-    Entries of ``crowded`` (key) and pairs of which both are ``open`` are left out: these are compared apart.
+    Pairs of one label and pairs of which both are ``open`` are left out: the first are joined, the others are compared
+    apart. Entries of ``crowded`` (key) are left out; ``mixed`` has the sets of those that are to be looked into (key,
+    set_id, and the entry's main label ``most`` and number of sets ``n``), where one of a pair is not of the main label.
     """
     keep = scratch.keep
-    own = prints.select("set_id", "size", "open", F.col("print")[0].alias("w0"), F.col("print")[1].alias("w1"), "print")
+    if "label" not in prints.columns:
+        prints = prints.withColumn("label", F.col("set_id"))
+    own = prints.select("set_id", "size", "open", "label", F.col("print")[0].alias("w0"), F.col("print")[1].alias("w1"), "print")
     dealt = long_entries(own)
-    if not crowded.isEmpty():
-        dealt = dealt.join(crowded.select("key"), "key", "left_anti")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     bits = F.bit_count(a("w0").bitwiseXOR(b("w0"))) + F.bit_count(a("w1").bitwiseXOR(b("w1")))
-    near = (a("set_id") < b("set_id")) & (bits <= LONG_BITS) & sizes_fit(a("size"), b("size")) & ~(a("open") & b("open"))
-    met = keep(dealt.alias("a").join(dealt.alias("b"), (a("key") == b("key")) & near).select(a("set_id").alias("a"), b("set_id").alias("b")).distinct())
+    near = (a("label") != b("label")) & (bits <= LONG_BITS) & sizes_fit(a("size"), b("size")) & ~(a("open") & b("open"))
+    rest = dealt if crowded.isEmpty() else dealt.join(crowded.select("key"), "key", "left_anti")
+    met = rest.alias("a").join(rest.alias("b"), (a("key") == b("key")) & (a("set_id") < b("set_id")) & near).select(a("set_id").alias("a"), b("set_id").alias("b"))
+    if mixed is not None:
+        some = mixed.withColumn("ways", F.ceil(F.col("n") / TOGETHER).cast("int")).join(own.drop("print"), "set_id")
+        left = some.filter("label <> most").withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).alias("a")
+        right = some.withColumn("way", F.pmod(F.xxhash64("set_id"), F.col("ways")).cast("int")).alias("b")
+        once = (b("label") == b("most")) | (a("set_id") < b("set_id"))
+        met = met.unionByName(left.join(right, (a("key") == b("key")) & (a("way") == b("way")) & once & near).select(*paired(a("set_id"), b("set_id"))))
+    met = keep(met.distinct())
     both = met.join(prints.select(F.col("set_id").alias("a"), F.col("print").alias("x")), "a").join(prints.select(F.col("set_id").alias("b"), F.col("print").alias("y")), "b")
     return keep(both.filter(long_matches(F.col("x"), F.col("y")) >= LONG_SHARED).select("a", "b"))
 
@@ -348,10 +394,11 @@ def near_sets(own: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label (smallest set_id reachable) for the sets of ``own`` that have near copies.
 
     ``own``: file, row, set_id, print, size. ``rows``: file, row, text. Sets of fewer than 4 shingles are near
-    copies of equal sets only. All sets of a crowded entry are first compared with ``HEADS`` of them, the same in
-    all entries where possible, which joins large groups by few pairs; then all sets that have a crowded entry
-    are compared as ``rare_pairs`` says, which passes over none that are alike. All other pairs come from
-    the other entries of the index (``index_pairs``).
+    copies of equal sets only. A set that has crowded entries is first compared with ``HEADS`` others, of those that
+    have the most crowded entries: such stand in the middle of their group, which so is joined by few pairs. Where
+    all but ``CROWDED`` sets of each of a group's entries are joined, the others are compared with all, no more than so
+    many for each set; the sets of other crowded entries are compared as ``rare_pairs`` says, which passes over none
+    that are alike. All other pairs come from the other entries of the index (``index_pairs``).
     """
     keep = scratch.keep
     distinct = keep(own.groupBy("set_id").agg(F.min(F.struct("file", "row")).alias("at"), F.first("print").alias("print"), F.first("size").alias("size")))
@@ -364,24 +411,30 @@ def near_sets(own: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
 
     counts = long_entries(prints.select("print")).groupBy("key").agg(F.count("*").alias("n"))
     crowded = keep(counts.filter(F.col("n") >= crowd))
-    links = None
+    links = mixed = None
     if crowded.isEmpty():
         prints = prints.withColumn("open", F.lit(False))
     else:
-        members = keep(join_unique(long_entries(prints), crowded, "key", crowded))
-        heads = [F.min(F.struct(F.xxhash64("set_id", F.lit(i)), "set_id", "size")) for i in range(HEADS)]
-        heads = [F.struct(h["set_id"].alias("head"), h["size"].alias("head_size")) for h in heads]
-        headed = keep(members.groupBy("key").agg(F.array(*heads).alias("heads")))
-        open_ = keep(members.select("set_id").distinct())
-        sets = read(open_)
-        first = join_unique(members, headed, "key", crowded).select("set_id", "size", F.explode(F.array_distinct("heads")).alias("h"))
-        first = first.filter((F.col("set_id") != F.col("h.head")) & sizes_fit(F.col("size"), F.col("h.head_size")))
-        links = keep(alike(first.select(*paired(F.col("set_id"), F.col("h.head"))).distinct(), sets))
+        members = join_unique(long_entries(prints), crowded, "key", crowded, "left_semi").select("key", "set_id", "size")
+        members = keep(members.withColumn("often", F.count("*").over(Window.partitionBy("set_id"))))
+        headed = keep(members.groupBy("key").agg(F.max(F.struct("often", F.xxhash64("set_id").alias("tie"), "set_id", "size")).alias("h")))
+        first = join_unique(members.drop("often"), headed, "key", crowded).filter((F.col("set_id") != F.col("h.set_id")) & sizes_fit(F.col("size"), F.col("h.size")))
+        first = first.groupBy("set_id").agg(F.slice(F.sort_array(F.collect_set("h"), asc=False), 1, HEADS).alias("heads"))
+        first = keep(first.select("set_id", F.explode("heads.set_id").alias("head")).select(*paired(F.col("set_id"), F.col("head"))).distinct())
+        links = keep(alike(first, read(first.select(F.explode(F.array("a", "b")).alias("set_id")))))
         labels = keep(components(links, scratch))
-        apart = open_.join(labels, F.col("set_id") == F.col("node"), "left").select("set_id", F.coalesce("label", "set_id").alias("label"))
-        links = links.unionByName(keep(alike(rare_pairs(keep(apart), sets, scratch), sets)))
-        prints = keep(prints.join(open_.withColumn("there", F.lit(True)), "set_id", "left").select("set_id", "size", "print", F.coalesce("there", F.lit(False)).alias("open")))
-    pairs = index_pairs(prints, crowded, scratch)
+        labelled = keep(prints.join(labels, F.col("set_id") == F.col("node"), "left").select("set_id", "size", "print", F.coalesce("label", "set_id").alias("label")))
+        by_label = members.join(labelled.select("set_id", "label"), "set_id").groupBy("key", "label").agg(F.count("*").alias("n"))
+        kinds = keep(by_label.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("main"), F.max(F.struct("n", "label"))["label"].alias("most")).filter("n > main"))
+        wide = kinds.filter(F.col("n") - F.col("main") > CROWDED).select("most").distinct().withColumn("wide", F.lit(True))
+        looked = keep(join_unique(members.select("key", "set_id"), keep(kinds.join(wide, "most", "left").select("key", "most", "n", "wide")), "key", crowded))
+        mixed = looked.filter("wide is null").drop("wide")
+        open_ = keep(looked.filter("wide").select("set_id").distinct())
+        prints = keep(labelled.join(open_.withColumn("there", F.lit(True)), "set_id", "left").select("set_id", "size", "print", "label", F.coalesce("there", F.lit(False)).alias("open")))
+        if not open_.isEmpty():
+            sets = read(open_)
+            links = links.unionByName(keep(alike(rare_pairs(keep(prints.filter("open").select("set_id", "label")), sets, scratch), sets)))
+    pairs = index_pairs(prints, crowded, scratch, mixed)
     found = keep(alike(pairs, read(pairs.select(F.explode(F.array("a", "b")).alias("set_id")))))
     return components(found if links is None else found.unionByName(links), scratch)
 

@@ -490,3 +490,46 @@ def test_crowded_entries_lose_no_near_copy(spark, tmp_path, monkeypatch, crowded
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
     kept = {r.doc_id for r in simhash.without_near_duplicates(spark.read.parquet(path)).collect()}
     assert 5 < len(kept) < len(rows) and kept == set(label.values())
+
+
+def test_large_groups_of_near_copies_cost_few_pairs(spark, tmp_path, monkeypatch):
+    """Sets of crowded entries meet a few others each, and shingles are dealt out only where many of a group stay apart."""
+    monkeypatch.setattr(simhash, "CROWDED", 16)
+    compared, apart = [], []
+    alike, rare = simhash.alike, simhash.rare_pairs
+    monkeypatch.setattr(simhash, "alike", lambda pairs, sets: compared.append(pairs.count()) or alike(pairs, sets))
+    monkeypatch.setattr(simhash, "rare_pairs", lambda own, sets, scratch: apart.append(own.count()) or rare(own, sets, scratch))
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    texts = [base]
+    for i in range(150):
+        some = list(base)
+        for _ in range(1 + i % 3 if i % 15 else 9):
+            some[rnd.randrange(200)] = f"new{rnd.randrange(10**6)}"
+        texts.append(some)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    path = str(tmp_path / "group")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    kept = {r.doc_id for r in simhash.without_near_duplicates(spark.read.parquet(path)).collect()}
+    sets = {i: word_set(t) for i, t in rows}
+    near = {i: {j for j in sets if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4} for i in sets}
+    group, more = {0}, {0}
+    while more := {j for i in more for j in near[i]} - group:
+        group |= more
+    assert kept == {0} | {i for i in sets if i not in group}
+    assert compared[0] <= simhash.HEADS * len(rows) and not apart
+
+
+def test_rare_entries_are_the_first_of_one_order(spark):
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 1 << 64, 30, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((common, rng.integers(0, 1 << 64, n, dtype=np.uint64)))) for n in (0, 1, 4, 90, 400)] * 2
+    df = spark.createDataFrame([(i, i, s.view(np.int64).tolist()) for i, s in enumerate(sets)], "set_id long, label long, shingles array<long>")
+    found = {}
+    for r in simhash.rare_entries(df).collect():
+        assert r.size == len(sets[r.set_id]) and r.label == r.set_id
+        found.setdefault(r.set_id, {})[r.place] = r.shingle
+    often = np.bincount((np.concatenate(sets) >> np.uint64(46)).astype(int), minlength=simhash.BUCKETS)
+    for i, s in enumerate(sets):
+        ordered = sorted(s.tolist(), key=lambda h: (often[h >> 46], h))[: len(s) // 5 + 1]
+        assert found[i] == dict(enumerate(np.array(ordered, dtype=np.uint64).view(np.int64).tolist()))
