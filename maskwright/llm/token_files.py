@@ -71,7 +71,8 @@ class Encoder:
 
     def encode_stretches(self, stretches: list[str]) -> list[bytes]:
         """The ids of distinct stretches of plain text."""
-        return self.encode_lists(list(map(settled(PATTERN).findall, stretches)))
+        split = settled(PATTERN).findall
+        return self.encode_lists([[s] if s.isalpha() or s[0] == " " and s[1:].isalpha() else split(s) for s in stretches])
 
     def encode_lists(self, lists: list[list[str]]) -> list[bytes]:
         """The ids of lists of pre-tokens."""

@@ -283,3 +283,20 @@ def test_new_stretches_go_to_the_model_alone_and_once():
     assert len(calls) == len(set(calls)) > 7000 and own.bare.pre_tokenizer is None
     assert own.memory.table.most == 1 << 21
     assert [len(x) for x in own.encode_pieces(["", "a"])] == [0, 4] and own.encode_pieces([]) == []
+
+
+def test_marks_behind_a_word_do_not_make_it_new():
+    """A mark or digit after a letter begins a pre-token, so a word is encoded once, whatever follows it."""
+    from tokenizers import Tokenizer
+
+    file = P.path("byte_bpe_50k.json")
+    own, plainly = token_files.Encoder(open(file, "rb").read()), Tokenizer.from_file(file)
+    calls = []
+    own.memory.table.encode = lambda some: calls.extend(some) or own.encode_stretches(some)
+    words = ["stone", "don", "café", "À", "ÿ", "×", "÷", "¿", "ª", "ā", "A", "z", "_", "7"]
+    marks = [*map(chr, range(33, 128)), "'s", "'tis", "'ll", "...", ".x", "9×.", "’s", "", "@x.org"]
+    texts = ["a", "."] + [" " + w + m + e for w in words for m in marks for e in ("", " on")]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == plainly.encode(text, add_special_tokens=False).ids, text
+    assert {x for x in calls if x.startswith(" stone") and not x[1:].isalpha()} == {" stone\x7f", " stone’s"}
+    assert len(calls) == len(set(calls))
